@@ -213,16 +213,19 @@ def histogram_bin(c: Column | str, lo: float, hi: float, bins: int) -> Column:
 # --- text and dates -----------------------------------------------------------
 
 def format_value(c: Column | str, kind: str = "default", places: int = 2) -> Column:
+    """Number as text, exact ties to the even digit; null gives N/A."""
     c = col(c)
+    digits = "0" if places == 0 else "0." + "0" * places
     if kind == "currency":
         out = F.concat(F.lit("$"), F.format_number(c, places))
     elif kind == "percentage":
-        out = F.format_string(f"%.{places}f%%", c.cast("double") * 100)
+        out = F.concat(F.call_function("format_number", c.cast("double") * 100, F.lit(digits)), F.lit("%"))
     elif kind == "scientific":
-        out = F.format_string(f"%.{places}e", c.cast("double"))
+        raw = F.call_function("format_number", c.cast("double"), F.lit(digits + "E00"))
+        out = F.replace(F.regexp_replace(raw, r"E(?=\d)", "e+"), F.lit("E-"), F.lit("e-"))
     else:
         out = F.format_number(c, places)
-    return F.coalesce(out, F.lit("N/A")) if kind in ("currency", "default") else F.when(c.isNull(), "N/A").otherwise(out)
+    return F.coalesce(out, F.lit("N/A"))
 
 
 def format_datetime(c: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:

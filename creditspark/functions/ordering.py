@@ -36,21 +36,21 @@ def hash_rank(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), seed:
     group size. A group of any size is spread over 2**16 buckets.
     """
     by = list(by)
-    rows = df.withColumn("_h", hash_order(keys, seed)).withColumn("_b", F.shiftright("_h", 64 - HASH_BITS))
-    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    ordered = W.partitionBy(*by).orderBy("_b")
+    rows = df.withColumn("_hr_h", hash_order(keys, seed)).withColumn("_hr_b", F.shiftright("_hr_h", 64 - HASH_BITS))
+    sizes = rows.groupBy(*by, "_hr_b").agg(F.count("*").alias("_hr_n"))
+    ordered = W.partitionBy(*by).orderBy("_hr_b")
     sizes = sizes.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_kb"),
-        (F.sum("_n").over(ordered) - F.col("_n")).alias("_off"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("_all"))
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_b") == F.col("_kb")]
-    inside = W.partitionBy(*by, "_b").orderBy("_h", *keys)
-    out = (rows.withColumn("_r", F.row_number().over(inside) - 1)
+        *[F.col(c).alias(f"_hr_k{i}") for i, c in enumerate(by)], F.col("_hr_b").alias("_hr_kb"),
+        (F.sum("_hr_n").over(ordered) - F.col("_hr_n")).alias("_hr_off"),
+        F.sum("_hr_n").over(W.partitionBy(*by)).alias("_hr_all"))
+    on = [F.col(c).eqNullSafe(F.col(f"_hr_k{i}")) for i, c in enumerate(by)] + [F.col("_hr_b") == F.col("_hr_kb")]
+    inside = W.partitionBy(*by, "_hr_b").orderBy("_hr_h", *keys)
+    out = (rows.withColumn("_hr_r", F.row_number().over(inside) - 1)
            .join(sizes, on)
-           .withColumn(rank, F.col("_r") + F.col("_off")))
+           .withColumn(rank, F.col("_hr_r") + F.col("_hr_off")))
     if total:
-        out = out.withColumn(total, F.col("_all"))
-    return out.drop("_h", "_b", "_r", "_off", "_all", "_kb", *[f"_k{i}" for i in range(len(by))])
+        out = out.withColumn(total, F.col("_hr_all"))
+    return out.drop("_hr_h", "_hr_b", "_hr_r", "_hr_off", "_hr_all", "_hr_kb", *[f"_hr_k{i}" for i in range(len(by))])
 
 
 def value_splits(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> list[float]:

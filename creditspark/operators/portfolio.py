@@ -195,6 +195,11 @@ def target_variance(actual, target) -> Column:
     return safe_divide((col(actual) - col(target)) * 100, target)
 
 
+def variance_status(actual, target) -> Column:
+    d = col(actual) - col(target)
+    return F.when(d > 0, "above").when(d < 0, "below").when(d == 0, "on_target")
+
+
 def progress(actual, target) -> Column:
     """Share of the target reached, at most 1."""
     return F.least(safe_divide(actual, target), F.lit(1.0))
@@ -211,16 +216,18 @@ def period_change(df: DataFrame, period: str, value: str) -> DataFrame:
 
 def credit_ratios(df: DataFrame, amount: Column, defaulted: Column, recovered: Column, at_risk: Column,
                   used: Column, limit: Column) -> DataFrame:
-    """Five portfolio ratios in percent, 0 when the denominator is 0."""
-    def pct(a, b):
-        return safe_divide(F.sum(a) * 100, F.sum(b))
-
-    row = df.agg(
-        pct(defaulted, F.lit(1.0)).alias("default_rate"),
-        pct(recovered, F.when(defaulted == 1, amount).otherwise(0.0)).alias("recovery_rate"),
-        pct(at_risk * amount, amount).alias("portfolio_at_risk"),
-        pct(used, limit).alias("utilization_rate"))
-    return row.withColumn("loss_given_default", 100 - F.col("recovery_rate"))
+    """Portfolio ratios in percent, each 0 when its denominator is 0.
+
+    ``defaulted`` and ``at_risk`` are 0/1 columns, the others amounts per row.
+    """
+    lost = F.sum(F.when(defaulted == 1, amount).otherwise(0.0))
+    back = F.sum(F.when(defaulted == 1, recovered).otherwise(0.0))
+    return df.agg(
+        safe_divide(F.sum(defaulted) * 100, F.count("*")).alias("default_rate"),
+        safe_divide(back * 100, lost).alias("recovery_rate"),
+        safe_divide(F.sum(at_risk * amount) * 100, F.sum(amount)).alias("portfolio_at_risk"),
+        safe_divide(F.sum(used) * 100, F.sum(limit)).alias("credit_utilization"),
+        safe_divide((lost - back) * 100, lost).alias("loss_given_default"))
 
 
 def daily_trend(df: DataFrame, date: str, value: str) -> DataFrame:

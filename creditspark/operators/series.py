@@ -95,11 +95,9 @@ def linear_forecast(df: DataFrame, value: str = "value", order: str = "period",
     fit = pos.groupBy(*by).agg(
         F.regr_slope(value, "position").alias("slope"), F.regr_intercept(value, "position").alias("intercept"),
         F.count("*").alias("n"), F.max(order).alias("last")).where(F.col("n") >= min_points)
-    # the first step is the next month end strictly after the last period
-    first = F.when(F.to_date("last") < F.last_day("last"), 0).otherwise(1)
     return (fit.select("*", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h"))
             .select(*by, (F.col("h") + 1).alias("step"),
-                    F.last_day(F.add_months("last", F.col("h") + first)).alias("date"),
+                    F.last_day(F.add_months("last", F.col("h") + 1)).alias("date"),
                     (F.col("intercept") + F.col("slope") * (F.col("n") + F.col("h"))).alias("forecast")))
 
 

@@ -93,7 +93,7 @@ def credit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(2 + key % 7).cast("int").alias("pay"))
     )
     paid = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("amt"))
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("amt"))
     rows = recent.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
     def at(i: int, c: str):
@@ -128,7 +128,7 @@ def _panel_sql() -> str:
     paid = ", ".join(f'coalesce({at(i + 1, "amt")}, 0.0::DOUBLE) AS "{c}"' for i, c in enumerate(PAID_COLS))
     late = " + ".join(f'(CASE WHEN "{c}" > 0 THEN 1 ELSE 0 END)' for c in PAY_COLS)
     return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
-paid AS (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS amt FROM lineitem GROUP BY l_orderkey),
+paid AS (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS amt FROM lineitem GROUP BY l_orderkey),
 recent AS (SELECT o_custkey, rn, o_totalprice, amt,
  CAST(CASE substr(o_orderpriority, 1, 1) WHEN '5' THEN -2 WHEN '4' THEN -1 WHEN '3' THEN 0
   WHEN '2' THEN 1 + o_orderkey % 2 ELSE 2 + o_orderkey % 7 END AS INTEGER) AS pay
