@@ -221,7 +221,10 @@ def format_value(c: Column | str, kind: str = "default", places: int = 2) -> Col
     elif kind == "percentage":
         out = F.concat(F.call_function("format_number", c.cast("double") * 100, F.lit(digits)), F.lit("%"))
     elif kind == "scientific":
-        raw = F.call_function("format_number", c.cast("double"), F.lit(digits + "E00"))
+        x, pattern = c.cast("double"), F.lit(digits + "E00")
+        # decimals keep exact ties; doubles cover the sizes a decimal cannot hold
+        exact = F.call_function("format_number", x.try_cast("decimal(38,16)"), pattern)
+        raw = F.when(F.abs(x).between(1e-3, 1e20), exact).otherwise(F.call_function("format_number", x, pattern))
         out = F.replace(F.regexp_replace(raw, r"E(?=\d)", "e+"), F.lit("E-"), F.lit("e-"))
     else:
         out = F.format_number(c, places)

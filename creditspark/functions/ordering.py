@@ -126,10 +126,10 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
         aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
                 for i, c in enumerate(cols)]
         wide = df.groupBy(*by).agg(*aggs)
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p"), F.col(f"q{i}")[j].alias("value"))
-            for i, c in enumerate(cols) for j, p in enumerate(probs)])
-        return wide.select(*by, F.explode(cells).alias("c")).select(*by, "c.feature", "c.p", "c.value")
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
+        return (wide.select(*by, F.explode(cells).alias("c"))
+                .select(*by, "c.feature", F.posexplode("c.q").alias("_i", "value"))
+                .select(*by, "feature", F.get(F.array(*[F.lit(p) for p in probs]), F.col("_i")).alias("p"), "value"))
     return _bracketed(df, cols, probs, by)
 
 

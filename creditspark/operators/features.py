@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.expr import bin_by_edges, bin_fixed, row_count_if, row_max, row_mean, row_min, row_std, row_sum
 from creditspark.functions.ordering import quantile_dict
-from creditspark.operators.clean import drop_constant, infinity_cleanup
+from creditspark.operators.clean import fill, fit_fill_values
 from creditspark.operators.profiling import numeric_columns
 from creditspark.operators.validation import require_columns
 from creditspark.schemas import BILLS, PAY_STATUS, PAYMENTS
@@ -117,7 +117,28 @@ def feature_pipeline(df: DataFrame, check: bool = True) -> DataFrame:
         df = step(df)
     if not check:
         return df
-    return drop_constant(infinity_cleanup(df, numeric_columns(df)))
+    return finish_features(df)
+
+
+def finish_features(df: DataFrame) -> DataFrame:
+    """Infinite and missing numbers to the median, zero-variance columns out.
+
+    Filling with a median cannot make a column constant or stop it from being
+    so, hence one pass finds both the gaps and the constant columns.
+    """
+    cols = numeric_columns(df)
+    inf = float("inf")
+
+    def finite(c):
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(~x.isin(inf, -inf) & ~F.isnan(x), F.col(f"`{c}`"))
+
+    r = df.agg(F.count("*").alias("n"), *[a for i, c in enumerate(cols) for a in (
+        F.count(finite(c)).alias(f"n{i}"), F.var_samp(finite(c).cast("double")).alias(f"v{i}"))]).first()
+    gaps = [c for i, c in enumerate(cols) if r[f"n{i}"] < r["n"]]
+    flat = [c for i, c in enumerate(cols) if r[f"v{i}"] == 0]
+    df = df.withColumns({c: finite(c) for c in gaps})
+    return fill(df, fit_fill_values(df, [c for c in gaps if c not in flat], "median")).drop(*flat)
 
 
 def polynomial(df: DataFrame, cols: Sequence[str], degree: int = 2, interaction_only: bool = False) -> DataFrame:

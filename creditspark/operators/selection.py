@@ -110,7 +110,7 @@ def select_features(df: DataFrame, target: str, method: str = "f_classif", k: in
     return [c for c in cols if c in best]
 
 
-def psi_edges(expected: DataFrame, cols: Sequence[str], buckets: int = 10) -> dict[str, tuple[float, float]]:
+def psi_edges(expected: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Range of each feature in the expected table; a one-value range is widened by half on both sides."""
     r = expected.agg(*[x for i, c in enumerate(cols) for x in (
         F.min(F.col(f"`{c}`").cast("double")).alias(f"a{i}"), F.max(F.col(f"`{c}`").cast("double")).alias(f"b{i}"))]).first()
@@ -122,35 +122,38 @@ def psi_edges(expected: DataFrame, cols: Sequence[str], buckets: int = 10) -> di
     return out
 
 
-def bucket_shares(df: DataFrame, edges: dict[str, tuple[float, float]], buckets: int, name: str) -> DataFrame:
-    """Share of rows per (feature, bucket) over all non-null rows, from a single aggregate.
-
-    Rows outside the range count in the denominator only.
-    """
-    aggs, cells = [], []
-    for i, (c, (lo, hi)) in enumerate(edges.items()):
+def bucket_counts(df: DataFrame, edges: dict[str, tuple[float, float]], buckets: int) -> DataFrame:
+    """Rows per (feature, bucket); values outside the range are in bucket -1, nulls in none."""
+    out = []
+    for c, (lo, hi) in edges.items():
         x = F.col(f"`{c}`").cast("double")
-        bucket = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / buckets)), F.lit(buckets - 1))
-        inside = x.between(lo, hi)
-        aggs.append(F.count(x).alias(f"t{i}"))
-        for b in range(buckets):
-            aggs.append(F.count_if(inside & (bucket == b)).alias(f"c{i}_{b}"))
-            cells.append(F.struct(F.lit(c).alias("feature"), F.lit(b).alias("bucket"),
-                                  F.try_divide(F.col(f"c{i}_{b}"), F.col(f"t{i}")).alias(name)))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        b = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / buckets)), F.lit(buckets - 1)).cast("int")
+        out.append(F.when(x.between(lo, hi), b).when(x.isNotNull(), -1).alias(c))
+    return df.select(out).unpivot([], list(edges), "feature", "bucket").where("bucket is not null").groupBy("feature", "bucket").agg(F.count("*").alias("n"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, cols: Sequence[str] | None = None, buckets: int = 10,
         unstable_above: float = 0.1) -> DataFrame:
-    """Population stability index per common feature over equal-width buckets of the expected table."""
+    """Population stability index per common feature over equal-width buckets of the expected table.
+
+    Rows outside the expected range count in the denominator only. A bucket that
+    is empty on both sides adds nothing, so only occupied ones are formed.
+    """
     cols = list(cols or [c for c in numeric_columns(expected) if c in actual.columns])
-    edges = psi_edges(expected, cols, buckets)
-    e = bucket_shares(expected, edges, buckets, "e")
-    a = bucket_shares(actual, edges, buckets, "a")
+    edges = psi_edges(expected, cols)
+    return psi_from_counts(bucket_counts(expected, edges, buckets), bucket_counts(actual, edges, buckets), unstable_above)
+
+
+def psi_from_counts(expected: DataFrame, actual: DataFrame, unstable_above: float = 0.1) -> DataFrame:
+    """PSI from two ``bucket_counts`` tables."""
+    zero = F.lit(0).cast("long")
+    both = expected.select("feature", "bucket", F.col("n").alias("e"), zero.alias("a")).unionByName(
+        actual.select("feature", "bucket", zero.alias("e"), F.col("n").alias("a"))).groupBy("feature", "bucket").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    w = W.partitionBy("feature")
 
-    def floor(c):
-        return F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, 0.0001).otherwise(F.col(c))
+    def share(c):
+        return F.when(F.col(c) == 0, 0.0001).otherwise(F.try_divide(F.col(c), F.sum(c).over(w)))
 
-    both = e.join(a, ["feature", "bucket"]).select("feature", floor("e").alias("e"), floor("a").alias("a"))
-    return both.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi")).withColumn(
+    shares = both.select("feature", "bucket", share("e").alias("e"), share("a").alias("a")).where("bucket >= 0")
+    return shares.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi")).withColumn(
         "unstable", F.col("psi") > unstable_above)

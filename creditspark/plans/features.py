@@ -62,12 +62,14 @@ STEPS = [E.features_utilization, E.features_payment, E.features_health, E.featur
 def _group(name, upto, plain, doubles):
     cols = f"{plain} {doubles}".split()
 
-    @query(name, rounded_sql(f"WITH {ENGINEERED} SELECT * FROM engineered", f"ID {plain}", doubles, 5))
+    digits = {"e02_features_utilization": 4, "e07_features_interaction": 6}.get(name, 5)
+
+    @query(name, rounded_sql(f"WITH {ENGINEERED} SELECT * FROM engineered", f"ID {plain}", doubles, digits))
     def run(spark, sf):
         df = credit_panel(spark, sf)
         for step in STEPS[:upto]:
             df = step(df)
-        return rounded(df.select("ID", *cols), 5)
+        return rounded(df.select("ID", *cols), digits)
 
 
 for _i, (_n, (_p, _d)) in enumerate(GROUPS.items(), 1):
