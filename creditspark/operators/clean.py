@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditspark.functions.neighbors import nearest
 from creditspark.functions.ordering import modes, quantile_dict
 from creditspark.operators.profiling import numeric_columns
 
@@ -76,6 +77,27 @@ def impute_auto(df: DataFrame, drop_above: float = 0.5) -> DataFrame:
     return fill(df, values)
 
 
+def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> DataFrame:
+    """Fill each column with the mean of its k nearest rows that have it.
+
+    Distances skip missing coordinates. A row without any common coordinate gets
+    the column mean. ``key`` is a unique whole number. Exact, so the work grows
+    with incomplete rows times complete ones; ``impute`` is the linear choice.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = df.select(F.col(key).cast("long").alias("id"), x.alias("x"), *[F.col(c).cast("double").alias(c) for c in cols])
+    share = null_shares(df, cols)
+    out = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    means = fit_fill_values(df, [c for c in cols if share[c] > 0], "mean")
+    for c in means:
+        near = nearest(rows.where(F.col(c).isNull()), rows.where(F.col(c).isNotNull()), k)
+        donors = rows.select(F.col("id").alias("neighbor"), F.col(c).alias("_v"))
+        got = near.join(donors, "neighbor").groupBy(F.col("query").alias("_q")).agg(F.avg("_v").alias("_f"))
+        out = out.join(got, F.col(key) == F.col("_q"), "left").withColumn(
+            c, F.coalesce(F.col(c), F.col("_f"), F.lit(means[c]))).drop("_q", "_f")
+    return out
+
+
 def fit_fences(df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 1.5) -> dict[str, tuple[float, float]]:
     """Lower and upper outlier bound per column."""
     if method == "iqr":

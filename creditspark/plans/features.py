@@ -14,6 +14,7 @@ from creditspark.plans.quality import union_sql
 from creditspark.plans.registry import query, rounded, rounded_sql
 from creditspark.sources.fixtures import (APPLICANTS, BILL_COLS, GAPS, LOANS, PAID_COLS, PANEL, PANEL_FEATURES, PAY_COLS, applicants,
                                           applicants_with_gaps, credit_panel, loans)
+from creditspark.sources.io import materialize
 
 
 def _list(cols):
@@ -198,7 +199,7 @@ def e18(spark, sf):
 
 @query("e19_rfe_rank")
 def e19(spark, sf):
-    names = S.rfe_rank(credit_panel(spark, sf), "target", ["LIMIT_BAL", "AGE", *PAY_COLS], k=5, trees=10, depth=4)
+    names = S.rfe_rank(materialize(credit_panel(spark, sf).select("LIMIT_BAL", "AGE", *PAY_COLS, "target")), "target", ["LIMIT_BAL", "AGE", *PAY_COLS], k=5, trees=10, depth=4)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, feature string")
 
 
