@@ -139,10 +139,13 @@ def _bracketed(df: DataFrame, cols, probs, by) -> DataFrame:
     eps = 5.0 / SKETCH_ACCURACY
     ends = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
     sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("s"))
+        F.count("*").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
+        F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("s"))
     k = len(probs)
+    few = F.col("n") * eps < 4  # so few rows that a bracket of this width may miss the next rank: take them all
     cells = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col("s")[i].alias("lo"), F.col("s")[k + i].alias("hi"))
+        F.struct(F.lit(p).alias("p"), F.when(few, F.col("mn")).otherwise(F.col("s")[i]).alias("lo"),
+                 F.when(few, F.col("mx")).otherwise(F.col("s")[k + i]).alias("hi"))
         for i, p in enumerate(probs)])
     brackets = sketch.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "n", F.explode(cells).alias("c"))

@@ -89,7 +89,7 @@ def e01(spark, sf):
 @query("e09_feature_pipeline", rounded_sql(f"WITH {ENGINEERED} SELECT * FROM engineered", "ID high_risk_demo pay_delay_frequency",
                                            "avg_utilization_ratio avg_pay_ratio overall_risk_score behavior_change age_risk_interaction limit_group", 5))
 def e09(spark, sf):
-    return rounded(E.feature_pipeline(credit_panel(spark, sf)).select(
+    return rounded(E.feature_pipeline(materialize(credit_panel(spark, sf), "panel")).select(
         "ID", "high_risk_demo", "pay_delay_frequency", "avg_utilization_ratio", "avg_pay_ratio", "overall_risk_score", "behavior_change",
         "age_risk_interaction", "limit_group"), 5)
 
@@ -153,7 +153,7 @@ def e14(spark, sf):
 @query("e14_full_preparation", f"""WITH {PANEL}, t AS (SELECT target, count(*) n, round(count(*) * 0.2) AS te FROM panel GROUP BY 1), v AS (SELECT *, round((n - te) * 0.25) AS va FROM t)
 SELECT target, 'test' AS split, CAST(te AS BIGINT) AS n FROM v UNION ALL SELECT target, 'validation', CAST(va AS BIGINT) FROM v UNION ALL SELECT target, 'train', CAST(n - te - va AS BIGINT) FROM v""")
 def e14f(spark, sf):
-    return X.full_preparation(credit_panel(spark, sf), "target", ["ID"]).groupBy("target", "split").agg(F.count("*").alias("n"))
+    return X.full_preparation(materialize(credit_panel(spark, sf), "panel"), "target", ["ID"]).groupBy("target", "split").agg(F.count("*").alias("n"))
 
 
 _FEATS = ["LIMIT_BAL", "AGE", *PAY_COLS, *BILL_COLS]

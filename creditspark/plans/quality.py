@@ -495,3 +495,13 @@ def c06(spark, sf):
 @query("c07_drop_constant", f"WITH {LOANS} SELECT loan_id, loan_amount FROM loans")
 def c07(spark, sf):
     return C.drop_constant(loans(spark, sf).select("loan_id", "loan_amount", F.lit(7).alias("same")))
+
+
+_TAU = ["age", "previous_defaults"]
+
+
+@query("a27_kendall", rounded_sql(f"""WITH {APPLICANTS}, s AS (SELECT sum(sign(p.age - q.age) * sign(p.previous_defaults - q.previous_defaults)) / 2 AS s FROM applicants p, applicants q),
+n AS (SELECT count(*) * (count(*) - 1) / 2 AS n0 FROM applicants), t1 AS (SELECT sum(c * (c - 1) / 2) AS n1 FROM (SELECT count(*) c FROM applicants GROUP BY age)), t2 AS (SELECT sum(c * (c - 1) / 2) AS n2 FROM (SELECT count(*) c FROM applicants GROUP BY previous_defaults))
+SELECT 'age' AS a, 'previous_defaults' AS b, s / sqrt((n0 - n1) * (n0 - n2)) AS r FROM s, n, t1, t2""", "a b", "r", 8))
+def a27k(spark, sf):
+    return rounded(Q.correlation_pairs(applicants(spark, sf), _TAU, "kendall"), 8)

@@ -8,7 +8,6 @@ are broadcast; the other joins are left to adaptive execution.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAY_COLS = ["PAY_0", "PAY_2", "PAY_3", "PAY_4", "PAY_5", "PAY_6"]
@@ -17,38 +16,48 @@ PAID_COLS = [f"PAY_AMT{i}" for i in range(1, 7)]
 PANEL_FEATURES = ["LIMIT_BAL", "SEX", "EDUCATION", "MARRIAGE", "AGE", *PAY_COLS, *BILL_COLS, *PAID_COLS]
 
 
+# Column types of the test tables, so that reading needs no inference job.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order in the shape of a loan book."""
-    nation = table(spark, sf_dir, "nation").join(
-        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    customer = table(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    first = F.substring("o_orderpriority", 1, 1)
-    return table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        o.alias("loan_id"),
-        c.alias("customer_id"),
-        F.col("o_totalprice").alias("loan_amount"),
-        F.col("o_orderdate").alias("origination_date"),
-        F.col("c_mktsegment").alias("product_type"),
-        F.col("r_name").alias("region"),
-        F.expr("substr(o_orderpriority, 3)").alias("acquisition_channel"),
-        F.when(first.isin("1", "2"), "High").when(first == "5", "Low").otherwise("Medium").alias("risk_category"),
-        F.when(o % 11 == 0, "default").otherwise("current").alias("status"),
-        (3 + o % 16).cast("double").alias("interest_rate"),
-        (12 * (1 + o % 5)).cast("int").alias("loan_term"),
-        (300 + (c * 37) % 551).cast("int").alias("credit_score"),
-        (20000 + (c * 7919) % 130001).cast("double").alias("annual_income"),
-        (20 + o % 180).cast("double").alias("acquisition_cost"),
-        (500 + (c * 104729) % 20000).cast("double").alias("customer_lifetime_value"),
-        (((o * 31) % 1000) / F.lit(1000.0)).alias("default_probability"),
-        (((c * 13) % 90) / F.lit(100.0)).alias("debt_to_income"),
-        (c % 40).cast("int").alias("employment_length"),
-        (18 + c % 63).cast("int").alias("age"),
+    nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
+    customer = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.expr("c_nationkey = n_nationkey"))
+    return table(spark, sf_dir, "orders").join(customer, F.expr("o_custkey = c_custkey")).selectExpr(
+        "o_orderkey AS loan_id",
+        "o_custkey AS customer_id",
+        "o_totalprice AS loan_amount",
+        "o_orderdate AS origination_date",
+        "c_mktsegment AS product_type",
+        "r_name AS region",
+        "substr(o_orderpriority, 3) AS acquisition_channel",
+        "CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'High' WHEN o_orderpriority LIKE '5%' THEN 'Low' ELSE 'Medium' END AS risk_category",
+        "CASE WHEN o_orderkey % 11 = 0 THEN 'default' ELSE 'current' END AS status",
+        "CAST(3 + o_orderkey % 16 AS DOUBLE) AS interest_rate",
+        "CAST(12 * (1 + o_orderkey % 5) AS INT) AS loan_term",
+        "CAST(300 + (o_custkey * 37) % 551 AS INT) AS credit_score",
+        "CAST(20000 + (o_custkey * 7919) % 130001 AS DOUBLE) AS annual_income",
+        "CAST(20 + o_orderkey % 180 AS DOUBLE) AS acquisition_cost",
+        "CAST(500 + (o_custkey * 104729) % 20000 AS DOUBLE) AS customer_lifetime_value",
+        "((o_orderkey * 31) % 1000) / 1000.0D AS default_probability",
+        "((o_custkey * 13) % 90) / 100.0D AS debt_to_income",
+        "CAST(o_custkey % 40 AS INT) AS employment_length",
+        "CAST(18 + o_custkey % 63 AS INT) AS age",
     )
 
 
@@ -77,46 +86,23 @@ def credit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six latest orders per customer side by side, in the card-client shape.
 
     ``row_number <= 6`` becomes a map-side group limit, so a customer with very
-    many orders sends at most six rows per input task through the shuffle.
+    many orders sends at most six rows per input task through the shuffle. The
+    pivot groups by the window's key and needs no shuffle of its own.
     """
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    key = F.col("o_orderkey")
-    recent = (
-        table(spark, sf_dir, "orders")
-        .withColumn("rn", F.row_number().over(w))
-        .where("rn <= 6")
-        .select("o_custkey", "o_orderkey", "o_totalprice", "rn",
-                F.when(F.col("o_orderpriority").startswith("5"), F.lit(-2))
-                .when(F.col("o_orderpriority").startswith("4"), F.lit(-1))
-                .when(F.col("o_orderpriority").startswith("3"), F.lit(0))
-                .when(F.col("o_orderpriority").startswith("2"), 1 + key % 2)
-                .otherwise(2 + key % 7).cast("int").alias("pay"))
-    )
-    paid = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("amt"))
-    rows = recent.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-
-    def at(i: int, c: str):
-        return F.max(F.when(F.col("rn") == i, F.col(c)))
-
-    wide = rows.groupBy("o_custkey").agg(
-        F.count("*").alias("n"),
-        *[at(i + 1, "pay").alias(PAY_COLS[i]) for i in range(6)],
-        *[at(i + 1, "o_totalprice").alias(BILL_COLS[i]) for i in range(6)],
-        *[F.coalesce(at(i + 1, "amt"), F.lit(0.0)).alias(PAID_COLS[i]) for i in range(6)],
-    ).where("n = 6")
-    k = F.col("c_custkey")
-    late = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in PAY_COLS), F.lit(0))
-    return wide.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == k).select(
-        k.alias("ID"),
-        (100000 + 100 * F.col("c_acctbal")).alias("LIMIT_BAL"),
-        (1 + k % 2).cast("int").alias("SEX"),
-        (1 + k % 4).cast("int").alias("EDUCATION"),
-        (1 + k % 3).cast("int").alias("MARRIAGE"),
-        (20 + k % 60).cast("int").alias("AGE"),
-        *PAY_COLS, *BILL_COLS, *PAID_COLS,
-        F.when(late >= 4, 1).otherwise(0).alias("target"),
-    )
+    recent = table(spark, sf_dir, "orders").selectExpr(
+        "*", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn").where("rn <= 6").selectExpr(
+        "o_custkey", "o_orderkey", "o_totalprice", "rn",
+        "CAST(CASE left(o_orderpriority, 1) WHEN '5' THEN -2 WHEN '4' THEN -1 WHEN '3' THEN 0 WHEN '2' THEN 1 + o_orderkey % 2 ELSE 2 + o_orderkey % 7 END AS INT) AS pay")
+    paid = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.expr("round(sum(l_extendedprice * (1 - l_discount)), 4) AS amt"))
+    rows = recent.join(paid, F.expr("o_orderkey = l_orderkey"), "left")
+    sides = [(PAY_COLS, "pay"), (BILL_COLS, "o_totalprice"), (PAID_COLS, "amt")]
+    at = [f"max(CASE WHEN rn = {i + 1} THEN {c} END) AS {cols[i]}" for cols, c in sides for i in range(6)]
+    wide = rows.groupBy("o_custkey").agg(F.expr("count(1) AS n"), *[F.expr(a) for a in at]).where("n = 6")
+    late = " + ".join(f"IF({c} > 0, 1, 0)" for c in PAY_COLS)
+    return wide.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
+        "c_custkey AS ID", "100000 + 100 * c_acctbal AS LIMIT_BAL", "CAST(1 + c_custkey % 2 AS INT) AS SEX",
+        "CAST(1 + c_custkey % 4 AS INT) AS EDUCATION", "CAST(1 + c_custkey % 3 AS INT) AS MARRIAGE", "CAST(20 + c_custkey % 60 AS INT) AS AGE",
+        *PAY_COLS, *BILL_COLS, *[f"coalesce({c}, 0.0D) AS {c}" for c in PAID_COLS], f"CASE WHEN {late} >= 4 THEN 1 ELSE 0 END AS target")
 
 
 def _panel_sql() -> str:
@@ -147,28 +133,27 @@ PANEL = _panel_sql()
 
 def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer in the shape of a loan application."""
-    k = F.col("c_custkey")
-    race = F.element_at(F.array(*[F.lit(x) for x in RACES]), (1 + k % len(RACES)).cast("int"))
-    return table(spark, sf_dir, "customer").select(
-        k.alias("customer_id"),
-        (18 + k % 63).cast("int").alias("age"),
-        F.when(k % 2 == 0, "Male").otherwise("Female").alias("sex"),
-        race.alias("race"),
-        F.when(k % 7 == 0, "Hispanic").otherwise("Non-Hispanic").alias("ethnicity"),
-        (20000 + (k * 7919) % 130001).cast("double").alias("annual_income"),
-        (1000 + (k * 53) % 7000).cast("double").alias("monthly_expenses"),
-        ((k * 97) % 100000).cast("double").alias("existing_debt"),
-        (k % 30).cast("int").alias("credit_history_length"),
-        (k % 3).cast("int").alias("previous_defaults"),
-        ((k * 41) % 100).cast("int").alias("credit_utilization"),
-        (300 + (k * 37) % 551).cast("int").alias("credit_score"),
-        (((k * 13) % 90) / F.lit(100.0)).alias("debt_to_income_ratio"),
-        (k % 40).cast("double").alias("employment_length"),
-        (1000 + (k * 611) % 400000).cast("double").alias("loan_amount"),
-        F.when(k % 3 == 0, "home").when(k % 3 == 1, "auto").otherwise("personal").alias("loan_purpose"),
-        F.when(k % 11 == 0, 1).otherwise(0).alias("defaulted"),
-        F.when(((k * 37) % 551) > 250, 1).otherwise(0).alias("loan_approved"),
-        F.when(((k * 37) % 551 + k % 40) > 255, 1).otherwise(0).alias("predicted_approval"),
+    race = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RACES))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS customer_id",
+        "CAST(18 + c_custkey % 63 AS INT) AS age",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex",
+        f"CASE c_custkey % {len(RACES)} {race} END AS race",
+        "CASE WHEN c_custkey % 7 = 0 THEN 'Hispanic' ELSE 'Non-Hispanic' END AS ethnicity",
+        "CAST(20000 + (c_custkey * 7919) % 130001 AS DOUBLE) AS annual_income",
+        "CAST(1000 + (c_custkey * 53) % 7000 AS DOUBLE) AS monthly_expenses",
+        "CAST((c_custkey * 97) % 100000 AS DOUBLE) AS existing_debt",
+        "CAST(c_custkey % 30 AS INT) AS credit_history_length",
+        "CAST(c_custkey % 3 AS INT) AS previous_defaults",
+        "CAST((c_custkey * 41) % 100 AS INT) AS credit_utilization",
+        "CAST(300 + (c_custkey * 37) % 551 AS INT) AS credit_score",
+        "((c_custkey * 13) % 90) / 100.0D AS debt_to_income_ratio",
+        "CAST(c_custkey % 40 AS DOUBLE) AS employment_length",
+        "CAST(1000 + (c_custkey * 611) % 400000 AS DOUBLE) AS loan_amount",
+        "CASE c_custkey % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'auto' ELSE 'personal' END AS loan_purpose",
+        "CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS defaulted",
+        "CASE WHEN (c_custkey * 37) % 551 > 250 THEN 1 ELSE 0 END AS loan_approved",
+        "CASE WHEN (c_custkey * 37) % 551 + c_custkey % 40 > 255 THEN 1 ELSE 0 END AS predicted_approval",
     )
 
 
