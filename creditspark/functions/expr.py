@@ -120,17 +120,31 @@ def clip(c: Column | str, lo=None, hi=None) -> Column:
 
 # --- statistics across the columns of one row, skipping nulls -----------------
 
+# Each helper is parsed as one expression: building it term by term costs a
+# round trip to the JVM per term.
+
+def _terms(cols: Sequence[str], term: str, sep: str = " + ") -> str:
+    return "(" + sep.join(term.format(c=f"`{c}`") for c in cols) + ")"
+
+
+def _count_sql(cols: Sequence[str]) -> str:
+    return _terms(cols, "IF({c} IS NULL, 0, 1)")
+
+
+def _sum_sql(cols: Sequence[str]) -> str:
+    return _terms(cols, "coalesce(CAST({c} AS DOUBLE), 0.0D)")
+
+
 def row_count(cols: Sequence[str]) -> Column:
-    return sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
+    return F.expr(_count_sql(cols))
 
 
 def row_sum(cols: Sequence[str]) -> Column:
-    return sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols[1:]),
-               F.coalesce(F.col(cols[0]).cast("double"), F.lit(0.0)))
+    return F.expr(_sum_sql(cols))
 
 
 def row_mean(cols: Sequence[str]) -> Column:
-    return F.try_divide(row_sum(cols), row_count(cols))
+    return F.expr(f"try_divide({_sum_sql(cols)}, {_count_sql(cols)})")
 
 
 def row_max(cols: Sequence[str]) -> Column:
@@ -143,14 +157,15 @@ def row_min(cols: Sequence[str]) -> Column:
 
 def row_std(cols: Sequence[str]) -> Column:
     """Sample standard deviation (ddof 1) in the two-pass form, null below two values."""
-    mean = row_mean(cols)
-    ss = sum((F.coalesce(F.pow(F.col(c) - mean, F.lit(2.0)), F.lit(0.0)) for c in cols), F.lit(0.0))
-    n = row_count(cols)
-    return F.when(n > 1, F.sqrt(ss / F.when(n > 1, n - 1)))
+    mean = f"try_divide({_sum_sql(cols)}, {_count_sql(cols)})"
+    squares = _terms(cols, "coalesce(pow({c} - m, 2), 0.0D)").replace(" - m,", f" - {mean},")
+    n = _count_sql(cols)
+    return F.expr(f"CASE WHEN {n} > 1 THEN sqrt({squares} / ({n} - 1)) END")
 
 
-def row_count_if(cols: Sequence[str], test) -> Column:
-    return sum((F.when(test(F.col(c)), 1).otherwise(0) for c in cols), F.lit(0))
+def row_count_if(cols: Sequence[str], test: str) -> Column:
+    """Columns that meet ``test``, a comparison such as ``> 0``."""
+    return F.expr(_terms(cols, "IF({c} " + test + ", 1, 0)"))
 
 
 # --- loans --------------------------------------------------------------------

@@ -30,18 +30,18 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1) -> DataFrame:
     distances go to the smaller id.
     """
     qn, cn = _blocks(queries.count(), QUERY_BLOCK), _blocks(candidates.count(), CANDIDATE_BLOCK)
-    q = queries.select("id", "x", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(qn)).alias("qb"),
+    q = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(qn)).alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(cn - 1))).alias("cb"))
-    c = candidates.select("id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qn - 1).cast("long"))).alias("qb"),
+    c = candidates.select(F.col("id").alias("cid"), F.col("x").alias("cx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qn - 1).cast("long"))).alias("qb"),
                           F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(cn)).cast("int").alias("cb"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"query": [], "neighbor": [], "d2": []})
-        right = right.sort_values("id")
-        a = np.stack([np.asarray(v, dtype=float) for v in left["x"]])
-        b = np.stack([np.asarray(v, dtype=float) for v in right["x"]])
-        ids, dims = right["id"].to_numpy(), a.shape[1]
+        right = right.sort_values("cid")
+        a = np.stack([np.asarray(v, dtype=float) for v in left["qx"]])
+        b = np.stack([np.asarray(v, dtype=float) for v in right["cx"]])
+        ids, dims = right["cid"].to_numpy(), a.shape[1]
         gaps = bool(np.isnan(a).any() or np.isnan(b).any())
         out = []
         for lo in range(0, len(a), 64):
@@ -61,7 +61,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 1) -> DataFrame:
             # stable order keeps the smaller id first among equal distances
             best = np.argsort(d2, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({
-                "query": np.repeat(left["id"].to_numpy()[lo:lo + 64], best.shape[1]), "neighbor": ids[best].ravel(),
+                "query": np.repeat(left["qid"].to_numpy()[lo:lo + 64], best.shape[1]), "neighbor": ids[best].ravel(),
                 "d2": np.take_along_axis(d2, best, axis=1).ravel()}))
         res = pd.concat(out)
         return res[np.isfinite(res["d2"])]

@@ -105,6 +105,11 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
         list(by), list(cols), name, value)
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """Constant array of doubles, parsed as one expression."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
 def _needs_brackets(df: DataFrame, cols: Sequence[str], by: Sequence[str], task_rows: int) -> bool:
     """Whether any (group, column) buffer would exceed ``task_rows`` values."""
     if by:
@@ -123,13 +128,13 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     """
     by, probs = list(by), [float(p) for p in probs]
     if not _needs_brackets(df, cols, by, task_rows):
-        aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
+        aggs = [F.percentile(F.col(f"`{c}`").cast("double"), double_array(probs)).alias(f"q{i}")
                 for i, c in enumerate(cols)]
         wide = df.groupBy(*by).agg(*aggs)
         cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
         return (wide.select(*by, F.explode(cells).alias("c"))
                 .select(*by, "c.feature", F.posexplode("c.q").alias("_i", "value"))
-                .select(*by, "feature", F.get(F.array(*[F.lit(p) for p in probs]), F.col("_i")).alias("p"), "value"))
+                .select(*by, "feature", F.get(double_array(probs), F.col("_i")).alias("p"), "value"))
     return _bracketed(df, cols, probs, by)
 
 

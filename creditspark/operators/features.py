@@ -33,7 +33,7 @@ def features_basic(df: DataFrame) -> DataFrame:
         out[f"payment_ratio_{i}"] = _over(f"PAY_AMT{i}", f"BILL_AMT{i}")
     out["avg_bill_amt"] = row_mean(BILLS)
     out["avg_pay_amt"] = row_mean(PAYMENTS)
-    out["delay_count"] = row_count_if(PAY_STATUS, lambda c: c > 0)
+    out["delay_count"] = row_count_if(PAY_STATUS, "> 0")
     out["max_delay"] = row_max(PAY_STATUS)
     return df.withColumns(out)
 
@@ -53,8 +53,8 @@ def features_payment(df: DataFrame) -> DataFrame:
     ratios = [f"pay_ratio_{i}" for i in range(1, 7)]
     return df.withColumns({
         "avg_pay_status": row_mean(PAY_STATUS), "max_pay_delay": row_max(PAY_STATUS),
-        "pay_delay_frequency": row_count_if(PAY_STATUS, lambda c: c > 0),
-        "severe_delay_count": row_count_if(PAY_STATUS, lambda c: c >= 2),
+        "pay_delay_frequency": row_count_if(PAY_STATUS, "> 0"),
+        "severe_delay_count": row_count_if(PAY_STATUS, ">= 2"),
         "avg_pay_amt": row_mean(PAYMENTS), "total_pay_amt": row_sum(PAYMENTS),
         **{r: _over(p, b) for r, p, b in zip(ratios, PAYMENTS, BILLS)},
     }).withColumns({
@@ -127,17 +127,15 @@ def finish_features(df: DataFrame) -> DataFrame:
     so, hence one pass finds both the gaps and the constant columns.
     """
     cols = numeric_columns(df)
-    inf = float("inf")
 
     def finite(c):
-        x = F.col(f"`{c}`").cast("double")
-        return F.when(~x.isin(inf, -inf) & ~F.isnan(x), F.col(f"`{c}`"))
+        x = f"CAST(`{c}` AS DOUBLE)"
+        return f"CASE WHEN NOT isnan({x}) AND abs({x}) < DOUBLE('infinity') THEN `{c}` END"
 
-    r = df.agg(F.count("*").alias("n"), *[a for i, c in enumerate(cols) for a in (
-        F.count(finite(c)).alias(f"n{i}"), F.var_samp(finite(c).cast("double")).alias(f"v{i}"))]).first()
+    r = df.agg(F.count("*").alias("n"), *[F.expr(f"{fn}({finite(c)}) AS {a}{i}") for i, c in enumerate(cols) for fn, a in (("count", "n"), ("var_samp", "v"))]).first()
     gaps = [c for i, c in enumerate(cols) if r[f"n{i}"] < r["n"]]
     flat = [c for i, c in enumerate(cols) if r[f"v{i}"] == 0]
-    df = df.withColumns({c: finite(c) for c in gaps})
+    df = df.withColumns({c: F.expr(finite(c)) for c in gaps})
     return fill(df, fit_fill_values(df, [c for c in gaps if c not in flat], "median")).drop(*flat)
 
 

@@ -19,6 +19,7 @@ def build_session(app: str = "creditspark", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site lookup per column expression
         **conf,
     }
     for k, v in settings.items():
