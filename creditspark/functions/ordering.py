@@ -53,8 +53,13 @@ def hash_rank(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), seed:
     return out.drop("_hr_h", "_hr_b", "_hr_r", "_hr_off", "_hr_all", "_hr_kb", *[f"_hr_k{i}" for i in range(len(by))])
 
 
-def value_splits(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> list[float]:
-    """Inner bucket edges that leave about ``task_rows`` rows per bucket; empty when one suffices."""
+def value_splits(df: DataFrame, column: str, task_rows: int = TASK_ROWS, bound: DataFrame | None = None) -> list[float]:
+    """Inner bucket edges that leave about ``task_rows`` rows per bucket; empty when one suffices.
+
+    ``bound`` is a table with at least as many rows that is cheaper to count.
+    """
+    if bound is not None and bound.count() <= task_rows:
+        return []
     n = df.where(F.col(column).isNotNull()).count()
     if n <= task_rows:
         return []
@@ -65,14 +70,15 @@ def value_splits(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> list
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   descending: bool = False, prefix: str = "cum_", task_rows: int = TASK_ROWS) -> DataFrame:
+                   descending: bool = False, prefix: str = "cum_", task_rows: int = TASK_ROWS,
+                   bound: DataFrame | None = None) -> DataFrame:
     """Running sums of ``sums`` along a numeric column with distinct values per ``by``.
 
     Pre-aggregate to one row per (by, order) first. Above ``task_rows`` rows the
     order column is cut into buckets, so no task orders the whole table.
     """
     by = list(by)
-    edges = value_splits(df, order, task_rows)
+    edges = value_splits(df, order, task_rows, bound)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     if not edges:
         w = W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
@@ -94,7 +100,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
 def average_ranks(df: DataFrame, column: str, rank: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Distinct values of ``column`` with their tie-averaged 1-based rank."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    return running_totals(counts, column, ["_n"], task_rows=task_rows).select(
+    return running_totals(counts, column, ["_n"], task_rows=task_rows, bound=df).select(
         F.col(column), (F.col("cum__n") - (F.col("_n") - 1) / F.lit(2.0)).alias(rank))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditspark.functions.expr import banded, safe_divide, texts
-from creditspark.functions.ordering import TASK_ROWS, running_totals
+from creditspark.functions.ordering import TASK_ROWS, double_array, running_totals
 
 EPS = 2.220446049250313e-16
 
@@ -71,30 +71,37 @@ def weighted_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[st
 
 def score_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per distinct score with running true and false positives from the top."""
-    pts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    run = running_totals(pts, "score", ["pos", "neg"], by, descending=True, task_rows=task_rows)
-    totals = pts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    out = run.join(totals, list(by)) if by else run.crossJoin(F.broadcast(totals))  # totals: one row
-    return out.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+    pts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).where("score is not null")
+    run = running_totals(pts, "score", ["pos", "neg"], by, descending=True, task_rows=task_rows, bound=df)
+    return run.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+
+
+def with_totals(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add the class totals P and N: the last running counts of each group."""
+    totals = points.groupBy(*by).agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
+    if by:
+        return points.join(totals, list(by))
+    one = totals.select(F.struct("P", "N")).scalar()
+    return points.withColumns({"P": one["P"], "N": one["N"]})
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half."""
     pts = score_points(df, label, score, by, task_rows)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return pts.groupBy(*by).agg(F.try_divide(area, F.max("P").cast("double") * F.max("N")).alias("roc_auc"))
+    return pts.groupBy(*by).agg(F.try_divide(area, F.max("tp").cast("double") * F.max("fp")).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score; ``bins`` rounds scores down to a grid first."""
-    pts = score_points(_gridded(df, score, bins), label, score, by)
+    pts = with_totals(score_points(_gridded(df, score, bins), label, score, by), by)
     return pts.select(*by, F.col("score").alias("threshold"), safe_divide("fp", "N").alias("fpr"), safe_divide("tp", "P").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """(threshold, precision, recall) per distinct score."""
-    pts = score_points(_gridded(df, score, bins), label, score, by)
+    pts = with_totals(score_points(_gridded(df, score, bins), label, score, by), by)
     return pts.select(*by, F.col("score").alias("threshold"), safe_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
                       safe_divide("tp", "P").alias("recall"))
 
@@ -106,7 +113,7 @@ def _gridded(df: DataFrame, score: str, bins: int | None) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times the recall step at each distinct score."""
     pts = score_points(df, label, score, by)
-    return pts.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("P")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
+    return pts.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("tp")).alias("average_precision"))
 
 
 def log_loss(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -120,7 +127,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str, points: int = 100) ->
     0 where only one class is predicted.
     """
     cuts = [i * (1.0 / (points - 1)) for i in range(points - 1)] + [1.0]
-    p, arr = F.col(score), F.array(*[F.lit(t) for t in cuts])
+    p, arr = F.col(score), double_array(cuts)
     k = F.least(F.greatest(F.floor(p * (points - 1)).cast("int"), F.lit(0)), F.lit(points - 1))
     k = F.when(F.get(arr, k + 1) <= p, k + 1).when(F.get(arr, k) > p, k - 1).otherwise(k)  # exact at the cut values
     counts = df.where(p.isNotNull()).select(k.alias("k"), F.col(label).alias("y")).groupBy("k").agg(

@@ -92,20 +92,25 @@ def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
 def chi_square(cells: DataFrame, by: Sequence[str], row: str, col: str, n: str = "n") -> DataFrame:
     """Chi-square statistic and degrees of freedom of a long contingency table.
 
-    ``cells`` holds one row per non-empty cell. Empty cells add their expected
-    count; with one degree of freedom the continuity correction applies.
+    ``cells`` holds one row per non-empty cell; an empty cell adds its expected
+    count, which follows from the total. With one degree of freedom the
+    continuity correction applies: all four cells then differ from their
+    expectation by the same amount, so the sum needs the margins only.
     """
-    rows = cells.groupBy(*by, row).agg(F.sum(n).alias("r"))
-    cols = cells.groupBy(*by, col).agg(F.sum(n).alias("c"))
-    grid = rows.join(cols, list(by)) if by else rows.crossJoin(cols)  # group labels times outcome labels
-    full = grid.join(cells.select(*by, row, col, F.col(n).alias("o")), [*by, row, col], "left")
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    total = F.sum(F.coalesce("o", F.lit(0))).over(w)
-    k = full.withColumn("e", F.col("r") * F.col("c") / total).withColumn("d", F.abs(F.coalesce("o", F.lit(0)) - F.col("e")))
-    shape = k.groupBy(*by).agg(
-        ((F.count_distinct(row) - 1) * (F.count_distinct(col) - 1)).alias("dof"), F.sum(F.col("d") * F.col("d") / F.col("e")).alias("plain"),
-        F.sum(F.pow(F.col("d") - F.least(F.lit(0.5), F.col("d")), F.lit(2.0)) / F.col("e")).alias("corrected"))
-    return shape.select(*by, F.when(F.col("dof") == 1, F.col("corrected")).otherwise(F.col("plain")).alias("chi_square"), "dof")
+    def over(*keys):
+        return W.partitionBy(*by, *keys) if by or keys else W.partitionBy(F.lit(1))
+
+    o = F.col(n).cast("double")
+    m = cells.withColumns({"_t": F.sum(o).over(over()), "_r": F.sum(o).over(over(row)), "_c": F.sum(o).over(over(col)),
+                           "_kr": F.count("*").over(over(row)), "_kc": F.count("*").over(over(col))})
+    m = m.withColumn("_e", F.col("_r") * F.col("_c") / F.col("_t")).withColumn("_d", F.abs(o - F.col("_e")))
+    s = m.groupBy(*by).agg(
+        ((F.count_distinct(row) - 1) * (F.count_distinct(col) - 1)).alias("dof"),
+        (F.sum(F.col("_d") * F.col("_d") / F.col("_e")) + F.max("_t") - F.sum("_e")).alias("plain"),
+        F.max("_t").alias("t"), F.max("_d").alias("d"), F.sum(1 / (F.col("_r") * F.col("_kr"))).alias("ir"), F.sum(1 / (F.col("_c") * F.col("_kc"))).alias("ic"))
+    shifted = F.col("d") - F.least(F.lit(0.5), F.col("d"))
+    corrected = shifted * shifted * F.col("t") * F.col("ir") * F.col("ic")
+    return s.select(*by, F.when(F.col("dof") == 1, corrected).otherwise(F.col("plain")).alias("chi_square"), "dof")
 
 
 def adverse_impact(df: DataFrame, outcome: str, attrs: Sequence[str], alpha: float = 0.05) -> DataFrame:

@@ -22,7 +22,8 @@ cm AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1)::DOUBLE tp, c
 
 
 def labelled(spark, sf):
-    score = F.round("composite_score", 6)
+    # known to be non-null, so no filter on it is copied into the scan
+    score = F.coalesce(F.round("composite_score", 6), F.lit(0.0))
     return composite(spark, sf).select(
         "loan_id", F.when(F.col("status") == "default", 1).otherwise(0).alias("label"), score.alias("score"),
         F.col("default_probability").alias("other"), F.when(score >= 0.5, 1).otherwise(0).alias("prediction"))
