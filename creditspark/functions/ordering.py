@@ -83,7 +83,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     if not edges:
         w = W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sums})
-    rows = (Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_v", outputCol="_b")
+    rows = (Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_v", outputCol="_b", handleInvalid="keep")
             .transform(df.withColumn("_v", F.col(order).cast("double"))).drop("_v"))
     totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     bdir = F.col("_b").desc() if descending else F.col("_b").asc()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditspark.functions.ordering import SKETCH_ACCURACY, TASK_ROWS, quantile_dict
-from creditspark.operators.profiling import numeric_columns, text_columns
+from creditspark.operators.profiling import numeric_columns
 
 MAX_CATEGORIES = 1000  # one-hot makes a column per category
 
@@ -144,11 +144,33 @@ def encode_label(df: DataFrame, column: str, name: str | None = None) -> DataFra
     return df.join(codes, F.col(column) == F.col("value"), "left").drop("value")
 
 
+def fit_preparation(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scaling: str = "standard") -> dict:
+    """Column-wise preparation state: medians, scaling of the filled columns, sorted category levels."""
+    from creditspark.operators.clean import fill, fit_fill_values
+
+    medians = fit_fill_values(df, numeric, "median")
+    doubles = df.withColumns({c: F.col(c).cast("double") for c in numeric})
+    levels = {c: categories(df.select(F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c)), c) for c in categorical}
+    return {"median": medians, "scale": fit_scaler(fill(doubles, medians), numeric, scaling), "levels": levels}
+
+
+def apply_preparation(df: DataFrame, fitted: dict) -> DataFrame:
+    """Fill and scale the numbers, one-hot the text; rows unseen in the fit are handled alike."""
+    from creditspark.operators.clean import fill
+
+    doubles = df.withColumns({c: F.col(c).cast("double") for c in fitted["scale"]})
+    scaled = apply_scaler(fill(doubles, fitted["median"]), fitted["scale"])
+    return encode_onehot(scaled, list(fitted["levels"]), fitted["levels"])
+
+
 def prep_pipeline(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
-    """Column-wise preparation as one ``pyspark.ml`` pipeline: median and scaling, one-hot of text."""
+    """The preparation as ``pyspark.ml`` stages, for use in front of an estimator.
+
+    Differs from ``fit_preparation`` in what the stages offer: the median is an
+    approximate quantile, the scale the sample deviation, and no category is dropped.
+    """
     numeric, categorical = list(numeric), list(categorical)
-    stages = []
-    inputs = []
+    stages, inputs = [], []
     if numeric:
         stages += [
             Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric], relativeError=1e-5),
@@ -157,13 +179,10 @@ def prep_pipeline(numeric: Sequence[str], categorical: Sequence[str]) -> Pipelin
         inputs.append("numeric_scaled")
     if categorical:
         stages += [
-            StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical],
-                          stringOrderType="alphabetDesc", handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical],
-                          dropLast=True, handleInvalid="keep")]
+            StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], dropLast=True)]
         inputs += [f"{c}_hot" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
 
 
 def full_preparation(df: DataFrame, target: str, keys: Sequence[str], fit_on_train: bool = False) -> DataFrame:
@@ -184,6 +203,3 @@ def full_preparation(df: DataFrame, target: str, keys: Sequence[str], fit_on_tra
     base = df.where(F.col("split") == "train") if fit_on_train else df
     return apply_scaler(df, fit_scaler(base, cols))
 
-
-__all__ = ["scale", "fit_scaler", "apply_scaler", "encode_onehot", "encode_label", "label_codes", "prep_pipeline",
-           "quantile_to_normal", "full_preparation", "text_columns"]

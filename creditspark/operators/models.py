@@ -18,6 +18,7 @@ from creditspark.operators import evaluation as V
 from creditspark.operators.columns import select_features
 from creditspark.operators.rows import best_by
 from creditspark.operators.text import factor_lists
+from creditspark.sources.io import materialize
 
 FEATURES = "features"
 
@@ -184,8 +185,11 @@ def add_folds(df: DataFrame, keys: Sequence[str], label: str, k: int = 5, seed:
 
 def cross_validate(df: DataFrame, cols: Sequence[str], label: str, family: str, keys: Sequence[str], k: int = 5, seed: int = 42,
                    train_scores: bool = False, **params) -> DataFrame:
-    """Metrics per fold (and on the training part when asked), from one union of scored folds."""
-    data = add_folds(select_features(df, cols, [label, *keys]), keys, label, k, seed).persist()
+    """Metrics per fold (and on the training part when asked), from one union of scored folds.
+
+    The folded table is written once: every fold trains and scores from it.
+    """
+    data = materialize(add_folds(select_features(df, cols, [label, *keys]), keys, label, k, seed), "folds")
     parts = []
     for f in range(k):
         model = train_model(data.where(F.col("fold") != f), cols, label, family, seed, **params)

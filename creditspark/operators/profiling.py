@@ -139,13 +139,13 @@ def feature_metadata(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def feature_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Columns added and removed by feature engineering; a schema comparison without a job."""
+    """Shape before and after feature engineering: columns kept, added and removed, rows and cells."""
     a, b = before.columns, after.columns
     new, gone = [c for c in b if c not in a], [c for c in a if c not in b]
     rows = [("original", ",".join(a), len(a)), ("final", ",".join(b), len(b)), ("new", ",".join(new), len(new)),
             ("removed", ",".join(gone), len(gone))]
     return after.sparkSession.createDataFrame(rows, "item string, columns string, n int").withColumn(
-        "ratio", F.col("n") / F.lit(float(len(a))))
+        "ratio", F.col("n") / F.lit(float(len(a)))).withColumn("rows", after.agg(F.count("*")).scalar()).withColumn("cells", F.col("n") * F.col("rows"))
 
 
 def missing_report(df: DataFrame) -> DataFrame:

@@ -146,9 +146,15 @@ def row_rules(df: DataFrame, email: str | None = None, phone: str | None = None,
 
 
 def schema_match(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Missing and extra column names; a schema comparison without a job."""
-    rows = [("missing", c) for c in expected if c not in df.columns] + [("extra", c) for c in df.columns if c not in expected]
-    return df.sparkSession.createDataFrame(rows, "kind string, column string")
+    """Missing and extra columns against an expected list, with the values an extra column holds."""
+    rows = [("missing", c, F.lit(0)) for c in expected if c not in df.columns]
+    extra = [c for c in df.columns if c not in expected]
+    counts = df.agg(F.count("*").alias("_n"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(extra)])
+    rows += [("extra", c, F.col(f"n{i}")) for i, c in enumerate(extra)]
+    cells = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), n.cast("long").alias("values")) for k, c, n in rows]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "kind string, column string, values long")
+    return counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> None:

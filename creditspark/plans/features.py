@@ -142,8 +142,17 @@ def e13(spark, sf):
     return X.encode_label(loans(spark, sf), "product_type").select("loan_id", "product_type_code")
 
 
-@query("e14_prep_pipeline")
+@query("e14_prep_pipeline", rounded_sql(f"""WITH {GAPS}, f AS (SELECT customer_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM gaps)) AS age, coalesce(annual_income, (SELECT median(annual_income) FROM gaps)) AS annual_income, coalesce(loan_purpose, 'missing') AS p FROM gaps)
+SELECT customer_id, (age - avg(age) OVER ()) / stddev_pop(age) OVER () AS age, (annual_income - avg(annual_income) OVER ()) / stddev_pop(annual_income) OVER () AS annual_income,
+ CASE WHEN p = 'home' THEN 1.0 ELSE 0.0 END AS loan_purpose_home, CASE WHEN p = 'missing' THEN 1.0 ELSE 0.0 END AS loan_purpose_missing, CASE WHEN p = 'personal' THEN 1.0 ELSE 0.0 END AS loan_purpose_personal FROM f""",
+    "customer_id", "age annual_income loan_purpose_home loan_purpose_missing loan_purpose_personal", 6))
 def e14(spark, sf):
+    df = applicants_with_gaps(spark, sf).select("customer_id", "age", "annual_income", "loan_purpose")
+    return rounded(X.apply_preparation(df, X.fit_preparation(df, ["age", "annual_income"], ["loan_purpose"])), 6)
+
+
+@query("e14_ml_pipeline")
+def e14ml(spark, sf):
     from pyspark.ml.functions import vector_to_array
     df = applicants_with_gaps(spark, sf).withColumn("age", F.col("age").cast("double"))
     out = X.prep_pipeline(["age", "annual_income"], ["loan_purpose"]).fit(df).transform(df)
@@ -248,7 +257,8 @@ def m09(spark, sf):
     return df.select("loan_id", bin_by_edges("loan_amount", [q[i / 5] for i in range(6)]).alias("bin"))
 
 
-@query("a22_feature_report", f"""SELECT item, n, n / {float(len(PANEL_FEATURES) + 2)} AS ratio FROM (SELECT 'original' AS item, {len(PANEL_FEATURES) + 2} AS n UNION ALL SELECT 'final', {len(PANEL_FEATURES) + 18} UNION ALL SELECT 'new', 16 UNION ALL SELECT 'removed', 0)""")
+@query("a22_feature_report", f"""WITH {PANEL}, r AS (SELECT count(*) AS n FROM panel), i AS (SELECT 'original' AS item, {len(PANEL_FEATURES) + 2} AS n UNION ALL SELECT 'final', {len(PANEL_FEATURES) + 18} UNION ALL SELECT 'new', 16 UNION ALL SELECT 'removed', 0)
+SELECT item, i.n, i.n / {float(len(PANEL_FEATURES) + 2)} AS ratio, r.n AS "rows", i.n * r.n AS cells FROM i, r""")
 def a22(spark, sf):
     df = credit_panel(spark, sf)
-    return Q.feature_report(df, E.features_basic(df)).select("item", "n", "ratio")
+    return Q.feature_report(df, E.features_basic(df)).select("item", "n", "ratio", "rows", "cells")

@@ -287,10 +287,13 @@ def g07(spark, sf):
     return G.cluster_insights(p, names={"credit_score": "credit_score", "income": "annual_income", "age": "age"}).select("cluster", F.concat_ws("; ", "insights").alias("insights"))
 
 
-@query("g08_pca_2d")
+@query("g08_pca_2d", rounded_sql(f"""WITH {APPLICANTS}, z AS (SELECT customer_id, (credit_score - avg(credit_score) OVER ()) / stddev_pop(credit_score) OVER () AS a, (annual_income - avg(annual_income) OVER ()) / stddev_pop(annual_income) OVER () AS b FROM applicants),
+r AS (SELECT sign(corr(a, b)) AS s, abs(corr(a, b)) AS c FROM z) SELECT customer_id, abs(a + s * b) / sqrt(2) AS pc1, abs(a - s * b) / sqrt(2) AS pc2, (1 + c) / 2 AS share1, (1 - c) / 2 AS share2 FROM z, r""", "customer_id", "pc1 pc2 share1 share2", 6))
 def g08(spark, sf):
-    df, _ = G.pca_2d(prepared(spark, sf), Z, ["customer_id"])
-    return df
+    # two standardized columns have a closed form; components are compared up to their sign
+    df = G.prepare(applicants(spark, sf).select("customer_id", "credit_score", "annual_income"), ["credit_score", "annual_income"])
+    pcs, share = G.pca_2d(df, ["z_credit_score", "z_annual_income"], ["customer_id"])
+    return rounded(pcs.select("customer_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"), F.lit(share[0]).alias("share1"), F.lit(share[1]).alias("share2")), 6)
 
 
 # --- Z: streaming -----------------------------------------------------------------------

@@ -254,6 +254,12 @@ def f11(spark, sf):
     return V.row_rules(df, "email", "phone", "score").select("c_custkey", "valid_email", "valid_phone", "valid_score")
 
 
+@query("f12_schema_match", f"""WITH {GAPS} SELECT 'missing' AS kind, 'income' AS "column", CAST(0 AS BIGINT) AS "values" UNION ALL SELECT 'extra', 'annual_income', count(annual_income) FROM gaps
+UNION ALL SELECT 'extra', 'loan_purpose', count(loan_purpose) FROM gaps UNION ALL SELECT 'extra', 'existing_debt', count(existing_debt) FROM gaps UNION ALL SELECT 'extra', 'defaulted', count(defaulted) FROM gaps""")
+def f12(spark, sf):
+    return V.schema_match(applicants_with_gaps(spark, sf), ["customer_id", "age", "income", "credit_score"])
+
+
 # --- K: sorting, top-k, sampling, sets -----------------------------------------
 
 @query("k01_head_preview", f"WITH {LOANS} SELECT loan_id, loan_amount FROM loans ORDER BY loan_id LIMIT 5")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from creditspark.operators.selection import bucket_counts, psi_edges, psi_from_counts
+from creditspark.sources.io import materialize
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, file_glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def drift_monitor(rows: DataFrame, baseline: DataFrame, cols: list[str], out: st
     Each batch overwrites its own folder, so a repeated batch does not double.
     """
     edges = psi_edges(baseline, cols)
-    expected = bucket_counts(baseline, edges, 10).persist()  # features times buckets rows
+    expected = materialize(bucket_counts(baseline, edges, 10), "baseline")  # features times buckets rows
 
     def check(batch: DataFrame, batch_id: int) -> None:
         psi_from_counts(expected, bucket_counts(batch, edges, 10), alert_above).withColumnRenamed("unstable", "alert").write.mode(
