@@ -116,13 +116,19 @@ def double_array(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
-def _needs_brackets(df: DataFrame, cols: Sequence[str], by: Sequence[str], task_rows: int) -> bool:
-    """Whether any (group, column) buffer would exceed ``task_rows`` values."""
+def fits_buffers(df: DataFrame, by: Sequence[str] = (), task_rows: int = TASK_ROWS) -> bool:
+    """Whether every group is counted to be small enough for exact percentile buffers."""
     if by:
         largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     else:
         largest = df.count()
-    return (largest or 0) > task_rows
+    return (largest or 0) <= task_rows
+
+
+def exact_percentiles(c: Column | str, probs: Sequence[float]) -> Column:
+    """Aggregate with all quantiles of a column; only for groups that ``fits_buffers`` accepts."""
+    x = F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.percentile(x.cast("double"), double_array(probs))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -133,9 +139,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     a sketch brackets each wanted rank, then only bracketed values are ordered.
     """
     by, probs = list(by), [float(p) for p in probs]
-    if not _needs_brackets(df, cols, by, task_rows):
-        aggs = [F.percentile(F.col(f"`{c}`").cast("double"), double_array(probs)).alias(f"q{i}")
-                for i, c in enumerate(cols)]
+    if fits_buffers(df, by, task_rows):
+        aggs = [exact_percentiles(c, probs).alias(f"q{i}") for i, c in enumerate(cols)]
         wide = df.groupBy(*by).agg(*aggs)
         cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
         return (wide.select(*by, F.explode(cells).alias("c"))

@@ -77,8 +77,7 @@ def profit_by_product(df):
 
 def risk_mix_by_month(df: DataFrame, levels: Sequence[str] = ("High", "Low", "Medium")) -> DataFrame:
     """Month by risk counts and their share of the month in percent."""
-    counts = (df.groupBy(month_of("origination_date").alias("month"))
-              .pivot("risk_category", list(levels)).count().fillna(0, list(levels)))
+    counts = df.groupBy(month_of("origination_date").alias("month")).agg(*[F.count_if(F.col("risk_category") == lv).alias(lv) for lv in levels])
     total = sum((F.col(lv) for lv in levels[1:]), F.col(levels[0]))
     return counts.withColumns({f"{lv}_pct": F.try_divide(F.col(lv) * 100.0, total) for lv in levels})
 
@@ -153,7 +152,7 @@ def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
 
 
 def crosstab_wide(df: DataFrame, rows: str, cols: str, values: Sequence) -> DataFrame:
-    return df.groupBy(rows).pivot(cols, list(values)).count().fillna(0)
+    return df.groupBy(rows).agg(*[F.count_if(F.col(cols) == F.lit(v)).alias(str(v)) for v in values])
 
 
 def rate_by_category(df: DataFrame, category: str, target: str) -> DataFrame:
@@ -164,21 +163,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None,
     """Equal-width counts over the column's range, empty bins included (per class when ``by`` is given)."""
     lo, hi = value_range(df, column)
     keys = [by] if by else []
-    schema_of = df.select(*keys)
     if lo is None:
-        return schema_of.limit(0).select(*keys, F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"),
+        return df.select(*keys).limit(0).select(*keys, F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"),
                                          F.lit(0).cast("long").alias("n"))
     a, b = (lo, hi) if hi > lo else (lo - 0.5, hi + 0.5)
     width = (b - a) / bins
     binned = df.select(*keys, histogram_bin(F.col(column).cast("double"), lo, hi, bins).alias("bin")).where("bin is not null")
-    if by:
-        counts = binned.groupBy(by).pivot("bin", list(range(bins))).count().fillna(0)
-        counts = counts.toDF(by, *[f"b{i}" for i in range(bins)]).select(
-            by, F.posexplode(F.array(*[f"b{i}" for i in range(bins)])).alias("bin", "n"))
-    else:
-        counts = binned.groupBy().pivot("bin", list(range(bins))).count().fillna(0)
-        counts = counts.toDF(*[f"b{i}" for i in range(bins)]).select(
-            F.posexplode(F.array(*[f"b{i}" for i in range(bins)])).alias("bin", "n"))
+    # one row of counts per class leaves each task; empty bins come for free
+    counts = binned.groupBy(*keys).agg(F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("c")).select(
+        *keys, F.posexplode("c").alias("bin", "n"))
     out = counts.select(*keys, "bin", (F.lit(a) + F.col("bin") * F.lit(width)).alias("low"),
                         (F.lit(a) + (F.col("bin") + 1) * F.lit(width)).alias("high"), "n")
     if density:

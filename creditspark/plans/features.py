@@ -86,7 +86,7 @@ def e01(spark, sf):
     return rounded(E.features_basic(credit_panel(spark, sf)).select("ID", "delay_count", "max_delay", *_BASIC.split(), "avg_bill_amt", "avg_pay_amt"), 5)
 
 
-@query("e09_feature_pipeline", rounded_sql(f"WITH {ENGINEERED} SELECT * FROM engineered", "ID high_risk_demo pay_delay_frequency",
+@query("e09_all_features", rounded_sql(f"WITH {ENGINEERED} SELECT * FROM engineered", "ID high_risk_demo pay_delay_frequency",
                                            "avg_utilization_ratio avg_pay_ratio overall_risk_score behavior_change age_risk_interaction limit_group", 5))
 def e09(spark, sf):
     return rounded(E.feature_pipeline(materialize(credit_panel(spark, sf), "panel")).select(
@@ -142,7 +142,7 @@ def e13(spark, sf):
     return X.encode_label(loans(spark, sf), "product_type").select("loan_id", "product_type_code")
 
 
-@query("e14_prep_pipeline", rounded_sql(f"""WITH {GAPS}, f AS (SELECT customer_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM gaps)) AS age, coalesce(annual_income, (SELECT median(annual_income) FROM gaps)) AS annual_income, coalesce(loan_purpose, 'missing') AS p FROM gaps)
+@query("e14_preparation", rounded_sql(f"""WITH {GAPS}, f AS (SELECT customer_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM gaps)) AS age, coalesce(annual_income, (SELECT median(annual_income) FROM gaps)) AS annual_income, coalesce(loan_purpose, 'missing') AS p FROM gaps)
 SELECT customer_id, (age - avg(age) OVER ()) / stddev_pop(age) OVER () AS age, (annual_income - avg(annual_income) OVER ()) / stddev_pop(annual_income) OVER () AS annual_income,
  CASE WHEN p = 'home' THEN 1.0 ELSE 0.0 END AS loan_purpose_home, CASE WHEN p = 'missing' THEN 1.0 ELSE 0.0 END AS loan_purpose_missing, CASE WHEN p = 'personal' THEN 1.0 ELSE 0.0 END AS loan_purpose_personal FROM f""",
     "customer_id", "age annual_income loan_purpose_home loan_purpose_missing loan_purpose_personal", 6))
@@ -151,7 +151,7 @@ def e14(spark, sf):
     return rounded(X.apply_preparation(df, X.fit_preparation(df, ["age", "annual_income"], ["loan_purpose"])), 6)
 
 
-@query("e14_ml_pipeline")
+@query("e14_ml_stages")
 def e14ml(spark, sf):
     from pyspark.ml.functions import vector_to_array
     df = applicants_with_gaps(spark, sf).withColumn("age", F.col("age").cast("double"))
