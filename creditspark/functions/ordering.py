@@ -12,6 +12,7 @@ buffer puts an unbounded group into one task. The functions here bound that:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -185,15 +186,41 @@ def _bracketed(df: DataFrame, cols, probs, by) -> DataFrame:
     return out.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * (pos - lower)).alias("value"))
 
 
+MANY_PROBS = 50  # ``percentile`` copies its counts once per probability
+
+
 def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   task_rows: int = TASK_ROWS) -> dict[str, dict[float, float]]:
     """Fitted quantiles on the driver: one number per column and probability."""
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    if len(probs) > MANY_PROBS and fits_buffers(df, task_rows=task_rows):
+        return _ranked_quantiles(df, cols, probs)
     for r in quantiles(df, cols, probs, task_rows=task_rows).collect():
         out[r["feature"]][r["p"]] = r["value"]
     return out
 
 
+def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
+    """Many quantiles of a table counted to be small: number the sorted values, keep the wanted ranks."""
+    n = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    at = {c: [p * (n[i] - 1) for p in probs] for i, c in enumerate(cols) if n[i]}
+    if not at:
+        return {c: {} for c in cols}
+    ranks = {c: sorted({r for x in pos for r in (math.floor(x), math.ceil(x))}) for c, pos in at.items()}
+    wanted = " OR ".join(f"(_f = {list(at).index(c)} AND _r IN ({', '.join(map(str, r))}))" for c, r in ranks.items())
+    names = {f"v{i}": c for i, c in enumerate(at)}
+    long = df.select([F.col(f"`{c}`").cast("double").alias(v) for v, c in names.items()]).unpivot([], list(names), "_v", "value")
+    numbered = long.where("value IS NOT NULL").selectExpr(
+        "CAST(substr(_v, 2) AS INT) AS _f", "value", "row_number() OVER (PARTITION BY _v ORDER BY value) - 1 AS _r").where(wanted)
+    got = {(r["_f"], r["_r"]): r["value"] for r in numbered.collect()}
+    out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    for i, (c, pos) in enumerate(at.items()):
+        for p, x in zip(probs, pos):
+            lo, hi = got[i, math.floor(x)], got[i, math.ceil(x)]
+            out[c][p] = lo + (hi - lo) * (x - math.floor(x))
+    return out
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent value per column, smallest on ties, as (feature, value string, n).
 

@@ -263,9 +263,9 @@ def high_correlations(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def correlation_matrix(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Symmetric wide form of ``correlation_pairs`` with a diagonal of ones."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    wide = both.groupBy("a").agg(*[F.max(F.when(F.col("b") == c, F.col("r"))).alias(c) for c in cols])
-    return wide.select(F.col("a").alias("feature"), *[F.when(F.col("a") == c, 1.0).otherwise(F.col(c)).alias(c) for c in cols])
+    both = pairs.selectExpr("a AS feature", "b AS _other", "r").unionByName(pairs.selectExpr("b AS feature", "a AS _other", "r"))
+    return both.groupBy("feature").agg(*[
+        F.max(F.when(F.col("feature") == c, 1.0).when(F.col("_other") == c, F.col("r"))).alias(c) for c in cols])
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str], k: int = 10) -> DataFrame:

@@ -260,17 +260,17 @@ def _offsets(d: int) -> list[tuple[int, ...]]:
 
 
 def _cell_links(core: DataFrame, cells: DataFrame, xs, cs, near, side: float, eps: float, parts: int = 8) -> DataFrame:
-    """Pairs of neighboring core cells (a < b) with two core points within eps."""
+    """Pairs of neighboring core cells with two core points within eps."""
     d = len(xs)
     sub = side / parts
     ss = [f"s{i}" for i in range(d)]
     small = core.withColumns({s: F.floor(F.col(x) / sub) for s, x in zip(ss, xs)})
     boxes = small.groupBy(*cs, *ss).agg(*[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs]).withColumn("cell", F.xxhash64(*cs))
-    half = [o for o in near if any(o)]
+    half = [o for o in near if o > (0,) * d]  # each unordered pair of cells once
     moved = boxes.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half])))
     for i, c in enumerate(cs):
         moved = moved.withColumn(f"n{i}", F.col(c) + F.col("_o")[i])
-    cond = [F.col(f"a.n{i}") == F.col(f"b.{c}") for i, c in enumerate(cs)] + [F.col("a.cell") < F.col("b.cell")]
+    cond = [F.col(f"a.n{i}") == F.col(f"b.{c}") for i, c in enumerate(cs)]
     far = sum((F.pow(F.greatest(F.col(f"a.hi_{x}") - F.col(f"b.lo_{x}"), F.col(f"b.hi_{x}") - F.col(f"a.lo_{x}")), F.lit(2.0)) for x in xs), F.lit(0.0))
     gap = sum((F.pow(F.greatest(F.col(f"a.lo_{x}") - F.col(f"b.hi_{x}"), F.col(f"b.lo_{x}") - F.col(f"a.hi_{x}"), F.lit(0.0)), F.lit(2.0)) for x in xs), F.lit(0.0))
     met = moved.alias("a").join(boxes.alias("b"), cond).where(gap <= eps * eps).select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditspark.functions.neighbors import nearest
-from creditspark.functions.ordering import average_ranks, hash_rank, modes, quantiles, running_totals
+from creditspark.functions.ordering import average_ranks, hash_rank, modes, quantile_dict, quantiles, running_totals
 from creditspark.operators.evaluation import roc_auc
 from creditspark.operators.kendall import kendall_tau
 from creditspark.operators.profiling import spearman
@@ -41,6 +41,16 @@ def test_narrow_brackets_hold_the_rank(spark, monkeypatch):
         assert v == pytest.approx(np.quantile(pdf["v"], p), abs=1e-9)
 
 
+def test_many_quantiles_equal_numpy(spark):
+    pdf = skewed(spark, 700)
+    pdf.loc[::9, "u"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("u", F.when(~F.isnan("u"), F.col("u")))
+    probs = [i / 200 for i in range(201)]
+    got = quantile_dict(df, ["v", "u"], probs)
+    for c in ("v", "u"):
+        assert [got[c][p] for p in probs] == pytest.approx(np.nanquantile(pdf[c], probs).tolist())
+
+
 def test_bracketed_quantiles_skip_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
     got = quantiles(df, ["v"], [0.5], task_rows=1).collect()
@@ -95,6 +105,25 @@ def test_auc_equals_pair_count_and_spark_evaluator(spark, task_rows):
     assert got == pytest.approx(ev.evaluate(df.withColumn("y", F.col("y").cast("double"))), abs=1e-9)
 
 
+def test_samples_ignore_partitioning(spark):
+    from creditspark.operators.rows import sample_rows
+
+    df = spark.createDataFrame(skewed(spark, 500))
+    pick = lambda d: sorted(r["id"] for r in sample_rows(d, ["id"], 40).collect())
+    assert pick(df) == pick(df.repartition(9)) and len(set(pick(df))) == 40
+
+
+def test_correlation_matrix_is_symmetric(spark):
+    from creditspark.operators.profiling import correlation_matrix, correlation_pairs, high_correlations
+
+    pdf = pd.DataFrame({"a": [1.0, 2, 3, 4], "b": [2.0, 4, 6, 8.5], "c": [4.0, 1, np.nan, 2]})
+    df = spark.createDataFrame(pdf).withColumn("c", F.when(~F.isnan("c"), F.col("c")))
+    pairs = correlation_pairs(df, ["a", "b", "c"])
+    got = correlation_matrix(pairs, ["a", "b", "c"]).toPandas().set_index("feature").loc[["a", "b", "c"], ["a", "b", "c"]]
+    assert got.to_numpy() == pytest.approx(pdf.corr().to_numpy())
+    assert [(r["a"], r["b"]) for r in high_correlations(pairs, 0.9).collect()] == [("a", "b")]
+
+
 def test_mode_ties_take_the_smallest(spark):
     df = spark.createDataFrame([(3, "b"), (1, "a"), (3, "a"), (1, None)], "n int, s string")
     got = {r["feature"]: r["value"] for r in modes(df, ["n", "s"]).collect()}
