@@ -22,6 +22,15 @@ def bucket_count(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_labels(df: DataFrame, buckets: int) -> np.ndarray:
+    """One label per bucket such that hash partitioning by label gives every task one bucket."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets))
+    ids = df.sparkSession.range(buckets * (20 + buckets.bit_length()), numPartitions=1)
+    found = {r["p"]: r["b"] for r in ids.groupBy(part.alias("p")).agg(F.min("id").alias("b")).collect()}  # one row per bucket
+    spare = iter(range(-1, -buckets - 1, -1))
+    return np.array([found[p] if p in found else next(spare) for p in range(buckets)], np.int32)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the upper half of the key; keys are evenly spread hashes."""
     return (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)

@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.llm import flat
-from creditspark.llm.blocks import block_batch, bucket_count, cut, exchanged, gathered, packed, runs
+from creditspark.llm.blocks import block_batch, bucket_count, cut, even_labels, exchanged, gathered, packed, runs
 from creditspark.llm.components import connected_components
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
 WIDTH = 5
-SLICE = 16 << 20  # bytes of text per packed block
+SLICE = 4 << 20  # bytes of text per packed block
 LIGHT_MAX = 24  # no larger set is considered for enumeration
 SPACES = flat.byte_mask(flat.SPACES)
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, tokens binary, counts binary"
@@ -94,6 +94,7 @@ META = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
 
 def _token_blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     """Rows (bucket, block, payload): shingles by bucket, and one list of documents per block in a bucket of its own."""
+    labels = even_labels(docs, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId(), 0
@@ -121,7 +122,7 @@ def _token_blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                         present, place = np.unique(owner[o], return_inverse=True)
                         head = np.array([len(o), len(present)], np.int64).tobytes()
                         rows.append((b, block, b"T" + head + present.tobytes() + f1[present].tobytes() + place.astype(np.uint16).tobytes() + keys[o].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array(labels[[r[0] for r in rows]]), pa.array([r[1] for r in rows], pa.int64()),
                                                   pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "payload"])
 
     return docs.mapInArrow(run, "bucket int, block long, payload binary")
@@ -144,14 +145,16 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             prints.append(f1[place])
             blocks.append(np.full(n, block, np.int64))
     if keys:
-        keys, prints = np.concatenate(keys), np.concatenate(prints)
+        keys, prints, owners, blocks = np.concatenate(keys), np.concatenate(prints), np.concatenate(owners), np.concatenate(blocks)
         order = np.argsort(keys, kind="stable")
         starts, sizes = runs(keys[order])
-        sorted_prints = prints[order]
-        many = np.minimum.reduceat(sorted_prints, starts) != np.maximum.reduceat(sorted_prints, starts)
+        prints = prints[order]
+        many = np.minimum.reduceat(prints, starts) != np.maximum.reduceat(prints, starts)
+        del prints
         kept = order[np.repeat(many, sizes)]
         counts = np.repeat(sizes[many], sizes[many]).astype(np.uint32)
-        block, owner, key = np.concatenate(blocks)[kept], np.concatenate(owners)[kept], keys[kept]
+        block, owner, key = blocks[kept], owners[kept], keys[kept]
+        del blocks, owners, keys
         order = np.argsort(block, kind="stable")
         starts, sizes = runs(block[order])
         for s, n in zip(starts, sizes):
