@@ -10,9 +10,9 @@ The size-aware heavy-light method, in steps:
    linked sets must share; equal subsets are links. The boundary is where enumeration begins to
    cost more than scanning, from the sums of both costs per set size.
 3. *Heavy sets* scan inverted lists of their rarest shingles (a prefix long enough that linked
-   sets must meet in it). First each list only proposes its smallest member and the neighbor in
-   size, and each document tries its most frequent proposal; then all remaining members of
-   a list in different components are paired, filtered by size, position and
+   sets must meet in it). First each list only proposes a few hubs and the neighbor in size, each
+   document tries its most frequent proposals, and components form; after a few such rounds
+   all members of a list that are still in different components are paired, filtered by size, position and
    number of meetings, and compared. Members already connected need no comparison, so a
    group of near copies costs as many comparisons as it has members.
 4. Links give connected components.
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditspark.llm import flat
@@ -45,6 +46,7 @@ from creditspark.sources.io import materialize
 
 WIDTH = 5
 SLICE = 4 << 20  # bytes of text per packed block
+TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list and comparisons per document in the first, doubled in each
 LIGHT_MAX = 24  # no larger set is considered for enumeration
 SPACES = flat.byte_mask(flat.SPACES)
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, tokens binary, counts binary"
@@ -207,6 +209,17 @@ def prefix_length(n, repeated):
     return np.maximum(n - least_partner(n) + 1 - (n - repeated), 0)
 
 
+MEETINGS = 4  # shared prefix shingles that a pair is asked for, where its sizes allow it
+
+
+def needed_meetings(n, m):
+    """Meetings k that linked sets of sizes n <= m have among their first n - overlap + k and m - overlap + k shingles.
+
+    Both ranges must lie inside the stored prefixes; a size ratio near the limit leaves only one meeting.
+    """
+    return np.minimum(MEETINGS, least_overlap(n, m) - least_partner(m) + 1)
+
+
 POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -236,9 +249,8 @@ def _sorted_postings(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (r, *runs(r["key"]))
 
 
-def _pair_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b, number) of distinct pairs with a < b."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
+def _pair_batches(low: np.ndarray, high: np.ndarray, need: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(a, b, number) of distinct pairs, with the number that they need if given."""
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
     new = np.ones(len(low), bool)
@@ -247,27 +259,41 @@ def _pair_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     counts = np.diff(np.append(starts, len(low)))
     for i in range(0, len(starts), 100_000):
         s = starts[i:i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(low[s]), pa.array(high[s]), pa.array(counts[i:i + 100_000])], names=["a", "b", "meetings"])
+        columns = [pa.array(low[s]), pa.array(high[s]), pa.array(counts[i:i + 100_000])]
+        if need is None:
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "meetings"])
+        else:
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(need[order][s])], names=["a", "b", "meetings", "need"])
+
 
+def _proposals(light: int, turn: int):
+    """Each member of a list with a few hubs of the list and with its neighbor in size, where they are in another component.
 
-def _proposals(light: int):
-    """Each member of a list with the list's smallest document, and with its neighbor in size."""
+    Hubs are the members whose ids hash smallest under the seeds of the turn, so the lists that
+    hold a hub agree on it, and another turn has other hubs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, starts, sizes = _sorted_postings(batches)
         if not len(r):
             return
-        hub = np.minimum.reduceat(r["doc"], starts)
-        hub_n = np.zeros(len(starts), np.int64)
-        mark = r["doc"] == np.repeat(hub, sizes)
-        hub_n[np.repeat(np.arange(len(starts)), sizes)[mark]] = r["n"][mark]
-        hub, hub_n = np.repeat(hub, sizes), np.repeat(hub_n, sizes)
-        first = np.zeros(len(r), bool)
-        first[starts] = True
-        before, before_n = np.roll(r["doc"], 1), np.roll(r["n"], 1)
-        a, b, n, m = (np.concatenate(x) for x in ((r["doc"], r["doc"][~first]), (hub, before[~first]), (r["n"], r["n"][~first]), (hub_n, before_n[~first])))
-        good = (a != b) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.maximum(n, m) > light)
-        yield from _pair_batches(a[good], b[good])
+        number = np.repeat(np.arange(len(starts)), sizes)
+        new = np.ones(len(r), bool)
+        new[1:] = (number[1:] != number[:-1]) | (r["comp"][1:] != r["comp"][:-1])
+        begins = np.flatnonzero(new)
+        partners = [begins[np.cumsum(new) - 1] - 1]  # the last member before the stretch of one's own component
+        for seed in range(HUBS << turn, HUBS << (turn + 1)):
+            h = flat.mix(r["doc"].view(np.uint64) + flat.mix(np.full(1, seed + 1, np.uint64)))
+            mark = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, starts), sizes))
+            hub = np.zeros(len(starts), np.int64)
+            hub[number[mark]] = mark
+            partners.append(hub[number])
+        a, b = np.tile(np.arange(len(r)), len(partners)), np.concatenate(partners)
+        good = (b >= 0) & (number[a] == number[b]) & (r["comp"][a] > r["comp"][b])
+        a, b = a[good], b[good]
+        n, m = r["n"][a].astype(np.int64), r["n"][b].astype(np.int64)
+        good = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.maximum(n, m) > light)
+        yield from _pair_batches(r["doc"][a[good]], r["doc"][b[good]])
 
     return run
 
@@ -280,7 +306,7 @@ def _remaining(light: int):
         if not len(r):
             return
         mixed = np.minimum.reduceat(r["comp"], starts) != np.maximum.reduceat(r["comp"], starts)
-        left, right, held = [], [], 0
+        left, right, needs, held = [], [], [], 0
         for s, size in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
             doc, comp, n, pos = (r[c][s:s + size].astype(np.int64) for c in ("doc", "comp", "n", "pos"))
             for i in range(size):  # partners are larger or equal, so they follow within the size limit
@@ -288,17 +314,21 @@ def _remaining(light: int):
                 if end <= i + 1 or n[end - 1] <= light:
                     continue
                 j = slice(i + 1, end)
+                overlap, need = least_overlap(n[i], n[j]), needed_meetings(n[i], n[j])
+                late = need - 1 - overlap  # linked sets meet that often before these places
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                good = (comp[j] != comp[i]) & (n[j] > light) & (most >= least_overlap(n[i], n[j]))
+                good = (comp[j] != comp[i]) & (n[j] > light) & (most >= overlap) & (pos[i] <= n[i] + late) & (pos[j] <= n[j] + late)
                 if good.any():
-                    right.append(doc[j][good])
-                    left.append(np.full(len(right[-1]), doc[i]))
+                    other = doc[j][good]
+                    left.append(np.minimum(other, doc[i]))
+                    right.append(np.maximum(other, doc[i]))
+                    needs.append(need[good])
                     held += len(right[-1])
             if held > 2_000_000:
-                yield from _pair_batches(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+                yield from _pair_batches(*map(np.concatenate, (left, right, needs)))
+                left, right, needs, held = [], [], [], 0
         if held:
-            yield from _pair_batches(np.concatenate(left), np.concatenate(right))
+            yield from _pair_batches(*map(np.concatenate, (left, right, needs)))
 
     return run
 
@@ -393,17 +423,23 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = materialize(possible.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "n"]).withColumn("comp", F.col("doc_id")), "sets")
 
     light = light_boundary(sets)
-    proposed = exchanged(_prefix_blocks(sets, buckets, light), buckets).mapInArrow(_proposals(light), "a long, b long, meetings long")
-    tried = (proposed.groupBy("a", "b").agg(F.sum("meetings").alias("meetings"))
-             .groupBy("b").agg(F.max_by("a", F.struct("meetings", -F.col("a"))).alias("a")))
-    links = materialize(verified(tried.unionByName(light_pairs(sets, light).select("b", "a")).distinct(), sets), "links")
-    known = connected_components(links)
-    marked = sets.drop("comp", "counts").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "comp", F.coalesce("component", "doc_id")).drop("component")
-    marked = materialize(marked, "marked")
-    rest = (exchanged(_prefix_blocks(marked, buckets, light), buckets).mapInArrow(_remaining(light), "a long, b long, meetings long")
-            .groupBy("a", "b").agg(F.sum("meetings").alias("meetings")))
-    more = materialize(verified(_enough_meetings(rest, marked), marked), "more")
+    links, marked = materialize(verified(light_pairs(sets, light), sets), "links"), sets
+    for turn in range(TURNS):  # cheap links first; the exact search below only sees what they leave apart
+        proposed = exchanged(_prefix_blocks(marked, buckets, light), buckets).mapInArrow(_proposals(light, turn), "a long, b long, meetings long")
+        counted = proposed.groupBy("a", "b").agg(F.sum("meetings").alias("meetings"))
+        best = W.partitionBy("a").orderBy(F.desc("meetings"), "b")  # a document has few proposals: its hubs and neighbors
+        tried = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= (HUBS << turn)).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = materialize(verified(tried.distinct(), sets), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        known = connected_components(links)
+        marked = materialize(sets.drop("comp", "counts").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "comp", F.coalesce("component", "doc_id")).drop("component"), "marked")
+    rest = (exchanged(_prefix_blocks(marked, buckets, light), buckets).mapInArrow(_remaining(light), "a long, b long, meetings long, need long")
+            .groupBy("a", "b").agg(F.sum("meetings").alias("meetings"), F.max("need").alias("need")).where("meetings >= need"))
+    more = materialize(verified(rest, marked), "more")
     edges = links.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = connected_components(edges)
     sizes = stored.select("doc_id", F.col("n").alias("n_shingles"))
@@ -412,14 +448,6 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     return found.unionByName(_without_id(docs.where("doc_id IS NULL"), width))
 
 
-def _enough_meetings(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that meet as often in their prefixes as linked sets of their sizes must."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    rest = "greatest(na, nb) - (greatest(na, nb) - ceil(3 * greatest(na, nb) / 4) + 1)"  # outside the longer prefix
-    return pairs.join(one, "a").join(two, "b").where(f"meetings >= ceil(3 * (na + nb) / 7) - ({rest})")
-
-
 def _without_id(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, "text", SLICE):

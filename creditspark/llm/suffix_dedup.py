@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.llm import flat
-from creditspark.llm.blocks import bucket_count, runs
+from creditspark.llm.blocks import bucket_count, even_labels, runs
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
 LENGTH = 50
 GRAM = 18
-SLICE = 8 << 20
-CHUNK = 1 << 20
+SLICE = 2 << 20
+CHUNK = 1 << 18
+ARROW_BYTES = "4m"
 SPLITTER_DOCS = 2000  # documents in the sample that places the splitters; they only balance the buckets
 U = flat.U
 ANCHOR = np.dtype([("key", "<u4"), ("b0", "<u4"), ("b1", "<u2"), ("owner", "<u2"), ("start", "<u4"), ("n", "u1"), ("off", "u1")])
@@ -93,6 +94,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
 
 def _anchor_blocks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """Rows (bucket, block, payload): packed anchors by bucket, and the documents of each block."""
+    labels = even_labels(docs, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId(), 0
@@ -125,7 +127,7 @@ def _anchor_blocks(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                         present, local = np.unique(own["owner"], return_inverse=True)
                         own["owner"] = local
                         rows.append((k, block, b"T" + np.int64(len(present)).tobytes() + present.tobytes() + ids[present].tobytes() + own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array(labels[[x[0] for x in rows]]), pa.array([x[1] for x in rows], pa.int64()),
                                                   pa.array([x[2] for x in rows], pa.binary())], names=["bucket", "block", "payload"])
 
     return docs.mapInArrow(run, "bucket int, block long, payload binary")
@@ -148,7 +150,7 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append(np.full(len(r), block, np.int64))
     if parts:
         r, doc, owner, block = (np.concatenate(x) for x in (parts, docs, owners, blocks))
-        del parts, docs, owners, blocks
+        del parts, docs, owners, blocks, p
         key = r["key"].astype(np.uint64)
         order = np.argsort(key, kind="stable")
         starts, sizes = runs(key[order])
@@ -247,6 +249,7 @@ def _suffix_blocks(joined: DataFrame, splitters: np.ndarray, length: int) -> Dat
     """Rows (bucket, heads, bytes): suffixes with the bytes that their windows need, by range of the leading bytes."""
     shared = joined.sparkSession.sparkContext.broadcast(splitters)  # one number per bucket
     width = 2 * length - GRAM
+    labels = even_labels(joined, len(splitters) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared.value
@@ -277,7 +280,7 @@ def _suffix_blocks(joined: DataFrame, splitters: np.ndarray, length: int) -> Dat
                     keep = np.arange(width)[None, :] < (part["n"].astype(np.int64) + length - 1)[:, None]
                     rows.append((b, own.tobytes(), view[part["at"]][keep].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                yield pa.RecordBatch.from_arrays([pa.array(labels[[r[0] for r in rows]]), pa.array([r[1] for r in rows], pa.binary()),
                                                   pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "heads", "bytes"])
 
     return joined.mapInArrow(run, "bucket int, heads binary, bytes binary")
@@ -390,8 +393,9 @@ def removed_bytes(size: int, copy: bool, hits: list[bytes], length: int) -> np.n
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, text, kept, n_bytes, n_removed, n_spans) of every document; ``kept`` has the remaining bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # whole texts reach the workers in small batches
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = bucket_count(df)
+    buckets = 2 * bucket_count(df)
     named = docs.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text"))
     classified = _anchor_blocks(named, buckets, length).repartition(buckets, "bucket").mapInArrow(_classified, "block long, payload binary")
     todo = materialize(classified.repartition(buckets, "block").mapInArrow(_document_rows, "doc_id long, h long, copy boolean, hits binary, wanted binary"), "anchors")
@@ -399,7 +403,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     placed = named.repartition(buckets, "doc_id", "h")  # used twice below, shuffled once
     wanted = todo.where("wanted IS NOT NULL").select("doc_id", "h", "wanted").dropDuplicates(["doc_id", "h"])
     joined = placed.join(wanted.repartition(buckets, "doc_id", "h").hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "wanted")
-    hits = _suffix_blocks(joined, splitters, length).repartition(buckets, "bucket").mapInArrow(_compared(length), "doc_id long, h long, hits binary")
+    hits = _suffix_blocks(joined, splitters, length).repartition(len(splitters) + 1, "bucket").mapInArrow(_compared(length), "doc_id long, h long, hits binary")
     known = todo.select("doc_id", "h", "copy", "hits").unionByName(hits.withColumn("copy", F.lit(False)))
     known = known.groupBy("doc_id", "h").agg(F.max("copy").alias("copy"), F.collect_list("hits").alias("hits"))
     both = placed.join(known.repartition(buckets, "doc_id", "h").hint("shuffle_hash"), ["doc_id", "h"], "left").select("doc_id", "text", "copy", "hits")
