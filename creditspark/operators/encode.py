@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditspark.functions.ordering import SKETCH_ACCURACY, TASK_ROWS, quantile_dict
+from creditspark.functions.ordering import TASK_ROWS, quantile_dict
 from creditspark.operators.profiling import numeric_columns
 
 MAX_CATEGORIES = 1000  # one-hot makes a column per category
@@ -66,21 +66,17 @@ def inverse_normal(p: np.ndarray) -> np.ndarray:
     return np.where(low, np.where(p < 0.5, outer, -outer), inner)
 
 
-def quantile_to_normal(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) -> DataFrame:
+def quantile_to_normal(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000, task_rows: int = TASK_ROWS) -> DataFrame:
     """Map each column through its empirical distribution to a normal one.
 
-    The fitted references are at most ``n_quantiles`` quantiles per column: exact
-    ones for small tables, those of a sketch (rank error 1e-5) for large ones.
+    The fitted references are at most ``n_quantiles`` exact quantiles per column,
+    at any table size.
     Ties take the middle of their probability range, ends are clipped.
     """
     n = df.count()
     k = max(2, min(n_quantiles, n))
     probs = [i / (k - 1) for i in range(k)]
-    if n <= TASK_ROWS:
-        refs = {c: [q.get(p) for p in probs] for c, q in quantile_dict(df, cols, probs).items()}
-    else:
-        r = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, SKETCH_ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        refs = {c: r[i] for i, c in enumerate(cols)}
+    refs = {c: [q.get(p) for p in probs] for c, q in quantile_dict(df, cols, probs, task_rows).items()}
     grid = np.array(probs)
     bound = float(inverse_normal(np.array([1e-7]))[0])
 

@@ -30,7 +30,15 @@ Score = Callable[[DataFrame], DataFrame]  # adds a column ``p`` to a table with
 
 
 def scorer(model, cols: Sequence[str]) -> Score:
-    return lambda df: add_scores(df, {"m": model}, cols).withColumnRenamed("p_m", "p")
+    """Score by a fitted model; unlike a batch prediction it does not fill columns that are absent."""
+
+    def score(df: DataFrame) -> DataFrame:
+        absent = [c for c in cols if c not in df.columns]
+        if absent:
+            raise ValueError(f"the model needs the columns {', '.join(absent)}")
+        return add_scores(df, {"m": model}, cols).withColumnRenamed("p_m", "p")
+
+    return score
 
 
 def uniform(*parts: Column) -> Column:
@@ -211,18 +219,22 @@ def stability(df: DataFrame, key: str, cols: Sequence[str], contribute: Callable
 
 
 def interactions(df: DataFrame, key: str, cols: Sequence[str], score: Score, top: int = 10) -> DataFrame:
-    """Mean absolute second difference of the score per feature pair against the column means."""
+    """Mean absolute second difference of the score per feature pair against the column means.
+
+    Only ``cols`` are varied; all other columns reach ``score`` as they are.
+    """
+    kept = [c for c in df.columns if c != key and c not in cols]
     r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     pairs = list(combinations(range(len(cols)), 2))
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(m).alias("mask")) for a, b in pairs for m in range(4)])
-    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols], F.explode(cells).alias("c")).select(
-        key, "c.a", "c.b", "c.mask", *[
-            F.when(((F.col("c.a") == i) & (F.col("c.mask").bitwiseAND(1) > 0)) | ((F.col("c.b") == i) & (F.col("c.mask").bitwiseAND(2) > 0)), F.lit(r[i]))
+    rows = df.select(key, *kept, *[F.col(c).cast("double").alias(c) for c in cols], F.explode(cells).alias("_cell")).select(
+        key, *kept, F.col("_cell.a").alias("_a"), F.col("_cell.b").alias("_b"), F.col("_cell.mask").alias("_mask"), *[
+            F.when(((F.col("_cell.a") == i) & (F.col("_cell.mask").bitwiseAND(1) > 0)) | ((F.col("_cell.b") == i) & (F.col("_cell.mask").bitwiseAND(2) > 0)), F.lit(r[i]))
             .otherwise(F.col(c)).alias(c) for i, c in enumerate(cols)])
-    sign = F.when(F.col("mask").isin(0, 3), F.col("p")).otherwise(-F.col("p"))
-    per = score(rows).groupBy(key, "a", "b").agg(F.sum(sign).alias("v"))
+    sign = F.when(F.col("_mask").isin(0, 3), F.col("p")).otherwise(-F.col("p"))
+    per = score(rows).groupBy(key, "_a", "_b").agg(F.sum(sign).alias("v"))
     names = F.array(*[F.lit(c) for c in cols])
-    return per.groupBy(F.get(names, F.col("a")).alias("feature1"), F.get(names, F.col("b")).alias("feature2")).agg(
+    return per.groupBy(F.get(names, F.col("_a")).alias("feature1"), F.get(names, F.col("_b")).alias("feature2")).agg(
         F.avg(F.abs("v")).alias("interaction_strength")).orderBy(F.desc("interaction_strength"), "feature1", "feature2").limit(top)
 
 

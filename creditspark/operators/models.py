@@ -175,7 +175,10 @@ def tune(df: DataFrame, cols: Sequence[str], label: str, family: str, keys: Sequ
 
 
 def _auc(df: DataFrame, model: Transformer, cols: Sequence[str], label: str) -> float:
-    return V.roc_auc(add_scores(df, {"m": model}, cols), label, "p_m").first()["roc_auc"] or 0.0
+    auc = V.roc_auc(add_scores(df, {"m": model}, cols), label, "p_m").first()["roc_auc"]
+    if auc is None:
+        raise ValueError("a fold holds one class only, its area under the curve is undefined; use fewer folds or stratify")
+    return auc
 
 
 def add_folds(df: DataFrame, keys: Sequence[str], label: str, k: int = 5, seed: int = 42) -> DataFrame:

@@ -152,7 +152,7 @@ def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
 
 
 def crosstab_wide(df: DataFrame, rows: str, cols: str, values: Sequence) -> DataFrame:
-    return df.groupBy(rows).agg(*[F.count_if(F.col(cols) == F.lit(v)).alias(str(v)) for v in values])
+    return df.where(F.col(rows).isNotNull()).groupBy(rows).agg(*[F.count_if(F.col(cols) == F.lit(v)).alias(str(v)) for v in values])
 
 
 def rate_by_category(df: DataFrame, category: str, target: str) -> DataFrame:

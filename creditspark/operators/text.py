@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.expr import risk_band, row_count_if, texts
 from creditspark.operators.scoring import COMPOSITE_WEIGHTS
-from creditspark.sources.fixtures import PAY_COLS
+from creditspark.schemas import PAY_STATUS
 
 # Advice lines per composite risk level.
 LEVEL_ADVICE = {
@@ -35,7 +35,7 @@ def reason_codes() -> Column:
 def factor_lists(df: DataFrame) -> DataFrame:
     """Risk and protective factor texts of a card-client row."""
     limit, age = F.col("LIMIT_BAL"), F.col("AGE")
-    late = row_count_if([c for c in PAY_COLS if c in df.columns], "> 0")
+    late = row_count_if([c for c in PAY_STATUS if c in df.columns], "> 0")
     money = F.concat(F.lit("($"), F.format_number(limit, 2), F.lit(")"))
     years = F.concat(F.lit("("), age.cast("string"), F.lit(")"))
     return df.withColumns({

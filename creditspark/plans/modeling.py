@@ -195,6 +195,19 @@ def x08(spark, sf):
     return X.stability(df, "ID", cols, lambda d, k: X.linear_shap(d, k, cols, w, means=[0.0, 0.0, 0.0]), draws=20)
 
 
+_PRODUCT = rounded_sql("""WITH m AS (SELECT avg("PAY_0") AS p, avg("PAY_2") AS q, avg("AGE") AS g FROM panel)
+SELECT 'PAY_0' AS feature1, 'PAY_2' AS feature2, avg(abs(("PAY_0" - p) * ("PAY_2" - q))) AS interaction_strength FROM panel, m
+UNION ALL SELECT 'AGE', 'PAY_0', avg(abs(("AGE" - g) * ("PAY_0" - p) * "LIMIT_BAL" / 100000)) FROM panel, m
+UNION ALL SELECT 'AGE', 'PAY_2', 0.0""", "feature1 feature2", "interaction_strength", 6)
+
+
+@query("x09_interactions_product", f"WITH {PANEL} {_PRODUCT}")
+def x09p(spark, sf):
+    """A score whose second differences are known; LIMIT_BAL is needed by it but not varied."""
+    score = lambda d: d.withColumn("p", F.col("PAY_0") * F.col("PAY_2") + F.col("AGE") * F.col("PAY_0") * F.col("LIMIT_BAL") / 100000)
+    return rounded(X.interactions(credit_panel(spark, sf).select("ID", "AGE", "PAY_0", "PAY_2", "LIMIT_BAL"), "ID", ["AGE", "PAY_0", "PAY_2"], score), 6)
+
+
 @query("x09_interactions")
 def x09(spark, sf):
     df, models = _trained(spark, sf, ("random_forest",))

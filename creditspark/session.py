@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +26,22 @@ def build_session(app: str = "creditspark", master: str | None = None, **conf: s
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, so that pandas and Arrow functions import it wherever the driver was started."""
+    if getattr(spark.sparkContext, "_creditspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="creditspark-")) / "creditspark.zip"  # Spark copies it to every executor
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._creditspark_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

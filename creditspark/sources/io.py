@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,7 +50,9 @@ def load_processed(spark: SparkSession, path: str) -> DataFrame:
     """A saved processed table; a clear error when it is not there."""
     try:
         return spark.read.parquet(path)
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no processed data at {path}") from e
 
 

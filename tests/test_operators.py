@@ -239,3 +239,18 @@ def test_feature_pipeline_removes_gaps_and_constants(spark, sf):
     nulls = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in out.columns]).first()
     assert sum(nulls) == 0
     assert not math.isnan(out.agg(F.avg("avg_pay_ratio")).first()[0])
+
+
+def test_quantile_transform_is_exact_at_any_size(spark):
+    from creditspark.operators.encode import quantile_to_normal
+
+    df = spark.range(3000).selectExpr("id", "CAST(pow(id % 700, 1.5) AS DOUBLE) AS v")
+    small, large = (dict(quantile_to_normal(df, ["v"], 20, task_rows=n).select("id", "v").collect()) for n in (10 ** 6, 100))
+    assert max(abs(small[i] - large[i]) for i in small) < 1e-9
+
+
+def test_scorer_needs_all_model_columns(spark):
+    from creditspark.operators.explain import scorer
+
+    with pytest.raises(ValueError, match="needs the columns b"):
+        scorer(None, ["a", "b"])(spark.createDataFrame([(1.0,)], "a double"))
