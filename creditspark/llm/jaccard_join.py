@@ -12,8 +12,8 @@ The size-aware heavy-light method, in steps:
 3. *Heavy sets* scan inverted lists of their rarest shingles (a prefix long enough that linked
    sets must meet in it). First each list only proposes a few hubs and the neighbor in size, each
    document tries its most frequent proposals, and components form; after a few such rounds
-   all members of a list that are still in different components are paired, filtered by size, position and
-   number of meetings, and compared. Members already connected need no comparison, so a
+   all members of a list that are still in different components are paired, filtered by size, position, parity
+   bits and number of meetings, and compared. Members already connected need no comparison, so a
    group of near copies costs as many comparisons as it has members.
 4. Links give connected components.
 
@@ -46,7 +46,8 @@ from creditspark.sources.io import materialize
 
 WIDTH = 5
 SLICE = 4 << 20  # bytes of text per packed block
-TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list and comparisons per document in the first, doubled in each
+TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list in the first, doubled in each
+TRIES = 4  # proposals of a document that are compared in a round
 LIGHT_MAX = 24  # no larger set is considered for enumeration
 SPACES = flat.byte_mask(flat.SPACES)
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, tokens binary, counts binary"
@@ -220,7 +221,31 @@ def needed_meetings(n, m):
     return np.minimum(MEETINGS, least_overlap(n, m) - least_partner(m) + 1)
 
 
-POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+#: own: shingles that no other set has; s0, s1: parity bits of the repeated ones.
+POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("comp", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<i4"), ("pos", "<i4"), ("own", "<i4")])
+
+
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits per set: whether an odd number of its shingles falls into each of 128 bins.
+
+    Sets whose bits differ in d places differ in at least d shingles, so the bits refuse pairs
+    without a comparison and never refuse a linked pair.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    odd = np.bincount((row << 7) | (flat.mix(keys) >> flat.U(57)).astype(np.int64), minlength=len(sets) << 7) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view("<u8")
+
+
+def differences(r: np.ndarray, a, b) -> np.ndarray:
+    """Fewest shingles that only one of the two sets can have."""
+    bits = np.bitwise_count(r["s0"][a] ^ r["s0"][b]).astype(np.int64) + np.bitwise_count(r["s1"][a] ^ r["s1"][b])
+    return bits + r["own"][a] + r["own"][b]
+
+
+def most_differences(n, m):
+    """Most shingles that only one of two linked sets has."""
+    return n + m - 2 * least_overlap(n, m)
 
 
 def _prefix_blocks(sets: DataFrame, buckets: int, light: int) -> DataFrame:
@@ -229,13 +254,14 @@ def _prefix_blocks(sets: DataFrame, buckets: int, light: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, comp, n, tokens in zip(*(flat.pylist(batch, c) for c in ("doc_id", "comp", "n", "tokens"))):
-                keys = np.frombuffer(tokens, np.uint64)
+            sets_of_batch = [np.frombuffer(t, np.uint64) for t in flat.pylist(batch, "tokens")]
+            for doc, comp, n, keys, bits in zip(*(flat.pylist(batch, c) for c in ("doc_id", "comp", "n")), sets_of_batch, parity_bits(sets_of_batch)):
                 if 4 * n < 3 * (light + 1):
                     continue
                 p = int(prefix_length(n, len(keys)))
                 r = np.zeros(p, POSTING)
-                r["key"], r["doc"], r["comp"], r["n"], r["pos"] = keys[:p], doc, comp, n, n - len(keys) + np.arange(p)
+                r["key"], r["doc"], r["comp"], r["n"], r["own"] = keys[:p], doc, comp, n, n - len(keys)
+                r["s0"], r["s1"], r["pos"] = bits[0], bits[1], n - len(keys) + np.arange(p)
                 parts.append(r)
             if parts:
                 yield block_batch(packed(np.concatenate(parts), buckets))
@@ -267,7 +293,7 @@ def _pair_batches(low: np.ndarray, high: np.ndarray, need: np.ndarray | None = N
 
 
 def _proposals(light: int, turn: int):
-    """Each member of a list with a few hubs of the list and with its neighbor in size, where they are in another component.
+    """Each member of a list with two of its hubs or its neighbor in size: the likest by parity bits, in another component.
 
     Hubs are the members whose ids hash smallest under the seeds of the turn, so the lists that
     hold a hub agree on it, and another turn has other hubs.
@@ -281,25 +307,39 @@ def _proposals(light: int, turn: int):
         new = np.ones(len(r), bool)
         new[1:] = (number[1:] != number[:-1]) | (r["comp"][1:] != r["comp"][:-1])
         begins = np.flatnonzero(new)
-        partners = [begins[np.cumsum(new) - 1] - 1]  # the last member before the stretch of one's own component
+        best = [(np.full(len(r), np.iinfo(np.int64).max), np.full(len(r), -1)) for _ in range(2)]  # differences and partner
+        (near, who), (next_near, next_who) = best
+
+        def offer(b: np.ndarray) -> None:
+            at = np.flatnonzero((b >= 0) & (number == number[b]) & (r["comp"] > r["comp"][b]))
+            b = b[at]
+            n, m = r["n"][at].astype(np.int64), r["n"][b].astype(np.int64)
+            far = differences(r, at, b)
+            good = (far <= most_differences(n, m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.maximum(n, m) > light)
+            at, b, far = at[good], b[good], far[good]
+            first = far < near[at]
+            second = ~first & (far < next_near[at]) & (b != who[at])
+            i = at[first]
+            next_near[i], next_who[i] = near[i], who[i]
+            near[i], who[i] = far[first], b[first]
+            i = at[second]
+            next_near[i], next_who[i] = far[second], b[second]
+
+        offer(begins[np.cumsum(new) - 1] - 1)  # the last member before the stretch of one's own component
         for seed in range(HUBS << turn, HUBS << (turn + 1)):
             h = flat.mix(r["doc"].view(np.uint64) + flat.mix(np.full(1, seed + 1, np.uint64)))
             mark = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, starts), sizes))
             hub = np.zeros(len(starts), np.int64)
             hub[number[mark]] = mark
-            partners.append(hub[number])
-        a, b = np.tile(np.arange(len(r)), len(partners)), np.concatenate(partners)
-        good = (b >= 0) & (number[a] == number[b]) & (r["comp"][a] > r["comp"][b])
-        a, b = a[good], b[good]
-        n, m = r["n"][a].astype(np.int64), r["n"][b].astype(np.int64)
-        good = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.maximum(n, m) > light)
-        yield from _pair_batches(r["doc"][a[good]], r["doc"][b[good]])
+            offer(hub[number])
+        a, b = np.concatenate([np.flatnonzero(w >= 0) for _, w in best]), np.concatenate([w[w >= 0] for _, w in best])
+        yield from _pair_batches(r["doc"][a], r["doc"][b])
 
     return run
 
 
 def _remaining(light: int):
-    """All pairs of a list in different components that pass the size and position filters."""
+    """All pairs of a list in different components that pass the size, position and parity filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, starts, sizes = _sorted_postings(batches)
@@ -308,16 +348,17 @@ def _remaining(light: int):
         mixed = np.minimum.reduceat(r["comp"], starts) != np.maximum.reduceat(r["comp"], starts)
         left, right, needs, held = [], [], [], 0
         for s, size in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
-            doc, comp, n, pos = (r[c][s:s + size].astype(np.int64) for c in ("doc", "comp", "n", "pos"))
-            for i in range(size):  # partners are larger or equal, so they follow within the size limit
-                end = int(np.searchsorted(n, 4 * n[i] // 3, "right"))
-                if end <= i + 1 or n[end - 1] <= light:
-                    continue
-                j = slice(i + 1, end)
-                overlap, need = least_overlap(n[i], n[j]), needed_meetings(n[i], n[j])
+            part = r[s:s + size]
+            doc, comp, n, pos = (part[c].astype(np.int64) for c in ("doc", "comp", "n", "pos"))
+            values, members = np.unique(comp, return_counts=True)
+            most_common = values[members.argmax()]
+            for i in np.flatnonzero(comp != most_common).tolist():  # one side of every pair is outside the largest component
+                j = np.arange(*np.searchsorted(n, [least_partner(n[i]), 4 * n[i] // 3 + 1]))
+                j = j[(comp[j] != comp[i]) & ((comp[j] == most_common) | (j > i)) & (np.maximum(n[j], n[i]) > light)]
+                overlap, need = least_overlap(n[i], n[j]), needed_meetings(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
                 late = need - 1 - overlap  # linked sets meet that often before these places
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                good = (comp[j] != comp[i]) & (n[j] > light) & (most >= overlap) & (pos[i] <= n[i] + late) & (pos[j] <= n[j] + late)
+                good = (most >= overlap) & (pos[i] <= n[i] + late) & (pos[j] <= n[j] + late) & (differences(part, i, j) <= most_differences(n[i], n[j]))
                 if good.any():
                     other = doc[j][good]
                     left.append(np.minimum(other, doc[i]))
@@ -428,7 +469,7 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
         proposed = exchanged(_prefix_blocks(marked, buckets, light), buckets).mapInArrow(_proposals(light, turn), "a long, b long, meetings long")
         counted = proposed.groupBy("a", "b").agg(F.sum("meetings").alias("meetings"))
         best = W.partitionBy("a").orderBy(F.desc("meetings"), "b")  # a document has few proposals: its hubs and neighbors
-        tried = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= (HUBS << turn)).select(
+        tried = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIES).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = materialize(verified(tried.distinct(), sets), "links")
         if new.isEmpty():
