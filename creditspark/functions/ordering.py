@@ -64,7 +64,7 @@ def value_splits(df: DataFrame, column: str, task_rows: int = TASK_ROWS, bound:
     n = df.where(F.col(column).isNotNull()).count()
     if n <= task_rows:
         return []
-    parts = min(10_000, -(-n // task_rows))
+    parts = -(-n // task_rows)
     probs = [i / parts for i in range(1, parts)]
     edges = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 20 * parts)).first()[0]
     return sorted(set(edges))

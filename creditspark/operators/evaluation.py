@@ -35,9 +35,12 @@ def _cells(label: str, prediction: str) -> list[Column]:
 
 def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 on an empty denominator) and Matthews correlation."""
+    return _with_rates(df.groupBy(*by).agg(*_cells(label, prediction)))
+
+
+def _with_rates(cells: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
-    c = df.groupBy(*by).agg(*_cells(label, prediction))
-    return c.withColumns({
+    return cells.withColumns({
         "accuracy": safe_divide(tp + tn, tp + tn + fp + fn), "precision": safe_divide(tp, tp + fp), "recall": safe_divide(tp, tp + fn),
         "f1_score": safe_divide(2 * tp, 2 * tp + fp + fn),
         "matthews_corrcoef": safe_divide(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn))})
@@ -170,13 +173,22 @@ def business_metrics(df: DataFrame, label: str, prediction: str, score: str, by:
 
 
 def compare_models(long: DataFrame, label: str, score: str, model: str = "model", threshold: float = 0.5) -> DataFrame:
-    """All metrics per model from a long (model, label, score) table, best AUC first."""
-    by = [model]
-    rows = long.withColumn("_p", (F.col(score) >= threshold).cast("int"))
-    out = binary_metrics(rows, label, "_p", by)
-    for part in (roc_auc(rows, label, score, by), average_precision(rows, label, score, by), log_loss(rows, label, score, by)):
-        out = out.join(part, by)
-    return out.orderBy(F.desc("roc_auc"), model)
+    """All metrics per model from a long (model, label, score) table, best AUC first.
+
+    The rows are scored once: every metric follows from the class counts per distinct
+    score. Rows without a score or a label count nowhere.
+    """
+    pos, neg, tp, fp, s = (F.col(c) for c in ("pos", "neg", "tp", "fp", "score"))
+    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), s))
+    high = s >= threshold
+    cells = {"tp": F.when(high, pos), "fp": F.when(high, neg), "fn": F.when(~high, pos), "tn": F.when(~high, neg)}
+    points = score_points(long.where(F.col(label).isNotNull()), label, score, [model])
+    out = points.groupBy(model).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in cells.items()],
+        F.try_divide(F.sum(neg * (tp - pos / 2)), F.max("tp").cast("double") * F.max("fp")).alias("roc_auc"),
+        F.try_divide(F.sum(pos * tp / (tp + fp)), F.max("tp")).alias("average_precision"),
+        (-F.sum(pos * F.ln(p) + neg * F.ln(1 - p)) / F.sum(pos + neg)).alias("log_loss"))
+    return _with_rates(out).orderBy(F.desc("roc_auc"), model)
 
 
 def performance_level(auc: Column | str) -> Column:
