@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditspark.functions.ordering import TASK_ROWS, quantile_dict
 from creditspark.operators.profiling import numeric_columns
+from creditspark.sources.io import materialize
 
 MAX_CATEGORIES = 1000  # one-hot makes a column per category
 
@@ -121,23 +123,22 @@ def encode_onehot(df: DataFrame, cols: Sequence[str], fitted: dict[str, list] |
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) with codes 0.. in sorted order.
+    """(value, code) with codes 0.. in sorted order, as longs; nulls have none.
 
-    Low-cardinality columns use a window over their distinct values; above
-    ``TASK_ROWS`` values a range sort numbers them partition by partition.
+    The distinct values are cut into ranges, written once, and numbered inside their
+    range behind the counts of the ranges before; only one count per range meets in one task.
     """
-    from pyspark.sql import Window as W
-
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    if df.agg(F.approx_count_distinct(column)).first()[0] <= TASK_ROWS:
-        return values.withColumn("code", F.row_number().over(W.orderBy("value")) - 1)
-    schema = T.StructType([values.schema["value"], T.StructField("code", T.IntegerType())])
-    return values.orderBy("value").rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])).toDF(schema)
+    ranged = materialize(values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "labels")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.row_number().over(W.partitionBy("_part").orderBy("value")) - 1
+    return ranged.withColumn("_number", number).join(before, "_part").select("value", (F.col("_number") + F.col("_before")).alias("code"))
 
 
 def encode_label(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    codes = label_codes(df, column).withColumnRenamed("code", name or f"{column}_code")
-    return df.join(codes, F.col(column) == F.col("value"), "left").drop("value")
+    codes = label_codes(df, column).select(F.col("value").alias("_label"), F.col("code").alias(name or f"{column}_code"))
+    return df.join(codes, F.col(column) == F.col("_label"), "left").drop("_label")
 
 
 def fit_preparation(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scaling: str = "standard") -> dict:

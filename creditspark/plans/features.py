@@ -139,7 +139,7 @@ def e12(spark, sf):
 
 @query("e13_encode_label", f"WITH {LOANS} SELECT loan_id, CAST(dense_rank() OVER (ORDER BY product_type) - 1 AS INTEGER) AS product_type_code FROM loans")
 def e13(spark, sf):
-    return X.encode_label(loans(spark, sf), "product_type").select("loan_id", "product_type_code")
+    return X.encode_label(loans(spark, sf), "product_type").select("loan_id", F.col("product_type_code").cast("int"))
 
 
 @query("e14_preparation", rounded_sql(f"""WITH {GAPS}, f AS (SELECT customer_id, coalesce(CAST(age AS DOUBLE), (SELECT median(age) FROM gaps)) AS age, coalesce(annual_income, (SELECT median(annual_income) FROM gaps)) AS annual_income, coalesce(loan_purpose, 'missing') AS p FROM gaps)

@@ -128,6 +128,15 @@ def test_label_codes_of_many_values(spark, monkeypatch):
     assert {r["s"]: r["s_code"] for r in encode.encode_label(df, "s").collect()} == want
 
 
+def test_label_codes_follow_the_order_over_many_ranges(spark):
+    df = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("value"), "id").repartition(7)
+    df = df.unionByName(spark.createDataFrame([(None, None)], "value string, id long"))
+    got = encode.encode_label(df, "value")
+    assert got.columns == ["value", "id", "value_code"] and dict(got.dtypes)["value_code"] == "bigint"
+    assert got.where("NOT (id <=> value_code)").count() == 0 and got.count() == 3001
+    assert encode.label_codes(df.limit(0), "value").count() == 0
+
+
 def test_psi_of_itself_is_zero(spark):
     df = spark.createDataFrame([(float(i),) for i in range(50)], "x double")
     assert selection.psi(df, df).first()["psi"] == pytest.approx(0.0)
