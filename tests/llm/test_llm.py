@@ -228,6 +228,32 @@ def test_quality(spark, docs):
     assert got == want
 
 
+PROSE = """A loan is a sum of money that one or more people or companies borrow from a bank, so that they can manage what they have planned. In doing so,
+the borrower takes on a debt, which has to be paid back with interest within a given time. Before it lends anything, the bank looks at the income
+of the applicant, at other debts and at how earlier bills were settled. The terms of each loan are agreed in writing by both sides before any money moves."""
+
+
+def test_quality_bands(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = {"letters": " ".join("".join(rng.choice(letters, 7)) for _ in range(300)), "codes": " ".join(hashlib.md5(bytes([i])).hexdigest() for i in range(20)),
+             "short codes": " ".join(hashlib.md5(bytes([i])).hexdigest() for i in range(2)), "long": "internationalization responsibilities " * 40,
+             "bytes": PROSE + " " + " ".join(chr(0x13000 + i) for i in range(8)), "same": "The bank lends money. " * 60, "same short": "money " * 40}
+    kept = {"prose": PROSE, "sentence": PROSE[:60], "word": "loan", "none": None, "empty": "", "accent": PROSE + " Ꮳ", "refrain": PROSE + " Before it lends anything." * 3,
+            "russian": "Банк даёт деньги в долг, а заёмщик обязуется вернуть их с процентами в установленный срок.",
+            "vietnamese": "Ngân hàng cho khách hàng vay một khoản tiền và người vay phải trả lại số tiền đó cùng với tiền lãi trong thời hạn đã thỏa thuận.",
+            "chinese": "银行把钱借给客户，客户必须在约定的时间内连同利息一起归还。", "greek": "Η τράπεζα δανείζει χρήματα και ο πελάτης τα επιστρέφει με τόκο."}
+    rows = quality_fertility.measure_quality(spark.createDataFrame([*noise.items(), *kept.items()], "name string, text string")).collect()
+    assert {r.name for r in rows if r.in_band} == set(kept)
+    by = {r.name: r for r in rows}
+    # each of these breaks one limit only
+    prose = by["prose"]
+    assert by["letters"].chars_per_token < 1.72 < prose.chars_per_token and by["letters"].fallback_share == 0 and by["letters"].token_entropy > 6
+    assert 0.25 > by["bytes"].fallback_share > 0.15 > by["accent"].fallback_share > 0 and by["bytes"].chars_per_token > 1.8 and by["bytes"].token_entropy > 5.2
+    assert by["same"].token_entropy < 3.2 < prose.token_entropy and 2 < by["same"].chars_per_token < 4.5 and by["same"].fallback_share == 0
+    assert by["vietnamese"].script == "vietnamese" and by["short codes"].n_tokens < 70
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Top</header><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="content"><article><h1>Head &amp; line</h1><!-- c --><p><b>First   part.<br><p>Second &lt;b&gt; part.</p><aside>No</aside></article>
 <div class="comments"><p>A reader writes a rather long comment here.</p></div></div><form><p>f</p></form><footer>End</footer>"""
