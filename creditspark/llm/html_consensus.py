@@ -1,10 +1,13 @@
 """Main text of web pages by consensus paths per host.
 
 First pass: each page is parsed into containers; a container is named by its path of tags
-with generalized classes, and scored by the text of its blocks without links. Spark
-sums the scores per host and path, and each host's best path wins. Second pass: pages
-are extracted again from the containers on the winning path; a page without such a
-container uses its own best one.
+with generalized classes. The text without links of all its descendants counts for a
+container. A page votes for the containers that hold its article whole: from the one
+with the most text of its own, upwards as long as a parent is an article or main, or adds
+more text than links and boilerplate. Spark sums the votes per host and path, and each
+host's best path wins. Second pass: pages are extracted again from the containers on the
+winning path; a page where they hold less than ``COVERED`` of the text of its own
+best container, or where there is none, uses its own.
 
 Defined results: a null or empty page gives an empty text; a page without an URL votes
 in the group of the empty host; ties between paths go to the longer, then the
@@ -29,7 +32,7 @@ from creditspark.llm.registry import query, table
 from creditspark.llm.url_vocabulary import host_and_path
 
 SALTS = 64
-VOTES = 3  # candidate containers per page
+COVERED = 0.5  # of the text of a page's own best container
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
 CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
@@ -50,9 +53,11 @@ class Page:
 
     def __init__(self, source: str):
         self.paths: list[str] = ["body"]
+        self.tags: list[str] = ["body"]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         self._stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # tag, container, dropped
+        self.dropped: dict[int, int] = defaultdict(int)  # container, characters of dropped elements
         self._text: list[tuple[str, bool]] = []
         self._parse(source)
 
@@ -65,7 +70,9 @@ class Page:
             self._text = []
 
     def _add(self, text: str) -> None:
-        if text and not self._stack[-1][2]:
+        if text and self._stack[-1][2]:
+            self.dropped[self._stack[-1][1]] += len(text.strip())
+        elif text:
             self._text.append((text, any(tag == "a" for tag, _, _ in self._stack[-6:])))
 
     def _close(self, at: int) -> None:
@@ -104,6 +111,7 @@ class Page:
         if tag in CONTAINERS:
             general = ".".join(re.sub(r"\d+", "#", c) for c in sorted(set(names.split()))[:4])
             self.paths.append(f"{self.paths[container]}>{tag}" + (f".{general}" if general else ""))
+            self.tags.append(tag)
             self.parents.append(container)
             container = len(self.paths) - 1
         self._stack.append((tag, container, dropped))
@@ -139,41 +147,85 @@ class Page:
         self._add(source[at:])
         self._flush()
 
-    def scores(self) -> dict[str, float]:
-        """Text without links per container path: whole for the container of a block, half for the one above."""
-        out: dict[str, float] = defaultdict(float)
-        for container, text, links in self.blocks:
-            value = max(0, len(text) - 2 * links)
-            out[self.paths[container]] += value
-            if container:
-                out[self.paths[self.parents[container]]] += value / 2
+    def measures(self) -> tuple[dict[str, str | None], dict[str, int], dict[str, int], dict[str, int]]:
+        """Per path, of all its containers with their descendants: parent path, text without links, text in links, dropped text."""
+        above: dict[str, str | None] = {}
+        for path, parent in zip(self.paths, self.parents):
+            above.setdefault(path, self.paths[parent] if parent >= 0 else None)
+        good, links, dropped = (dict.fromkeys(above, 0) for _ in range(3))
+        for container, text, linked in self.blocks:
+            good[self.paths[container]] += max(0, len(text) - 2 * linked)
+            links[self.paths[container]] += linked
+        for container, size in self.dropped.items():
+            dropped[self.paths[container]] += size
+        for path in reversed(above):  # a path comes after its parent's
+            if (up := above[path]) is not None:
+                for of in (good, links, dropped):
+                    of[up] += of[path]
+        return above, good, links, dropped
+
+    def best(self) -> str | None:
+        """Path of the outermost container that still holds the article; none in a page without text.
+
+        From the innermost path with more than half of the page's text without links, go up
+        while that gains more text than links, and outside of article and main also more than
+        dropped matter; never up from the outermost article or main.
+        """
+        above, good, links, dropped = self.measures()
+        if not good["body"]:
+            return "body" if self.blocks else None
+        core = [p for p in above if 2 * good[p] > good["body"]][-1]  # these lie inside one another
+        tags, semantic = dict(zip(self.paths, self.tags)), {}
+        for p, up in above.items():
+            semantic[p] = tags[p] in ("article", "main") or up is not None and semantic[up]
+        at = out = core
+        while (up := above[at]) is not None and not (semantic[at] and not semantic[up]):
+            gain = good[up] - good[at]
+            loss = links[up] - links[at] + (0 if semantic[up] else dropped[up] - dropped[at])
+            if loss > gain:
+                break
+            at = up
+            if gain or semantic[up]:
+                out = up
         return out
 
-    def best(self) -> list[tuple[str, float]]:
-        return sorted(self.scores().items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[:VOTES]
+    def covered(self, path: str) -> int:
+        """Text without links inside the containers of a path."""
+        inside = self._inside(path)
+        return sum(max(0, len(text) - 2 * links) for container, text, links in self.blocks if inside[container])
 
-    def extract(self, path: str) -> list[str]:
-        inside = []
+    def _inside(self, path: str) -> list[bool]:
+        inside: list[bool] = []
         for p, parent in zip(self.paths, self.parents):
             inside.append(p == path or (parent >= 0 and inside[parent]))
+        return inside
+
+    def article(self, path: str | None) -> list[str]:
+        """Blocks of the host's path, or of the page's own if the host's holds too little of it."""
+        own = self.best()
+        if own is None:
+            return []
+        if path and path != own and (found := self.extract(path)) and self.covered(path) >= COVERED * self.covered(own):
+            return found
+        return self.extract(own)
+
+    def extract(self, path: str) -> list[str]:
+        inside = self._inside(path)
         return [text for container, text, _ in self.blocks if inside[container]]
 
 
 def page_votes(pages: DataFrame, host: str = "host", source: str = "html") -> DataFrame:
-    """(host, path, votes): each page gives its best containers shares of one vote."""
+    """(host, path, votes): each page votes for the outermost container that holds its article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = defaultdict(float)
+            votes: dict[tuple[str, str], int] = defaultdict(int)
             for h, s in zip(flat.pylist(batch, host), flat.pylist(batch, source)):
-                found = Page(s).best() if s else []
-                total = sum(v for _, v in found)
-                for path, v in found:
-                    if total:
-                        votes[h, path] += v / total
+                if s and (path := Page(s).best()):
+                    votes[h, path] += 1
             keys = list(votes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([round(votes[k] * 1e6) for k in keys], pa.int64())],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(votes.values()), pa.int64())],
                 names=["host", "path", "votes"])
 
     return pages.select(host, source).mapInArrow(run, "host string, path string, votes long")
@@ -201,13 +253,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         for batch in batches:
             texts = []
             for s, path in zip(flat.pylist(batch, "html"), flat.pylist(batch, "path")):
-                blocks = []
-                if s:
-                    page = Page(s)
-                    blocks = page.extract(path) if path else []
-                    if not blocks and (best := page.best()):
-                        blocks = page.extract(best[0][0])
-                texts.append("\n\n".join(blocks))
+                texts.append("\n\n".join(Page(s).article(path) if s else []))
             yield pa.RecordBatch.from_arrays(
                 [flat.column(batch, "page_id"), flat.column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

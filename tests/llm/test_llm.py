@@ -266,6 +266,23 @@ def test_pages(spark):
     assert (got[3], got[4], got[5]) == ("", "", "plain text only")
 
 
+def test_pages_with_inner_containers(spark):
+    nav, foot = "<nav><a href=x>Home</a><a href=y>News of the day</a></nav>", "<footer>All rights are reserved by the owner</footer>"
+    long = [f"Sentence {i} of the section tells more of the same story at some length." for i in range(12)]
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{' '.join(long[i:i + 5])}</p></section>" for i in range(6))
+    nested = f"<body>{nav}<div class=teasers><a href=z>Another story behind a link</a></div><article><h1>Title</h1><p>Intro.</p>{sections}<aside>{'Dropped. ' * 60}</aside></article>{foot}"
+    divs = f"<body>{nav}<div class=body><h1>Title</h1><div>{long[0]}</div><div>{long[1]}</div><div class=inner>{' '.join(long)}</div></div><div><a href=q>A long list of links to read next on this host</a></div>{foot}"
+    cells = "".join(f"<tr><td>Row {i}<td>{long[i]}" for i in range(12))
+    table = f"<body>{nav}<article><h1>Prices</h1><p>What it costs.</p><table>{cells}</table><p>After.</p></article>{foot}"
+    mixed = f"<body>{nav}<article>Short note.</article><div class=story><h1>Other layout</h1><p>{' '.join(long)}</p></div>{foot}"
+    rows = [(i, "http://n.org/a", nested) for i in range(4)] + [(10, "http://d.org/a", divs), (11, "http://t.org/a", table), (12, "http://n.org/b", mixed), (13, "http://n.org/c", f"{nav}<article>Brief.</article>")]
+    got = {r.page_id: r.text for r in html_consensus.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "\n\n".join(["Title", "Intro.", *(x for i in range(6) for x in (f"Part {i}", " ".join(long[i:i + 5])))])
+    assert got[10] == "\n\n".join(["Title", long[0], long[1], " ".join(long)])
+    assert got[11] == "\n\n".join(["Prices", "What it costs.", *(x for i in range(12) for x in (f"Row {i}", long[i])), "After."])
+    assert " ".join(long) in got[12] and "Other layout" in got[12] and "Home" not in got[12] and got[13] == "Brief."
+
+
 def test_urls(spark):
     rows = [(1, "HTTPS://x.ORG/Casino?a"), (2, "http://casinos.net"), (3, None), (4, "http://x.net/adult/poker"), (5, "no scheme"), (6, "http://a.net/free")]
     got = {r.page_id: (r.n_strict, r.n_soft, r.rejected) for r in url_vocabulary.score_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
