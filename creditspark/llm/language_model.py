@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from creditspark.llm.flat import U, mix
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
-SLICE = 8 << 20
+SLICE = 6 << 20
 SHORT_CODES = 1 << 20  # most words with a code of their own: 16 MB of hashes and counts
 CELL_TOKENS = 1 << 20  # n-gram occurrences one task holds at once
 LEAST = (1, 2)  # occurrences a bigram and a trigram need to be kept
@@ -51,7 +51,9 @@ DISCOUNT = 0.75
 STEPS = 2048  # quantisation steps per factor of ten
 BEGIN, END = mix(np.array([1, 2], U))  # stand for the words around a text
 SEPARATORS = flat.byte_mask(flat.SPACES)
-PARTS = "id long, sig int, h long, a double, b double"
+CHUNK = 1 << 18  # n-grams scored at once
+BUCKET_TEXTS = 20_000  # texts whose sums are added up in one task
+PARTS = "bucket int, payload binary, id long, sig int, h long, a double, b double"
 
 
 @dataclass
@@ -199,13 +201,15 @@ def _blocks(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(g[s]), order[s:e]
 
 
-def _training_blocks(texts: DataFrame, codes, splits: np.ndarray) -> DataFrame:
-    """(cell, part, payload): counted trigrams of a slice of texts, one row per cell and part."""
+def _training_blocks(texts: DataFrame, codes, splits: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """(cell, part, payload): counted trigrams of a slice of texts, one row per wanted cell and part."""
     cells, base = len(splits), np.concatenate([[0], np.cumsum(splits)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, "text", SLICE):
             u, v, w, cell, _, h = _trigrams(flat.column(batch, "text"), codes, cells)
+            if not wanted.all():
+                u, v, w, cell, h = (x[wanted[cell]] for x in (u, v, w, cell, h))
             new = _firsts(cell, v, u, w)
             n = np.diff(np.append(new, len(u))).astype(np.uint32)
             u, v, w, cell, h = (x[new] for x in (u, v, w, cell, h))
@@ -219,9 +223,8 @@ def _training_blocks(texts: DataFrame, codes, splits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "cell int, part int, payload binary")
 
 
-def _counted(payloads: list[bytes], least: tuple[int, int]) -> list[tuple[np.ndarray, ...]]:
+def _kept(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, least: tuple[int, int]) -> list[tuple[np.ndarray, ...]]:
     """Kept trigrams (v, u, w, n), kept bigrams (v, w, n), all pairs (v, u, n) and all context words (v, n)."""
-    v, u, w, n = _joined(payloads, U, U, U, np.uint32)
     tri = _summed((v, u, w), n)
     v, u, w, n = tri
     keep = n >= least[1]
@@ -308,24 +311,28 @@ class Trie:
         return a, b
 
 
-def fit_ngrams(df: DataFrame, text: str = "text", least: tuple[int, int] = LEAST, discount: float = DISCOUNT, short_codes: int = SHORT_CODES,
-               cell_tokens: int = CELL_TOKENS) -> NgramModel:
-    """Counts of all words and n-grams of ``text``, as a table of tries by cell."""
-    if least[0] > least[1]:
-        raise ValueError("a kept trigram needs its bigram: least[0] must not exceed least[1]")
-    spark = df.sparkSession
-    texts = df.select(F.col(text).cast("string").alias("text"))
+def _counted(texts: DataFrame, short_codes: int, cell_tokens: int) -> NgramModel:
+    """The word counts, short codes and loads of a model, without tries."""
+    spark = texts.sparkSession
     unigrams = materialize(count_words(texts), "unigrams")
     size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     tokens, words = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     codes = spark.sparkContext.broadcast(_short_codes(unigrams, short_codes))
-    cells = max(1, -(-tokens // cell_tokens))
-    loads = _loads(unigrams, cells, rows)
-    splits = np.maximum(1, -(-loads // (2 * cell_tokens)))
+    loads = _loads(unigrams, max(1, -(-tokens // cell_tokens)), rows)
+    return NgramModel(unigrams, spark.createDataFrame([], "cell int, payload binary"), codes, tokens, words, size, loads)
+
+
+def _splits(loads: np.ndarray, cell_tokens: int) -> np.ndarray:
+    return np.maximum(1, -(-loads // (2 * cell_tokens)))
+
+
+def _tries(texts: DataFrame, model: NgramModel, least: tuple[int, int], discount: float, cell_tokens: int, wanted: np.ndarray) -> DataFrame:
+    """(cell, payload) of the wanted cells."""
+    splits = _splits(model.loads, cell_tokens)
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
-        cell, part = key[0].as_py(), key[1].as_py()
-        counts = _counted(rows.column("payload").to_pylist(), least)
+        cell = key[0].as_py()
+        counts = _kept(*_joined(rows.column("payload").to_pylist(), U, U, U, np.uint32), least)
         if splits[cell] == 1:
             return _trie_row(cell, True, [_trie(counts, discount)])
         return _trie_row(cell, False, [_pack(*c) for c in counts])
@@ -337,12 +344,25 @@ def fit_ngrams(df: DataFrame, text: str = "text", least: tuple[int, int] = LEAST
         return _trie_row(key[0].as_py(), True, [_trie([_summed(tuple(c[:-1]), c[-1]) for c in columns], discount)])
 
     schema = "cell int, done boolean, parts array<binary>"
-    counted = _training_blocks(texts, codes, splits).groupBy("cell", "part").applyInArrow(count, schema)
-    if (splits > 1).any():
+    counted = _training_blocks(texts, model.codes, splits, wanted).groupBy("cell", "part").applyInArrow(count, schema)
+    if (splits[wanted] > 1).any():
         counted = materialize(counted, "counted")
         counted = counted.where("done").unionByName(counted.where("NOT done").groupBy("cell").applyInArrow(join, schema))
-    tries = materialize(counted.select("cell", F.col("parts")[0].alias("payload")), "tries")
-    return NgramModel(unigrams, tries, codes, tokens, words, size, loads)
+    return materialize(counted.select("cell", F.col("parts")[0].alias("payload")), "tries")
+
+
+def fit_ngrams(df: DataFrame, text: str = "text", least: tuple[int, int] = LEAST, discount: float = DISCOUNT, short_codes: int = SHORT_CODES,
+               cell_tokens: int = CELL_TOKENS) -> NgramModel:
+    """Counts of all words and n-grams of ``text``, as a table of tries by cell."""
+    _check(least)
+    texts = df.select(F.col(text).cast("string").alias("text"))
+    model = _counted(texts, short_codes, cell_tokens)
+    return replace(model, tries=_tries(texts, model, least, discount, cell_tokens, np.ones(len(model.loads), bool)))
+
+
+def _check(least: tuple[int, int]) -> None:
+    if least[0] > least[1]:
+        raise ValueError("a kept trigram needs its bigram: least[0] must not exceed least[1]")
 
 
 def _trie_row(cell: int, done: bool, parts: list[bytes]) -> pa.Table:
@@ -356,26 +376,52 @@ def _query_blocks(rows: DataFrame, codes, copies: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, "text", SLICE):
             ids, sigs = flat.longs(flat.column(batch, "id")), flat.longs(flat.column(batch, "sig")).astype(np.int32)
+            train = flat.longs(flat.column(batch, "train")).astype(np.uint8)
             u, v, w, cell, row, _ = _trigrams(flat.column(batch, "text"), codes, cells)
             copy = sigs[row] % copies[cell]
             out = []
             for g, i in _blocks(cell * int(copies.max(initial=1)) + copy):
                 docs, local = np.unique(row[i], return_inverse=True)
-                out.append((cell[i[0]], copy[i[0]], _pack(v[i], u[i], w[i], local.astype(np.uint32)), _pack(ids[docs], sigs[docs])))
+                out.append((cell[i[0]], copy[i[0]], _pack(v[i], u[i], w[i], local.astype(np.uint32)), _pack(ids[docs], sigs[docs], train[docs])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["cell", "copy", "payload", "docs"])
 
     return rows.mapInArrow(run, "cell int, copy int, payload binary, docs binary")
 
 
-def score_ngrams(df: DataFrame, model: NgramModel, doc_id: str = "doc_id", text: str = "text", cell_tokens: int = CELL_TOKENS) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, base_score and score (log10 of the text's probability by word counts alone, and by the model)."""
+def _chunks(payloads: list[bytes], docs: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(v, u, w, place of the text among all texts of the blocks), a bounded number of n-grams at a time."""
+    waiting, held, shift = [], 0, 0
+    for i, (p, d) in enumerate(zip(payloads, docs)):
+        v, u, w, local = _unpack(p, U, U, U, np.uint32)
+        waiting.append((v, u, w, local.astype(np.int64) + shift))
+        held, shift = held + len(v), shift + len(d[0])
+        if held >= CHUNK or i == len(payloads) - 1:
+            yield tuple(np.concatenate(c) for c in zip(*waiting))
+            waiting, held = [], 0
+
+
+def _trained_here(payloads: list[bytes], docs: list[list[np.ndarray]], least: tuple[int, int], discount: float) -> bytes | None:
+    """The trie of a cell from the blocks whose texts it will score."""
+    kept = []
+    for p, d in zip(payloads, docs):
+        v, u, w, local = _unpack(p, U, U, U, np.uint32)
+        own = d[2][local] == 1
+        kept.append((v[own], u[own], w[own]))
+    v, u, w = (np.concatenate(c) for c in zip(*kept))
+    del kept
+    return _trie(_kept(v, u, w, np.ones(len(v), np.uint32), least), discount) if len(v) else None
+
+
+def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_tokens: int, train=None, least=LEAST, discount: float = DISCOUNT) -> DataFrame:
+    """All rows scored; with ``train``, cells of a bearable size make their trie from the marked rows among their blocks."""
     spark, codes, cells = df.sparkSession, model.codes, len(model.loads)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash("doc_id", "text").alias("sig"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    copies = np.maximum(1, -(-model.loads * max(size, 1) // (max(model.size, 1) * 2 * cell_tokens)))
-    total = float(model.tokens + model.words + 1)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.lit(False) if train is None else train).cast("int").alias("train"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash("doc_id", "text").alias("sig"), F.coalesce("text", F.lit("")).alias("text"), "train")
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    here = _splits(model.loads, cell_tokens) == 1 if train is not None else np.zeros(cells, bool)
+    copies = np.where(here, 1, np.maximum(1, -(-model.loads * max(size, 1) // (max(model.size, 1) * 2 * cell_tokens))))
+    total, buckets = float(model.tokens + model.words + 1), -(-n_rows // BUCKET_TEXTS) or 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.log10((codes.value[3] + 1) / total)
@@ -383,28 +429,33 @@ def score_ngrams(df: DataFrame, model: NgramModel, doc_id: str = "doc_id", text:
             h, at, owner = _sequences(flat.column(batch, "text"))
             code, doc, n = _codes(codes, h[at]), owner[at], batch.num_rows
             short = code < U(len(logs))
+            base = np.bincount(doc[short], logs[code[short].astype(np.int64)], n).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [flat.column(batch, c) for c in ("doc_id", "id", "sig")]
-                + [pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[short], minlength=n)),
-                   pa.array(np.bincount(doc[short], logs[code[short].astype(np.int64)], n).astype(np.float64))], names=["doc_id", "id", "sig", "n_tokens", "n_short", "base_short"])
-
-    def answer(blocks: pa.Table, tries: pa.Table) -> pa.Table:
-        trie = Trie(tries.column("payload")[0].as_py()) if tries.num_rows else None
-        counts, sums, rare = codes.value[3], [], []
-        parts = [_unpack(p, U, U, U, np.uint32) for p in blocks.column("payload").to_pylist()]
-        docs = [_unpack(d, np.int64, np.int32) for d in blocks.column("docs").to_pylist()]
-        if parts:
-            v, u, w, local = (np.concatenate(c) for c in zip(*parts))
+                [flat.column(batch, c) for c in ("doc_id", "id", "sig")] + [pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[short], minlength=n)), pa.array(base)],
+                names=["doc_id", "id", "sig", "n_tokens", "n_short", "base_short"])
+
+    def answer(key: tuple, blocks: pa.Table, tries: pa.Table) -> pa.Table:
+        payloads, docs = blocks.column("payload").to_pylist(), [_unpack(d, np.int64, np.int32, np.uint8) for d in blocks.column("docs").to_pylist()]
+        if not payloads:
+            return _part_table([], [])
+        trie = tries.column("payload")[0].as_py() if tries.num_rows else _trained_here(payloads, docs, least, discount) if here[key[0].as_py()] else None
+        trie = Trie(trie) if trie else None
+        ids, sigs = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
+        counts, sums, rare = codes.value[3], np.zeros(len(ids)), []
+        for v, u, w, owner in _chunks(payloads, docs):
             a, b = trie.mixture(u, v, w) if trie else (np.zeros(len(v)), np.ones(len(v)))
-            shift = np.concatenate([[0], np.cumsum([len(d[0]) for d in docs])])
-            owner = local.astype(np.int64) + np.repeat(shift[:-1], [len(p[0]) for p in parts])
-            ids, sigs = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
             short = w < U(len(counts))
-            p = np.log10(a[short] + b[short] * (counts[w[short].astype(np.int64)] + 1) / total)
-            sums = [ids, sigs, np.zeros(len(ids), np.int64), np.bincount(owner[short], p, len(ids)), np.zeros(len(ids))]
-            far = owner[~short]
-            rare = [ids[far], sigs[far], w[~short].view(np.int64), a[~short], b[~short]]
-        return _part_table(sums, rare)
+            sums += np.bincount(owner[short], np.log10(a[short] + b[short] * (counts[w[short].astype(np.int64)] + 1) / total), len(ids))
+            far = ~short
+            rare.append((ids[owner[far]], sigs[owner[far]], w[far].view(np.int64), a[far], b[far]))
+        return _part_table(_bucketed(ids, sigs, sums, buckets), [np.concatenate(c) for c in zip(*rare)])
+
+    def add_up(key: tuple, blocks: pa.Table) -> pa.Table:
+        ids, sigs, sums = _joined(blocks.column("payload").to_pylist(), np.int64, np.int32, np.float64)
+        order = np.lexsort((sigs, ids))
+        ids, sigs, sums = ids[order], sigs[order], sums[order]
+        at = _firsts(ids, sigs)
+        return pa.table({"id": ids[at], "sig": sigs[at], "score": np.add.reduceat(sums, at)})
 
     counted = rows.mapInArrow(count, "doc_id long, id long, sig int, n_tokens long, n_short long, base_short double")
     places = pa.table({"cell": pa.array(np.repeat(np.arange(cells), copies), pa.int32()),
@@ -412,8 +463,9 @@ def score_ngrams(df: DataFrame, model: NgramModel, doc_id: str = "doc_id", text:
     tries = model.tries.join(spark.createDataFrame(places, "cell int, copy int"), "cell")
     parts = materialize(_query_blocks(rows, codes, copies).groupBy("cell", "copy").cogroup(tries.groupBy("cell", "copy")).applyInArrow(answer, PARTS), "parts")
     known = model.unigrams.select("h", "c")
-    rare = parts.where("h IS NOT NULL").join(known, "h", "left").withColumn("p1", (F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
-    sums = parts.where("h IS NULL").select("id", "sig", F.col("a").alias("score"), F.lit(0).alias("known"), F.lit(0.0).alias("base")).unionByName(
+    rare = parts.where("payload IS NULL").select("id", "sig", "h", "a", "b").join(known, "h", "left").withColumn("p1", (F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
+    sums = parts.where("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInArrow(add_up, "id long, sig int, score double")
+    sums = sums.select("id", "sig", "score", F.lit(0).alias("known"), F.lit(0.0).alias("base")).unionByName(
         rare.select("id", "sig", F.log10(F.col("a") + F.col("b") * F.col("p1")).alias("score"), F.col("c").isNotNull().cast("int").alias("known"), F.log10("p1").alias("base")))
     sums = sums.groupBy("id", "sig").agg(F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("base").alias("base"))
     # equal rows share (id, sig): their parts were added up, and each of them gets its share
@@ -423,12 +475,44 @@ def score_ngrams(df: DataFrame, model: NgramModel, doc_id: str = "doc_id", text:
         (F.col("base_short") + F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"))
 
 
-def _part_table(sums: list[np.ndarray], rare: list[np.ndarray]) -> pa.Table:
-    kinds = (np.int64, np.int32, np.int64, np.float64, np.float64)
-    first, second = (x or [np.zeros(0, k) for k in kinds] for x in (sums, rare))
-    columns = {n: pa.array(np.concatenate([f, s]).astype(k)) for n, k, f, s in zip(("id", "sig", "h", "a", "b"), kinds, first, second)}
-    none = np.concatenate([np.ones(len(first[0]), bool), np.zeros(len(second[0]), bool)])
-    columns["h"] = pa.array(columns["h"].to_numpy(), mask=none)
+def score_ngrams(df: DataFrame, model: NgramModel, doc_id: str = "doc_id", text: str = "text", cell_tokens: int = CELL_TOKENS) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, base_score and score (log10 of the text's probability by word counts alone, and by the model)."""
+    return _scored(df, model, doc_id, text, cell_tokens)
+
+
+def train_and_score(df: DataFrame, train, doc_id: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST, discount: float = DISCOUNT,
+                    short_codes: int = SHORT_CODES, cell_tokens: int = CELL_TOKENS) -> DataFrame:
+    """Every row scored by a model of those for which the column ``train`` holds, moving each n-gram once.
+
+    The answer is that of ``fit_ngrams`` and ``score_ngrams``, but the n-grams that a cell counts
+    are the ones that it scores. Only cells with too many n-grams for a task are fitted beforehand. Adds ``train_tokens``.
+    """
+    _check(least)
+    texts = df.where(train).select(F.col(text).cast("string").alias("text"))
+    model = _counted(texts, short_codes, cell_tokens)
+    large = _splits(model.loads, cell_tokens) > 1
+    if large.any():
+        model = replace(model, tries=_tries(texts, model, least, discount, cell_tokens, large))
+    return _scored(df, model, doc_id, text, cell_tokens, train, least, discount).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
+def _bucketed(ids: np.ndarray, sigs: np.ndarray, sums: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Sums per text as one packed row for each bucket of texts."""
+    order = np.lexsort((sigs, ids))
+    ids, sigs, sums = ids[order], sigs[order], sums[order]
+    at = _firsts(ids, sigs)
+    ids, sigs, sums = ids[at], sigs[at], np.add.reduceat(sums, at)
+    bucket = (mix(ids.view(U)) % U(buckets)).astype(np.int64)
+    return [(g, _pack(ids[i], sigs[i], sums[i])) for g, i in _blocks(bucket)]
+
+
+def _part_table(sums: list[tuple[int, bytes]], rare: list[np.ndarray]) -> pa.Table:
+    """Packed sums and n-grams that wait for the count of a rare word, as rows of ``PARTS``."""
+    n, m = len(sums), len(rare[0]) if rare else 0
+    kinds = (("id", pa.int64()), ("sig", pa.int32()), ("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()))
+    columns = {"bucket": pa.array([g for g, _ in sums] + [None] * m, pa.int32()), "payload": pa.array([p for _, p in sums] + [None] * m, pa.binary())}
+    for k, (name, kind) in enumerate(kinds):
+        columns[name] = pa.concat_arrays([pa.nulls(n, kind), pa.array(rare[k], kind) if m else pa.nulls(0, kind)])
     return pa.table(columns)
 
 
@@ -441,6 +525,4 @@ def held_out(doc_id: str = "doc_id"):
 def op13_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a trigram model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = fit_ngrams(docs.where(~held_out()))
-    return score_ngrams(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-                                            "base_score", "score")
+    return train_and_score(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

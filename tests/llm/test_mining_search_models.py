@@ -202,6 +202,9 @@ def test_model_matches_brute_force(docs, least, short, cell_tokens):
         assert (model.loads > 2 * cell_tokens).any()
     got = language_model.score_ngrams(docs, model, cell_tokens=cell_tokens).select("doc_id", "n_tokens", "n_known", "base_score", "score")
     same([tuple(r) for r in got.collect()], want)
+    both = language_model.train_and_score(docs, ~language_model.held_out(), least=least, short_codes=short, cell_tokens=cell_tokens)
+    same([tuple(r) for r in both.select(got.columns).collect()], want)
+    assert {r.train_tokens for r in both.select("train_tokens").collect()} == {total}
 
 
 def test_model_is_a_distribution():
