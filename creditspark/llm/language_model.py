@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -43,7 +44,8 @@ from creditspark.llm.flat import U, mix
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
-SLICE = 6 << 20
+SLICE = 3 << 20
+BATCH_BYTES = "4m"  # of an Arrow batch while texts are cut into n-grams
 SHORT_CODES = 1 << 20  # most words with a code of their own: 16 MB of hashes and counts
 CELL_TOKENS = 1 << 20  # n-gram occurrences one task holds at once
 LEAST = (1, 2)  # occurrences a bigram and a trigram need to be kept
@@ -67,13 +69,28 @@ class NgramModel:
     loads: np.ndarray  # training tokens per cell
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of a few MB for the jobs run inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _sequences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words between two begin marks and an end mark per text, which of them are predicted, and their row."""
     buf, starts, ends = flat.text_bytes(text)
     ws, we, first = flat.word_bounds(buf, starts, ends, SEPARATORS)
     rows, n = len(starts), len(ws)
     doc = np.repeat(np.arange(rows), np.diff(first))
-    out, owner = np.full(n + 3 * rows, BEGIN, U), np.repeat(np.arange(rows), np.diff(first) + 3)
+    out, owner = np.full(n + 3 * rows, BEGIN, U), np.repeat(np.arange(rows, dtype=np.int32), np.diff(first) + 3)
     predicted = np.zeros(len(out), bool)
     at, end = np.arange(n) + 3 * doc + 2, first[1:] + 3 * np.arange(rows) + 2
     if n:
@@ -177,19 +194,31 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _trigrams(text: pa.Array, codes, cells: int):
-    """Codes (u, v, w) of all predicted words, their cell and row, and the hash of w; sorted by cell, v, u, w."""
-    h, at, owner = _sequences(text)
-    words, inverse = np.unique(h, return_inverse=True)
-    cell, code = _cell(words, cells), _codes(codes, words)
-    by_cell = np.lexsort((code, cell))
-    place = np.empty(len(words), np.int64)
-    place[by_cell] = np.arange(len(words))
-    i = place[inverse]
-    order = np.lexsort((i[at], i[at - 2], i[at - 1]))
-    at = at[order]
-    code, cell, words = code[by_cell], cell[by_cell], words[by_cell]
-    return code[i[at - 2]], code[i[at - 1]], code[i[at]], cell[i[at - 1]], owner[at], words[i[at]]
+class Trigrams:
+    """All predicted words of a slice of texts with the two words before, sorted by cell, v, u, w; words as numbers into small tables."""
+
+    def __init__(self, text: pa.Array, codes, cells: int):
+        h, at, owner = _sequences(text)
+        words, place = np.unique(h, return_inverse=True)
+        cell, code = _cell(words, cells), _codes(codes, words)
+        by_cell = np.lexsort((code, cell))
+        rank = np.empty(len(words), np.int32)
+        rank[by_cell] = np.arange(len(words), dtype=np.int32)
+        self.code, self.cells, self.hash = code[by_cell], cell[by_cell], words[by_cell]
+        i = rank[place]
+        del h, place
+        w, v, u = i[at], i[at - 1], i[at - 2]
+        order = np.lexsort((w, u, v))
+        self.u, self.v, self.w, self.row = u[order], v[order], w[order], owner[at[order]]
+
+    def keep(self, which: np.ndarray) -> None:
+        self.u, self.v, self.w, self.row = (x[which] for x in (self.u, self.v, self.w, self.row))
+
+    def cell(self) -> np.ndarray:
+        return self.cells[self.v]
+
+    def coded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.code[self.v[which]], self.code[self.u[which]], self.code[self.w[which]]
 
 
 def _blocks(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -207,14 +236,15 @@ def _training_blocks(texts: DataFrame, codes, splits: np.ndarray, wanted: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, "text", SLICE):
-            u, v, w, cell, _, h = _trigrams(flat.column(batch, "text"), codes, cells)
+            t = Trigrams(flat.column(batch, "text"), codes, cells)
             if not wanted.all():
-                u, v, w, cell, h = (x[wanted[cell]] for x in (u, v, w, cell, h))
-            new = _firsts(cell, v, u, w)
-            n = np.diff(np.append(new, len(u))).astype(np.uint32)
-            u, v, w, cell, h = (x[new] for x in (u, v, w, cell, h))
-            part = (mix(h ^ U(5)) % splits[cell].astype(U)).astype(np.int64)
-            rows = [(g, _pack(v[i], u[i], w[i], n[i])) for g, i in _blocks(base[cell] + part)]
+                t.keep(wanted[t.cell()])
+            new = _firsts(t.v, t.u, t.w)
+            n = np.diff(np.append(new, len(t.v))).astype(np.uint32)
+            t.keep(new)
+            cell = t.cell()
+            part = (mix(t.hash[t.w] ^ U(5)) % splits[cell].astype(U)).astype(np.int64)
+            rows = [(g, _pack(*t.coded(i), n[i])) for g, i in _blocks(base[cell] + part)]
             owner = np.searchsorted(base, [g for g, _ in rows], "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owner.astype(np.int32)), pa.array((np.array([g for g, _ in rows]) - base[owner]).astype(np.int32)),
@@ -314,7 +344,8 @@ class Trie:
 def _counted(texts: DataFrame, short_codes: int, cell_tokens: int) -> NgramModel:
     """The word counts, short codes and loads of a model, without tries."""
     spark = texts.sparkSession
-    unigrams = materialize(count_words(texts), "unigrams")
+    with small_batches(spark):
+        unigrams = materialize(count_words(texts), "unigrams")
     size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     tokens, words = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     codes = spark.sparkContext.broadcast(_short_codes(unigrams, short_codes))
@@ -345,10 +376,12 @@ def _tries(texts: DataFrame, model: NgramModel, least: tuple[int, int], discount
 
     schema = "cell int, done boolean, parts array<binary>"
     counted = _training_blocks(texts, model.codes, splits, wanted).groupBy("cell", "part").applyInArrow(count, schema)
-    if (splits[wanted] > 1).any():
+    with small_batches(texts.sparkSession):
         counted = materialize(counted, "counted")
+    if (splits[wanted] > 1).any():
         counted = counted.where("done").unionByName(counted.where("NOT done").groupBy("cell").applyInArrow(join, schema))
-    return materialize(counted.select("cell", F.col("parts")[0].alias("payload")), "tries")
+        counted = materialize(counted, "tries")
+    return counted.select("cell", F.col("parts")[0].alias("payload"))
 
 
 def fit_ngrams(df: DataFrame, text: str = "text", least: tuple[int, int] = LEAST, discount: float = DISCOUNT, short_codes: int = SHORT_CODES,
@@ -377,12 +410,13 @@ def _query_blocks(rows: DataFrame, codes, copies: np.ndarray) -> DataFrame:
         for batch in flat.slices(batches, "text", SLICE):
             ids, sigs = flat.longs(flat.column(batch, "id")), flat.longs(flat.column(batch, "sig")).astype(np.int32)
             train = flat.longs(flat.column(batch, "train")).astype(np.uint8)
-            u, v, w, cell, row, _ = _trigrams(flat.column(batch, "text"), codes, cells)
-            copy = sigs[row] % copies[cell]
+            t = Trigrams(flat.column(batch, "text"), codes, cells)
+            cell = t.cell()
+            copy = sigs[t.row] % copies[cell]
             out = []
             for g, i in _blocks(cell * int(copies.max(initial=1)) + copy):
-                docs, local = np.unique(row[i], return_inverse=True)
-                out.append((cell[i[0]], copy[i[0]], _pack(v[i], u[i], w[i], local.astype(np.uint32)), _pack(ids[docs], sigs[docs], train[docs])))
+                docs, local = np.unique(t.row[i], return_inverse=True)
+                out.append((cell[i[0]], copy[i[0]], _pack(*t.coded(i), local.astype(np.uint32)), _pack(ids[docs], sigs[docs], train[docs])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["cell", "copy", "payload", "docs"])
 
@@ -461,7 +495,8 @@ def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_token
     places = pa.table({"cell": pa.array(np.repeat(np.arange(cells), copies), pa.int32()),
                        "copy": pa.array(np.concatenate([np.arange(c) for c in copies]), pa.int32())})
     tries = model.tries.join(spark.createDataFrame(places, "cell int, copy int"), "cell")
-    parts = materialize(_query_blocks(rows, codes, copies).groupBy("cell", "copy").cogroup(tries.groupBy("cell", "copy")).applyInArrow(answer, PARTS), "parts")
+    with small_batches(spark):
+        parts = materialize(_query_blocks(rows, codes, copies).groupBy("cell", "copy").cogroup(tries.groupBy("cell", "copy")).applyInArrow(answer, PARTS), "parts")
     known = model.unigrams.select("h", "c")
     rare = parts.where("payload IS NULL").select("id", "sig", "h", "a", "b").join(known, "h", "left").withColumn("p1", (F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
     sums = parts.where("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInArrow(add_up, "id long, sig int, score double")

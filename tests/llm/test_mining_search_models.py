@@ -192,7 +192,7 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("least,short,cell_tokens", [((1, 2), 1 << 20, 1 << 20), ((1, 1), 10, 1000), ((2, 2), 0, 200), ((1, 2), 3, 60)])
-def test_model_matches_brute_force(docs, least, short, cell_tokens):
+def test_lm_matches_brute_force(docs, least, short, cell_tokens):
     """Also with few short codes (rare words resolved by a join) and small cells (counted in parts, tries in copies)."""
     want, total, _ = model_scores(ROWS, least, language_model.DISCOUNT)
     model = language_model.fit_ngrams(docs.where(~language_model.held_out()), least=least, short_codes=short, cell_tokens=cell_tokens)
@@ -207,13 +207,13 @@ def test_model_matches_brute_force(docs, least, short, cell_tokens):
     assert {r.train_tokens for r in both.select("train_tokens").collect()} == {total}
 
 
-def test_model_is_a_distribution():
+def test_lm_is_a_distribution():
     _, _, (one, prob) = model_scores(ROWS, (1, 2), language_model.DISCOUNT, quantise=False)
     for u, v in (("the", "new"), ("of", "the"), ("<s>", "<s>"), ("never", "seen")):
         assert abs(sum(prob(u, v, w) for w in one) + prob(u, v, "unseen word") - 1) < 1e-9
 
 
-def test_model_of_nothing(docs):
+def test_lm_of_nothing(docs):
     model = language_model.fit_ngrams(docs.where("false"))
     rows = language_model.score_ngrams(docs.where("doc_id IN (3, 8)"), model).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows) == [(3, 1, 0, 0.0, 0.0), (8, 2, 0, 0.0, 0.0)]
@@ -223,7 +223,7 @@ def test_model_of_nothing(docs):
         language_model.fit_ngrams(docs, least=(3, 2))
 
 
-def test_model_on_table(spark, sf):
+def test_lm_on_table(spark, sf):
     rows = [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want, total, _ = model_scores(rows, language_model.LEAST, language_model.DISCOUNT)
     out = QUERIES["op13_elias_fano_scores"](spark, sf)
