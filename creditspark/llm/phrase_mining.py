@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from creditspark.llm import flat
 from creditspark.llm.flat import U, mix
+from creditspark.llm.language_model import small_batches
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
@@ -37,7 +38,8 @@ LONGEST = 5
 TOP = 2000
 SAMPLE = 0.1  # share of the documents that proposes; any value gives the same result
 MOST_BITS = 1 << 27  # of the proposal table: 16 MB
-SLICE = 4 << 20
+SLICE = 2 << 20
+TEXTS = 1 << 16  # phrases written out at once
 SALTS = 8  # lookups of one word's count are spread over so many keys
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 GAPS = flat.byte_mask(PIECE_ENDS + b" \t")
@@ -95,9 +97,7 @@ class Windows:
         self.doc = np.repeat(np.arange(len(starts)), np.diff(first))
         lbuf, lstart, lend = flat.text_bytes(lang)
         self.lang_hash = flat.range_hashes(lbuf, lstart, lend, lower=False) if len(lbuf) else mix((lend - lstart).astype(U))
-        breaks = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(ENDS[buf], out=breaks[1:])
-        self.piece = breaks[self.ws] + self.doc  # differs whenever a piece or a document ends in between
+        self.piece = np.searchsorted(np.flatnonzero(ENDS[buf]), self.ws) + self.doc  # differs whenever a piece or a document ends in between
         self.words = mix(flat.range_hashes(buf, self.ws, self.we) ^ mix(self.lang_hash[self.doc])) if self.n else np.zeros(0, U)
         self.spaced = None
 
@@ -184,8 +184,9 @@ def _counted(docs: DataFrame, shared, longest: int, first: bool) -> DataFrame:
                         good &= ~_grown(o, before)
                 before = h
                 key, at, n = _grouped(h, np.flatnonzero(good))
-                if len(at):
-                    yield _rows(lang.take(pa.array(w.doc[at])), k, w.texts(at, k), key, n)
+                for i in range(0, len(at), TEXTS):
+                    some = slice(i, i + TEXTS)
+                    yield _rows(lang.take(pa.array(w.doc[at[some]])), k, w.texts(at[some], k), key[some], n[some])
 
     return docs.mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
 
@@ -223,15 +224,17 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_
     part = docs.where(F.rand(11) < sample)
     expected = min_count * sample
     low = max(2, math.floor(expected - 1.5 * math.sqrt(expected)))
-    proposed = materialize(_sampled(part, (1, 2)).where(F.col("n") >= low), "proposed")
-    if longest > 2:
-        pairs = _share(spark, [bits_of(proposed)])
-        proposed = proposed.unionByName(materialize(_sampled(part, range(3, longest), pairs).where(F.col("n") >= low), "proposed")) if longest > 3 else proposed
+    with small_batches(spark):
+        proposed = materialize(_sampled(part, (1, 2)).where(F.col("n") >= low), "proposed")
+        if longest > 3:
+            pairs = _share(spark, [bits_of(proposed)])
+            proposed = proposed.unionByName(materialize(_sampled(part, range(3, longest), pairs).where(F.col("n") >= low), "proposed"))
     tables = [bits_of(proposed)]
     counts = None
     while True:
         shared = _share(spark, tables)
-        new = materialize(_counted(docs, shared, longest, counts is None).where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases")
+        with small_batches(spark):
+            new = materialize(_counted(docs, shared, longest, counts is None).where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases")
         counts = new if counts is None else counts.unionByName(new)
         missed = _outside(new.where(F.col("k").between(1, longest - 1)), shared)
         if missed.isEmpty():
