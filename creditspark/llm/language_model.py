@@ -54,6 +54,7 @@ STEPS = 2048  # quantisation steps per factor of ten
 BEGIN, END = mix(np.array([1, 2], U))  # stand for the words around a text
 SEPARATORS = flat.byte_mask(flat.SPACES)
 CHUNK = 1 << 18  # n-grams scored at once
+FIXED = float(1 << 22)  # a cell's sum for a text travels as a whole number of such parts
 BUCKET_TEXTS = 20_000  # texts whose sums are added up in one task
 PARTS = "bucket int, payload binary, id long, sig int, h long, a double, b double"
 
@@ -412,7 +413,7 @@ def _query_blocks(rows: DataFrame, codes, copies: np.ndarray) -> DataFrame:
             train = flat.longs(flat.column(batch, "train")).astype(np.uint8)
             t = Trigrams(flat.column(batch, "text"), codes, cells)
             cell = t.cell()
-            copy = sigs[t.row] % copies[cell]
+            copy = (mix(ids.view(U))[t.row] % copies[cell].astype(U)).astype(np.int64)
             out = []
             for g, i in _blocks(cell * int(copies.max(initial=1)) + copy):
                 docs, local = np.unique(t.row[i], return_inverse=True)
@@ -447,11 +448,21 @@ def _trained_here(payloads: list[bytes], docs: list[list[np.ndarray]], least: tu
     return _trie(_kept(v, u, w, np.ones(len(v), np.uint32), least), discount) if len(v) else None
 
 
+def _signed_where_needed(rows: DataFrame, few: int = 10_000) -> DataFrame:
+    """``sig`` only where an id has several texts; elsewhere 0, which costs nothing to move."""
+    several = rows.groupBy("id").agg(F.count_distinct("sig").alias("texts")).where("texts > 1").select("id", F.lit(True).alias("several"))
+    n = several.limit(few + 1).count()
+    if not n:
+        return rows.withColumn("sig", F.lit(0))
+    return rows.join(F.broadcast(several) if n <= few else several, "id", "left").withColumn("sig", F.when(F.col("several"), F.col("sig")).otherwise(F.lit(0)))
+
+
 def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_tokens: int, train=None, least=LEAST, discount: float = DISCOUNT) -> DataFrame:
     """All rows scored; with ``train``, cells of a bearable size make their trie from the marked rows among their blocks."""
     spark, codes, cells = df.sparkSession, model.codes, len(model.loads)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.lit(False) if train is None else train).cast("int").alias("train"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash("doc_id", "text").alias("sig"), F.coalesce("text", F.lit("")).alias("text"), "train")
+    rows = _signed_where_needed(rows)
     size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     here = _splits(model.loads, cell_tokens) == 1 if train is not None else np.zeros(cells, bool)
     copies = np.where(here, 1, np.maximum(1, -(-model.loads * max(size, 1) // (max(model.size, 1) * 2 * cell_tokens))))
@@ -485,11 +496,11 @@ def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_token
         return _part_table(_bucketed(ids, sigs, sums, buckets), [np.concatenate(c) for c in zip(*rare)])
 
     def add_up(key: tuple, blocks: pa.Table) -> pa.Table:
-        ids, sigs, sums = _joined(blocks.column("payload").to_pylist(), np.int64, np.int32, np.float64)
+        ids, sigs, sums = _joined(blocks.column("payload").to_pylist(), np.int64, np.int32, np.int64)
         order = np.lexsort((sigs, ids))
         ids, sigs, sums = ids[order], sigs[order], sums[order]
         at = _firsts(ids, sigs)
-        return pa.table({"id": ids[at], "sig": sigs[at], "score": np.add.reduceat(sums, at)})
+        return pa.table({"id": ids[at], "sig": sigs[at], "score": np.add.reduceat(sums, at) / FIXED})
 
     counted = rows.mapInArrow(count, "doc_id long, id long, sig int, n_tokens long, n_short long, base_short double")
     places = pa.table({"cell": pa.array(np.repeat(np.arange(cells), copies), pa.int32()),
@@ -536,7 +547,7 @@ def _bucketed(ids: np.ndarray, sigs: np.ndarray, sums: np.ndarray, buckets: int)
     order = np.lexsort((sigs, ids))
     ids, sigs, sums = ids[order], sigs[order], sums[order]
     at = _firsts(ids, sigs)
-    ids, sigs, sums = ids[at], sigs[at], np.add.reduceat(sums, at)
+    ids, sigs, sums = ids[at], sigs[at], np.rint(np.add.reduceat(sums, at) * FIXED).astype(np.int64)
     bucket = (mix(ids.view(U)) % U(buckets)).astype(np.int64)
     return [(g, _pack(ids[i], sigs[i], sums[i])) for g, i in _blocks(bucket)]
 
