@@ -8,7 +8,8 @@ what grows from it, until nothing new is frequent. The result never depends on t
 sample, only the number of passes does (at most the longest phrase's length).
 
 Proposals reach the tasks as a table of bits of bounded size. A wrong bit only lets a
-few more phrases be counted; counts are exact and keyed by the phrase itself.
+few more phrases be counted. These passes count 64-bit hashes, which can only count too much; the last pass counts
+what they found frequent by the phrases themselves.
 
 Defined results: a null text has no words; a null language is ``und``; repeated rows
 count as often as they stand there; an empty table gives an empty result; other columns
@@ -44,7 +45,7 @@ SALTS = 8  # lookups of one word's count are spread over so many keys
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 GAPS = flat.byte_mask(PIECE_ENDS + b" \t")
 ENDS = flat.byte_mask(PIECE_ENDS)
-COUNTED = "lang string, k int, phrase string, h long, n long"
+COUNTED = "lang string, k int, phrase string, n long"
 
 
 class Bits:
@@ -162,20 +163,13 @@ def _sampled(docs: DataFrame, lengths: Sequence[int], shared=None) -> DataFrame:
 
 
 def _counted(docs: DataFrame, shared, longest: int, first: bool) -> DataFrame:
-    """Exact counts of the windows that the newest bit table admits and no older one did; in the first pass also of all words.
-
-    A row with k = 0 holds the number of words of a language.
-    """
+    """(h, k, n) of the windows that the newest bit table admits and no older one did; in the first pass also of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *old, new = _tables(shared)
         for batch in flat.slices(batches, "text", SLICE):
-            lang = flat.column(batch, "lang").cast(pa.string())
-            w, before = Windows(lang, flat.column(batch, "text")), None
-            if first:
-                n = np.bincount(w.doc, minlength=len(lang))
-                yield _rows(lang, 0, pa.array([""] * len(lang)), np.zeros(len(lang), U), n)
-            for k, h, whole in w.hashes(longest):
+            before = None
+            for k, h, whole in Windows(flat.column(batch, "lang"), flat.column(batch, "text")).hashes(longest):
                 if k == 1:
                     good = whole if first else np.zeros(len(h), bool)
                 else:
@@ -183,12 +177,28 @@ def _counted(docs: DataFrame, shared, longest: int, first: bool) -> DataFrame:
                     for o in old:
                         good &= ~_grown(o, before)
                 before = h
-                key, at, n = _grouped(h, np.flatnonzero(good))
+                key, _, n = _grouped(h, np.flatnonzero(good))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(n, pa.int64())], names=["h", "k", "n"])
+
+    return docs.mapInArrow(run, "h long, k int, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+
+
+def _named(docs: DataFrame, shared, longest: int) -> DataFrame:
+    """(lang, k, phrase, n): exact counts, by the phrase itself, of all windows whose hash is in the bit table; k = 0 holds the number of words of a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known,) = _tables(shared)
+        for batch in flat.slices(batches, "text", SLICE):
+            lang = flat.column(batch, "lang").cast(pa.string())
+            w = Windows(lang, flat.column(batch, "text"))
+            yield _rows(lang, 0, pa.array([""] * len(lang)), np.bincount(w.doc, minlength=len(lang)))
+            for k, h, whole in w.hashes(longest):
+                _, at, n = _grouped(h, np.flatnonzero(whole & known.has(h)))
                 for i in range(0, len(at), TEXTS):
                     some = slice(i, i + TEXTS)
-                    yield _rows(lang.take(pa.array(w.doc[at[some]])), k, w.texts(at[some], k), key[some], n[some])
+                    yield _rows(lang.take(pa.array(w.doc[at[some]])), k, w.texts(at[some], k), n[some])
 
-    return docs.mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
+    return docs.mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _grown(known: Bits, shorter: np.ndarray) -> np.ndarray:
@@ -196,9 +206,8 @@ def _grown(known: Bits, shorter: np.ndarray) -> np.ndarray:
     return both[:-1] & both[1:]
 
 
-def _rows(lang: pa.Array, k: int, phrase: pa.Array, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [lang, pa.array(np.full(len(lang), k, np.int32)), phrase, pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "h", "n"])
+def _rows(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), k, np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
 
 def _outside(rows: DataFrame, shared) -> DataFrame:
@@ -229,17 +238,17 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_
         if longest > 3:
             pairs = _share(spark, [bits_of(proposed)])
             proposed = proposed.unionByName(materialize(_sampled(part, range(3, longest), pairs).where(F.col("n") >= low), "proposed"))
-    tables = [bits_of(proposed)]
-    counts = None
+    tables, found = [bits_of(proposed)], None
     while True:
         shared = _share(spark, tables)
         with small_batches(spark):
-            new = materialize(_counted(docs, shared, longest, counts is None).where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases")
-        counts = new if counts is None else counts.unionByName(new)
-        missed = _outside(new.where(F.col("k").between(1, longest - 1)), shared)
-        if missed.isEmpty():
-            return counts.select("lang", "k", "phrase", "n")
-        tables.append(bits_of(counts.where(F.col("k").between(1, longest - 1)).select("h")))
+            new = materialize(_counted(docs, shared, longest, found is None).where(F.col("n") >= min_count), "frequent")
+        found = new if found is None else found.unionByName(new)
+        if _outside(new.where(F.col("k") < longest), shared).isEmpty():
+            break
+        tables.append(bits_of(found.where(F.col("k") < longest)))
+    with small_batches(spark):
+        return materialize(_named(docs, _share(spark, [bits_of(found)]), longest).where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases")
 
 
 def _share(spark: SparkSession, arrays: list[np.ndarray]):
