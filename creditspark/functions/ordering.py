@@ -6,22 +6,25 @@ buffer puts an unbounded group into one task. The functions here bound that:
 * hash order: the leading bits of the hash are an order-preserving, evenly
   filled bucket. Totals per bucket give the offset, the window runs per bucket.
 * value order: buckets come from approximate quantiles, found first.
-* quantiles: approximate brackets around the wanted rank are found first; only
-  the values inside a bracket are ordered exactly.
+* quantiles: counts per value range, then finer counts inside the ranges that hold
+  a wanted rank, until each range holds one value.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TASK_ROWS = 1_000_000  # rows one ordered window or percentile buffer may hold
-SKETCH_ACCURACY = 100_000  # percentile_approx rank error is at most n / accuracy
+from creditspark.sources.io import materialize
+
+TASK_ROWS = 1_000_000  # rows one ordered window may hold
 HASH_BITS = 16
 
 
@@ -117,110 +120,145 @@ def double_array(values: Sequence[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
 
 
-def fits_buffers(df: DataFrame, by: Sequence[str] = (), task_rows: int = TASK_ROWS) -> bool:
-    """Whether every group is counted to be small enough for exact percentile buffers."""
-    if by:
-        largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    else:
-        largest = df.count()
-    return (largest or 0) <= task_rows
+OCTAVE = 4096  # first buckets per doubling of |value| + 1
+FINE = 4096  # most buckets of a later round between a bucket's smallest and largest value
+ROUND = 1 << 18  # about so many buckets are counted in a later round, but 16 per refined bucket at least
+FEW_CELLS = 100_000  # refined buckets that are broadcast; more are joined
 
 
-def exact_percentiles(c: Column | str, probs: Sequence[float]) -> Column:
-    """Aggregate with all quantiles of a column; only for groups that ``fits_buffers`` accepts."""
-    x = F.col(f"`{c}`") if isinstance(c, str) else c
-    return F.percentile(x.cast("double"), double_array(probs))
+def _coarse(v: Column) -> Column:
+    """Order-preserving bucket number of any double; NaN comes last, null stays null. There are about 130 * OCTAVE buckets at most."""
+    size = F.log2(1 + F.abs(v))
+    size = F.when(size <= 64, size * OCTAVE).otherwise(64 * OCTAVE + F.least(size - 64, F.lit(1000.0)))
+    signed = F.when(v < 0, -F.ceil(size)).otherwise(F.floor(size))
+    return F.when(F.isnan(v), F.lit(64 * OCTAVE + 1001)).when(v.isNotNull(), signed).cast("long")
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              task_rows: int = TASK_ROWS) -> DataFrame:
-    """Exact linear-interpolation quantiles as rows (by..., feature, p, value).
+def _fine(v: Column, lo: Column, hi: Column, parts: int) -> Column:
+    """Order-preserving bucket number between two different values, which get different numbers; halves keep the range finite."""
+    return F.when(F.isnan(hi) | (F.abs(hi) == float("inf")) | (F.abs(lo) == float("inf")), F.when(v == lo, 0).when(v == hi, 2).otherwise(1)).otherwise(
+        F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * parts)).cast("long")
 
-    Small groups use the built-in ``percentile``. Larger ones take two passes:
-    a sketch brackets each wanted rank, then only bracketed values are ordered.
-    """
-    by, probs = list(by), [float(p) for p in probs]
-    if fits_buffers(df, by, task_rows):
-        aggs = [exact_percentiles(c, probs).alias(f"q{i}") for i, c in enumerate(cols)]
-        wide = df.groupBy(*by).agg(*aggs)
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("q")) for i, c in enumerate(cols)])
-        return (wide.select(*by, F.explode(cells).alias("c"))
-                .select(*by, "c.feature", F.posexplode("c.q").alias("_i", "value"))
-                .select(*by, "feature", F.get(double_array(probs), F.col("_i")).alias("p"), "value"))
-    return _bracketed(df, cols, probs, by)
 
+def _bucketed(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return long_values(df, cols, by).withColumns({"path": F.lit(""), "base": F.lit(0).cast("long"), "bucket": _coarse(F.col("value"))})
 
-def _bracketed(df: DataFrame, cols, probs, by) -> DataFrame:
-    keys = [*by, "feature"]
-    long = long_values(df, cols, by).where(F.col("value").isNotNull())
-    eps = 5.0 / SKETCH_ACCURACY
-    ends = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
-    sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
-        F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("s"))
-    k = len(probs)
-    few = F.col("n") * eps < 4  # so few rows that a bracket of this width may miss the next rank: take them all
-    cells = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.when(few, F.col("mn")).otherwise(F.col("s")[i]).alias("lo"),
-                 F.when(few, F.col("mx")).otherwise(F.col("s")[k + i]).alias("hi"))
-        for i, p in enumerate(probs)])
-    brackets = sketch.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "n", F.explode(cells).alias("c"))
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    # values below the bracket only count, so they collapse to one null slot map-side
-    slots = (
-        long.join(brackets, on)
-        .where(F.col("value") <= F.col("c.hi"))
-        .select(*keys, "n", F.col("c.p").alias("p"),
-                F.when(F.col("value") >= F.col("c.lo"), F.col("value")).alias("v"))
-        .groupBy(*keys, "n", "p", "v").agg(F.count("*").alias("m")))
-    w = W.partitionBy(*keys, "p").orderBy(F.col("v").asc_nulls_first())
-    pos = F.col("p") * (F.col("n") - 1)
-    lower, upper = F.floor(pos), F.ceil(pos)
-    cum = slots.withColumn("cum", F.sum("m").over(w))
-
-    def at(rank):
-        return F.max(F.when((F.col("cum") - F.col("m") <= rank) & (rank < F.col("cum")), F.col("v")))
-
-    out = cum.groupBy(*keys, "n", "p").agg(at(lower).alias("a"), at(upper).alias("b"))
-    return out.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * (pos - lower)).alias("value"))
-
-
-MANY_PROBS = 50  # ``percentile`` copies its counts once per probability
-
-
-def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                  task_rows: int = TASK_ROWS) -> dict[str, dict[float, float]]:
-    """Fitted quantiles on the driver: one number per column and probability."""
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    if len(probs) > MANY_PROBS and fits_buffers(df, task_rows=task_rows):
-        return _ranked_quantiles(df, cols, probs)
-    for r in quantiles(df, cols, probs, task_rows=task_rows).collect():
-        out[r["feature"]][r["p"]] = r["value"]
-    return out
+
+def _histogram(rows: DataFrame, place: Sequence[str]) -> DataFrame:
+    return rows.where(F.col("bucket").isNotNull()).groupBy(*place, "bucket").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def _refined(rows: DataFrame, keys: Sequence[str], cells: DataFrame, n: int) -> DataFrame:
+    """The rows of the given ``n`` buckets, in finer buckets."""
+    parts = max(min(FINE, 16), min(FINE, ROUND // n))
+    cells = cells.select(*[F.col(c).alias(f"_c{j}") for j, c in enumerate([*keys, "path", "bucket"])], "lo", "hi", "first")
+    on = [F.col(c).eqNullSafe(F.col(f"_c{j}")) for j, c in enumerate([*keys, "path"])] + [F.col("bucket") == F.col(f"_c{len(keys) + 1}")]
+    return rows.join(F.broadcast(cells) if n <= FEW_CELLS else cells, on).select(
+        *keys, "value", F.concat_ws("/", "path", "bucket").alias("path"), F.col("first").alias("base"), _fine(F.col("value"), F.col("lo"), F.col("hi"), parts).alias("bucket"))
 
 
-def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
-    """Many quantiles of a table counted to be small: number the sorted values, keep the wanted ranks."""
-    n = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    at = {c: [p * (n[i] - 1) for p in probs] for i, c in enumerate(cols) if n[i]}
-    if not at:
-        return {c: {} for c in cols}
-    ranks = {c: sorted({r for x in pos for r in (math.floor(x), math.ceil(x))}) for c, pos in at.items()}
-    wanted = " OR ".join(f"(_f = {list(at).index(c)} AND _r IN ({', '.join(map(str, r))}))" for c, r in ranks.items())
-    names = {f"v{i}": c for i, c in enumerate(at)}
-    long = df.select([F.col(f"`{c}`").cast("double").alias(v) for v, c in names.items()]).unpivot([], list(names), "_v", "value")
-    numbered = long.where("value IS NOT NULL").selectExpr(
-        "CAST(substr(_v, 2) AS INT) AS _f", "value", "row_number() OVER (PARTITION BY _v ORDER BY value) - 1 AS _r").where(wanted)
-    got = {(r["_f"], r["_r"]): r["value"] for r in numbered.collect()}
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    for i, (c, pos) in enumerate(at.items()):
-        for p, x in zip(probs, pos):
-            lo, hi = got[i, math.floor(x)], got[i, math.ceil(x)]
-            out[c][p] = lo + (hi - lo) * (x - math.floor(x))
+def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
+    """Quantiles of whole columns on the driver, as ``quantiles`` finds them; None for a column without values.
+
+    The driver sees the counts of buckets: a bounded number per column, then per wanted rank.
+    """
+    probs = [float(p) for p in probs]
+    rows, wanted, parts, found = _bucketed(df, cols, []), None, {}, {}
+    while True:
+        table = _histogram(rows, ["feature", "path", "base"]).toPandas().sort_values(["feature", "path", "bucket"])
+        deeper, cells = defaultdict(list), {}
+        for (feature, path), g in table.groupby(["feature", "path"], sort=False):
+            n, lo, hi, bucket = (g[c].to_numpy() for c in ("n", "lo", "hi", "bucket"))
+            first = int(g["base"].iloc[0]) + np.cumsum(n) - n
+            if wanted is None:
+                pos = [p * (int(n.sum()) - 1) for p in probs]
+                parts[feature] = [x - math.floor(x) for x in pos]
+                asked = [(f(x), i, side) for i, x in enumerate(pos) for side, f in enumerate((math.floor, math.ceil))]
+            else:
+                asked = wanted[feature, path]
+            at = np.searchsorted(first, [a[0] for a in asked], "right") - 1
+            for j, (rank, i, side) in zip(at.tolist(), asked):
+                if not lo[j] < hi[j] or rank == first[j]:
+                    found[feature, i, side] = float(lo[j])
+                elif rank == first[j] + n[j] - 1:
+                    found[feature, i, side] = float(hi[j])
+                else:
+                    deeper[feature, f"{path}/{bucket[j]}"].append((rank, i, side))
+                    cells[feature, path, bucket[j]] = (feature, path, int(bucket[j]), float(lo[j]), float(hi[j]), int(first[j]))
+        if not deeper:
+            break
+        wanted = deeper
+        schema = "feature string, path string, bucket long, lo double, hi double, first long"
+        rows = _refined(rows, ["feature"], df.sparkSession.createDataFrame(list(cells.values()), schema), len(cells))
+    out: dict[str, dict[float, float]] = {c: dict.fromkeys(probs) for c in cols}
+    for c in parts:
+        for i, (p, part) in enumerate(zip(probs, parts[c])):
+            a, b = found[c, i, 0], found[c, i, 1]
+            out[c][p] = a if part == 0 or a == b else a * (1 - part) + b * part
     return out
 
 
+def _ranks_in_buckets(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], wanted: DataFrame | None) -> DataFrame:
+    """For each wanted rank the bucket that holds it: its number, smallest and largest value, first rank and size."""
+    place = [*keys, "path", "base"]
+    hist = _histogram(rows, place)
+    before = W.partitionBy(*place).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    cells = hist.withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    if wanted is None:
+        totals = hist.groupBy(*place).agg(F.sum("n").alias("total"))
+        pos = F.col("p") * (F.col("total") - 1)
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.floor(pos).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(pos).alias("rank")))
+        wanted = totals.select(*place, "total", F.posexplode(double_array(probs)).alias("i", "p")).select(
+            *place, "i", (pos - F.floor(pos)).alias("part"), F.explode(sides).alias("s")).select(*place, "i", "part", "s.side", "s.rank")
+    bucket = F.struct("bucket", "n", "lo", "hi", "first")
+    events = cells.select(*place, F.col("first").alias("at"), bucket.alias("b"), *[F.lit(None).cast(t).alias(c) for c, t in (("i", "int"), ("part", "double"), ("side", "int"))]
+                          ).unionByName(wanted.select(*place, F.col("rank").alias("at"), F.lit(None).cast("struct<bucket:bigint,n:bigint,lo:double,hi:double,first:bigint>").alias("b"),
+                                                      "i", "part", "side"))
+    upto = W.partitionBy(*place).orderBy("at", F.col("i").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return events.withColumn("b", F.last("b", ignorenulls=True).over(upto)).where(F.col("i").isNotNull()).select(
+        *place, "i", "part", "side", F.col("at").alias("rank"), "b.*")
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles as rows (by..., feature, p, value), by histogram refinement.
+
+    A first aggregate counts the values per bucket of an order-preserving scale. A rank whose bucket holds
+    one value, or that is the first or last of its bucket, is answered there. Only the buckets of the other ranks are
+    counted again in ``FINE`` parts, until all are answered. Every round is one aggregate with a bounded number of
+    buckets per wanted rank, whatever the size of the table; nothing is sorted, sampled or estimated.
+    A group without values has null quantiles; NaN counts as the largest value.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    if not by:
+        got = quantile_dict(df, cols, probs)
+        return df.sparkSession.createDataFrame([(c, p, v) for c, q in got.items() for p, v in q.items()], "feature string, p double, value double")
+    keys = [*by, "feature"]
+    rows, answers, wanted = _bucketed(df, cols, by), None, None
+    while True:
+        value = F.when((F.col("lo") == F.col("hi")) | (F.col("rank") == F.col("first")), F.col("lo")).when(F.col("rank") == F.col("first") + F.col("n") - 1, F.col("hi"))
+        got = materialize(_ranks_in_buckets(rows, keys, probs, wanted).withColumn("value", value), "ranks")
+        known = got.where(F.col("value").isNotNull()).select(*keys, "i", "part", "side", "value")
+        answers = known if answers is None else answers.unionByName(known)
+        still = got.where(F.col("value").isNull())
+        cells = still.select(*keys, "path", "bucket", "lo", "hi", "first").distinct()
+        n = cells.limit(FEW_CELLS + 1).count()
+        if not n:
+            break
+        wanted = still.select(*keys, F.concat_ws("/", "path", "bucket").alias("path"), F.col("first").alias("base"), "i", "part", "side", "rank")
+        rows = _refined(rows, keys, cells, n)
+
+    def side(s: int) -> Column:
+        return F.max(F.when(F.col("side") == s, F.col("value")))
+
+    out = answers.groupBy(*keys, "i").agg(side(0).alias("a"), side(1).alias("b"), F.max("part").alias("part"))
+    between = F.when((F.col("part") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
+    out = out.select(*keys, F.get(double_array(probs), F.col("i")).alias("p"), between.alias("value"))
+    every = df.select(*by).distinct().select(
+        *by, F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature")).select(*keys, F.explode(double_array(probs)).alias("p"))
+    found = out.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "p"])], "value")
+    return every.join(found, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "p"])], "left").select(*keys, "p", "value")
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent value per column, smallest on ties, as (feature, value string, n).
 

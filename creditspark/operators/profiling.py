@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditspark.functions.ordering import average_ranks, exact_percentiles, fits_buffers, modes, quantiles
+from creditspark.functions.ordering import average_ranks, modes, quantiles
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -53,9 +53,6 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column; quartiles are exact."""
     cols = list(cols or numeric_columns(df))
     stats = {"count": F.count, "mean": _d(F.avg), "std": _d(F.stddev_samp), "min": _d(F.min), "max": _d(F.max)}
-    if fits_buffers(df):
-        # equal aggregate expressions are computed once, so a column has one percentile buffer
-        return per_column(df, cols, stats | {n: lambda c, i=i: exact_percentiles(c, list(QUARTILES.values()))[i] for i, n in enumerate(QUARTILES)})
     wide = quantiles(df, cols, list(QUARTILES.values())).groupBy("feature").agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()])
     return per_column(df, cols, stats).join(wide, "feature", "left")
@@ -283,12 +280,9 @@ def box_stats(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataFrame:
     ends = [F.min(column).alias("min"), F.max(column).alias("max"), F.count(column).alias("n")]
     parts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     iqr = F.col("q3") - F.col("q1")
-    if fits_buffers(df, [by]):
-        five = df.groupBy(by).agg(*ends, *[exact_percentiles(column, list(parts.values()))[i].alias(n) for i, n in enumerate(parts)])
-    else:
-        q = quantiles(df, [column], list(parts.values()), [by]).groupBy(by).agg(*[
-            F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in parts.items()])
-        five = df.groupBy(by).agg(*ends).join(q, by)
+    q = quantiles(df, [column], list(parts.values()), [by]).groupBy(F.col(by).alias("_g")).agg(*[
+        F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in parts.items()])
+    five = df.groupBy(by).agg(*ends).join(q, F.col(by).eqNullSafe(F.col("_g"))).drop("_g")
     return five.withColumns({"lower_fence": F.col("q1") - k * iqr, "upper_fence": F.col("q3") + k * iqr})
 
 

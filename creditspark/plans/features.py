@@ -126,9 +126,33 @@ for _m in _SCALE:
     _scale(_m)
 
 
-@query("e11_scale_quantile")
+def _acklam(p: str) -> str:
+    """SQL of the inverse normal distribution, with the coefficients of the operator."""
+
+    def poly(c, x):
+        return "(" + "(" * (len(c) - 1) + repr(c[0]) + "".join(f") * {x} + {v!r}" for v in c[1:]) + ")"
+
+    tail, q = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    outer = f"{poly(X._C, tail)} / {poly([*X._D, 1.0], tail)}"
+    inner = f"{poly(X._A, f'({q} * {q})')} * {q} / {poly([*X._B, 1.0], f'({q} * {q})')}"
+    return f"CASE WHEN least({p}, 1 - {p}) < 0.02425 THEN (CASE WHEN {p} < 0.5 THEN 1 ELSE -1 END) * ({outer}) ELSE {inner} END"
+
+
+def _quantile_scaled(c: str) -> str:
+    """Middle of the probabilities whose quantiles equal the value, else the line between the quantiles around it."""
+    edges = (f"s_{c} AS (SELECT list({c}::DOUBLE ORDER BY {c}) AS s, count({c}) AS n, least(1000, count(*)) AS k FROM loans WHERE {c} IS NOT NULL), "
+             f"r_{c} AS (SELECT s, i / (k - 1)::DOUBLE AS g, i / (k - 1)::DOUBLE * (n - 1) AS pos FROM s_{c}, range(0, 1000) t(i) WHERE i < k), "
+             f"q_{c} AS (SELECT g, CASE WHEN a = b THEN a ELSE a * (1 - f) + b * f END AS q FROM (SELECT g, s[floor(pos)::INT + 1] AS a, s[ceil(pos)::INT + 1] AS b, pos - floor(pos) AS f FROM r_{c}) i)")
+    below = f"d_{c} AS (SELECT q, max(g) AS g_hi, min(g) AS g_lo, lead(q) OVER (ORDER BY q) AS q_next, lead(min(g)) OVER (ORDER BY q) AS g_next FROM q_{c} GROUP BY q)"
+    p = f"p_{c} AS (SELECT l.loan_id, least(greatest(CASE WHEN l.{c} = d.q OR d.q_next IS NULL THEN (g_lo + g_hi) / 2 ELSE g_hi + (l.{c} - d.q) / (d.q_next - d.q) * (g_next - g_hi) END, 1e-7), 1 - 1e-7) AS p FROM loans l ASOF LEFT JOIN d_{c} d ON l.{c}::DOUBLE >= d.q)"
+    return f"{edges}, {below}, {p}"
+
+
+@query("e11_scale_quantile", f"WITH {LOANS}, {', '.join(map(_quantile_scaled, _SC))} SELECT loan_id, "
+       + ", ".join(f"round({_acklam(f'p_{c}.p')}, 6) AS {c}" for c in _SC) + " FROM " + " JOIN ".join(f"p_{c}" + (" USING (loan_id)" if i else "") for i, c in enumerate(_SC)))
 def e11q(spark, sf):
-    return X.scale(loans(spark, sf).select("loan_id", *_SC), "quantile", cols=_SC)
+    out = X.scale(loans(spark, sf).select("loan_id", *_SC), "quantile", cols=_SC)
+    return out.select("loan_id", *[F.round(c, 6).alias(c) for c in _SC])
 
 
 @query("e12_encode_onehot", f"""WITH {GAPS} SELECT customer_id, CASE WHEN coalesce(loan_purpose, 'missing') = 'home' THEN 1.0 ELSE 0.0 END::DOUBLE AS loan_purpose_home,

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from creditspark.functions import ordering
 from creditspark.functions.neighbors import nearest
 from creditspark.functions.ordering import average_ranks, hash_rank, modes, quantile_dict, quantiles, running_totals
 from creditspark.operators.evaluation import roc_auc
@@ -20,25 +21,40 @@ def skewed(spark, n=4000):
     return pd.DataFrame({"id": np.arange(n), "g": g, "v": v, "y": (rng.random(n) < 0.3).astype(int), "u": np.round(rng.random(n), 2)})
 
 
-def test_bracketed_quantiles_equal_numpy(spark):
-    pdf = skewed(spark)
+@pytest.mark.parametrize("octave,fine", [(4096, 4096), (1, 2)])
+def test_quantiles_equal_numpy(spark, monkeypatch, octave, fine):
+    """Also when coarse buckets need many rounds."""
+    monkeypatch.setattr(ordering, "OCTAVE", octave)
+    monkeypatch.setattr(ordering, "FINE", fine)
+    pdf = skewed(spark, 1200)
+    pdf["w"] = (pdf["v"] - 9) * 1e-7
     df = spark.createDataFrame(pdf)
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    for rows in (10, 10_000_000):
-        got = {(r["g"], r["p"]): r["value"] for r in quantiles(df, ["v"], probs, ["g"], task_rows=rows).collect()}
+    probs = [0.0, 0.1, 0.25, 0.31, 0.5, 0.75, 0.99, 1.0]
+    grouped = {(r["g"], r["feature"], r["p"]): r["value"] for r in quantiles(df, ["v", "w"], probs, ["g"]).collect()}
+    whole = quantile_dict(df, ["v", "w"], probs)
+    assert len(grouped) == 4 * 2 * len(probs)
+    for c in ("v", "w"):
+        assert [whole[c][p] for p in probs] == pytest.approx(np.quantile(pdf[c], probs).tolist(), rel=1e-12, abs=1e-15)
         for g, part in pdf.groupby("g"):
-            for p in probs:
-                assert got[(g, p)] == pytest.approx(np.quantile(part["v"], p), abs=1e-9)
+            assert [grouped[g, c, p] for p in probs] == pytest.approx(np.quantile(part[c], probs).tolist(), rel=1e-12, abs=1e-15)
 
 
-def test_narrow_brackets_hold_the_rank(spark, monkeypatch):
-    import creditspark.functions.ordering as o
+def test_quantiles_of_extreme_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -1.7e308, -1e-300, -0.0, 5e-324, 1e-300, 1.0, 1.0 + 2 ** -52, 1.7e308, 1.75e308, inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = quantile_dict(df, ["v"], [i / 10 for i in range(11)])["v"]
+    assert [got[i / 10] for i in range(11)] == values
+    last = quantile_dict(spark.createDataFrame([(1.0,), (nan,), (2.0,)], "v double"), ["v"], [0.0, 0.5, 1.0])["v"]
+    assert (last[0.0], last[0.5]) == (1.0, 2.0) and np.isnan(last[1.0])
 
-    monkeypatch.setattr(o, "SKETCH_ACCURACY", 100)  # 5 % brackets, so 4000 rows are narrowed for real
-    pdf = skewed(spark)
-    got = {r["p"]: r["value"] for r in quantiles(spark.createDataFrame(pdf), ["v"], [0.0, 0.05, 0.31, 0.5, 0.99, 1.0], task_rows=1).collect()}
-    for p, v in got.items():
-        assert v == pytest.approx(np.quantile(pdf["v"], p), abs=1e-9)
+
+def test_quantiles_of_groups_without_values(spark):
+    df = spark.createDataFrame([(None, 1.0), ("a", None), (None, 3.0), ("b", 2.0), ("b", None)], "g string, v double")
+    assert {(r.g, r.value) for r in quantiles(df, ["v"], [0.5], ["g"]).collect()} == {(None, 2.0), ("a", None), ("b", 2.0)}
+    assert quantile_dict(df.where("g = 'a'"), ["v"], [0.5]) == {"v": {0.5: None}}
+    assert quantile_dict(df.where("false"), ["v"], [0.5]) == {"v": {0.5: None}}
+    assert quantiles(df.where("false"), ["v"], [0.5], ["g"]).collect() == []
 
 
 def test_many_quantiles_equal_numpy(spark):
@@ -51,12 +67,6 @@ def test_many_quantiles_equal_numpy(spark):
         assert [got[c][p] for p in probs] == pytest.approx(np.nanquantile(pdf[c], probs).tolist())
 
 
-def test_bracketed_quantiles_skip_nulls(spark):
-    df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
-    got = quantiles(df, ["v"], [0.5], task_rows=1).collect()
-    assert [r["value"] for r in got] == [3.0]
-
-
 @pytest.mark.parametrize("task_rows", [50, 10_000_000])
 def test_running_totals(spark, task_rows):
     pdf = skewed(spark)
