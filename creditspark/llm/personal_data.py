@@ -38,10 +38,10 @@ DIGITS = re.compile(r"[0-9]+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"[ :=#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[ :=#]{0,4}([A-Z]{2}[0-9]{2}(?> ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|id))?[ :=#]{1,4}([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])", re.I)
-SECRET = re.compile(r"[ ]?[:=][ ]?([\"']?)([A-Za-z0-9_/+.-]{16,200})(?![A-Za-z0-9_/+.-])")
-USER = re.compile(r"([A-Za-z0-9._~%!$&*+,;=-]{1,64}(?::[^\s@/]{0,64})?)@(?=[A-Za-z0-9])")
+SECRET = re.compile(r"[ ]?[:=][ ]?([\"']?)([A-Za-z0-9_/+.-]{16,}+)")
+USER = re.compile(r"([A-Za-z0-9._~%!$&*+,;=-]++(?::[^\s@/]*+)?)@(?=[A-Za-z0-9])")
 #: Cues in lower case and their kind; a cue must not continue a word.
 CUES = {"iban": "iban", "account": "account", "acct": "account", "passport": "account", "konto": "account", "compte": "account",
         "cuenta": "account", "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret", "apikey": "secret", "://": "user"}

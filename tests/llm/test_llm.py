@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -325,3 +326,13 @@ def test_pipeline_stages(spark, sf):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_personal_data_of_any_length():
+    token = "aB3" * 1700
+    text = f"token={token} and https://{'u' * 90}:{'p' * 90}@example.org"
+    assert [(k, e - s) for k, s, e in personal_data.find_spans(text) if k in ("secret", "user")] == [("secret", 5100), ("user", 181)]
+    assert [k for k, _, _ in personal_data.find_spans("IBAN: DE89 3704 0044 0532 0130 00, iban DE89370400440532013000")] == ["iban", "iban"]
+    started = time.perf_counter()
+    personal_data.find_spans("iban DE89" + "A1" * 50_000 + " iban DE89" + " A" * 50_000)
+    assert time.perf_counter() - started < 2
