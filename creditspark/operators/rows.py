@@ -79,6 +79,13 @@ def best_by(df: DataFrame, name: str, metric: str, largest: bool = True, by: Seq
         *by, F.col("b.n").alias(name), (-F.col("b.m") if largest else F.col("b.m")).alias(metric))
 
 
+def best_by_mean(df: DataFrame, name: str, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Name with the highest mean of all metrics, each row's nulls left out of its mean; ties go to the smallest name."""
+    values = F.filter(F.array(*[F.col(m).cast("double") for m in metrics]), lambda v: v.isNotNull())
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
+    return best_by(df.withColumn("mean_metric", mean), name, "mean_metric", by=by)
+
+
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same ones for any partitioning."""
     return df.orderBy(hash_order(keys, seed), *keys).limit(n)

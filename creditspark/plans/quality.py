@@ -294,6 +294,13 @@ def k05(spark, sf):
     return rounded(R.best_by(m, "product_type", "pd", largest=False, by=["region"]), 8)
 
 
+@query("k05_best_by_mean_metric", rounded_sql(f"WITH {LOANS}, m AS (SELECT region, product_type, avg(1 - default_probability) AS safe, avg(credit_score) / 850 AS score FROM loans GROUP BY 1, 2), r AS (SELECT region, product_type, (safe + score) / 2 AS mean_metric, row_number() OVER (PARTITION BY region ORDER BY (safe + score) / 2 DESC, product_type) k FROM m) SELECT region, product_type, mean_metric FROM r WHERE k = 1",
+                                              "region product_type", "mean_metric", 8))
+def k05_mean(spark, sf):
+    m = loans(spark, sf).groupBy("region", "product_type").agg(F.avg(1 - F.col("default_probability")).alias("safe"), (F.avg("credit_score") / 850).alias("score"))
+    return rounded(R.best_by_mean(m, "product_type", ["safe", "score"], by=["region"]), 8)
+
+
 @query("k06_sample_rows")
 def k06(spark, sf):
     return R.sample_rows(loans(spark, sf), ["loan_id"], 100).select("loan_id", "loan_amount")

@@ -263,3 +263,8 @@ def test_scorer_needs_all_model_columns(spark):
 
     with pytest.raises(ValueError, match="needs the columns b"):
         scorer(None, ["a", "b"])(spark.createDataFrame([(1.0,)], "a double"))
+
+
+def test_best_by_mean_of_all_metrics(spark):
+    df = spark.createDataFrame([("a", 0.9, 0.1), ("b", 0.6, 0.6), ("c", None, 0.6), ("d", None, None)], "name string, auc double, f1 double")
+    assert [tuple(r) for r in rows.best_by_mean(df, "name", ["auc", "f1"]).collect()] == [("b", 0.6)]
