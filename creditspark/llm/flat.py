@@ -100,7 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, starts, ends = text_bytes(batch.column(batch.schema.get_field_index(column)))
+        _, starts, ends = text_bytes(batch.column(place(batch, column)))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
@@ -108,8 +108,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             i = j
 
 
+def place(batch: pa.RecordBatch, name: str) -> int:
+    """Place of a column; names that differ only in case match if they are unique, as in Spark."""
+    at = batch.schema.get_field_index(name)
+    if at < 0:
+        same = [i for i, n in enumerate(batch.schema.names) if n.lower() == name.lower()]
+        if len(same) != 1:
+            raise ValueError(f"{len(same)} columns are named {name!r} among {batch.schema.names}")
+        at = same[0]
+    return at
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+    return batch.column(place(batch, name))
 
 
 def pylist(batch: pa.RecordBatch, name: str) -> list:

@@ -20,7 +20,8 @@ The size-aware heavy-light method, in steps:
 Defined results: words are split at ASCII white space and A-Z are lowered; a text with fewer than
 ``width`` words has its whole word sequence as single shingle; null and empty texts have no
 shingle, are linked with nothing and are their own component; a null id has a null
-component; rows with the same id are one node (linked if any of them is); an empty table
+component; rows with the same id are linked with each other, and each text of such an
+id keeps its own links; ids are cast to long; an empty table
 gives an empty result; other columns are ignored. Shingles are 64-bit hashes.
 The scan order of a partition must be repeatable, as it is for stored tables.
 """
@@ -48,6 +49,7 @@ WIDTH = 5
 SLICE = 4 << 20  # bytes of text per packed block
 TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list in the first, doubled in each
 TRIES = 4  # proposals of a document that are compared in a round
+NODES = 1 << 62  # texts of an id that has several are nodes from here on
 LIGHT_MAX = 24  # no larger set is considered for enumeration
 SPACES = flat.byte_mask(flat.SPACES)
 SET_SCHEMA = "doc_id long, n long, f1 long, f2 long, tokens binary, counts binary"
@@ -338,6 +340,17 @@ def _proposals(light: int, turn: int):
     return run
 
 
+def _with_partners(n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Members of a list, ordered by size, whose own shingles leave room for a link with some size of the list."""
+    sizes, first, place = np.unique(n, return_index=True, return_inverse=True)
+    fewest = np.minimum.reduceat(own, first)  # own shingles of the likest member of each size
+    most = np.full(len(sizes), -1)
+    for i, m in enumerate(sizes.tolist()):
+        j = slice(*np.searchsorted(sizes, [least_partner(m), 4 * m // 3 + 1]))
+        most[i] = (most_differences(m, sizes[j]) - fewest[j]).max()
+    return own <= most[place]
+
+
 def _remaining(light: int):
     """All pairs of a list in different components that pass the size, position and parity filters."""
 
@@ -350,11 +363,12 @@ def _remaining(light: int):
         for s, size in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
             part = r[s:s + size]
             doc, comp, n, pos = (part[c].astype(np.int64) for c in ("doc", "comp", "n", "pos"))
+            able = _with_partners(n, part["own"].astype(np.int64))
             values, members = np.unique(comp, return_counts=True)
             most_common = values[members.argmax()]
-            for i in np.flatnonzero(comp != most_common).tolist():  # one side of every pair is outside the largest component
+            for i in np.flatnonzero((comp != most_common) & able).tolist():  # one side of every pair is outside the largest component
                 j = np.arange(*np.searchsorted(n, [least_partner(n[i]), 4 * n[i] // 3 + 1]))
-                j = j[(comp[j] != comp[i]) & ((comp[j] == most_common) | (j > i)) & (np.maximum(n[j], n[i]) > light)]
+                j = j[able[j] & (comp[j] != comp[i]) & ((comp[j] == most_common) | (j > i)) & (np.maximum(n[j], n[i]) > light)]
                 overlap, need = least_overlap(n[i], n[j]), needed_meetings(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
                 late = need - 1 - overlap  # linked sets meet that often before these places
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
@@ -452,12 +466,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _one_text_per_node(stored: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a node as ``doc_id`` that has one text, and edges from ids with several texts to their nodes, if any."""
+    texts = F.struct("n", "f1", "f2")
+    several = materialize(stored.where("n > 0").groupBy("doc_id").agg(F.min(texts).alias("a"), F.max(texts).alias("b")).where("a <> b").select("doc_id"), "several")
+    if several.isEmpty():
+        return stored, None
+    node = F.xxhash64("n", "f1", "f2").bitwiseAND(F.lit(NODES - 1)) + F.lit(NODES)
+    marked = materialize(stored.join(several.withColumn("many", F.lit(True)), "doc_id", "left")
+                         .withColumn("node", F.when(F.col("many"), node).otherwise(F.col("doc_id"))), "nodes")
+    names = marked.where("many AND n > 0").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    return marked.drop("doc_id", "many").withColumnRenamed("node", "doc_id"), names
+
+
+def _named(components: DataFrame, names: DataFrame) -> DataFrame:
+    """Components of ids alone, each named by its smallest id."""
+    ids = components.join(names.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    return ids.join(ids.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
+
+
 def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    stored = materialize(repeated_shingles(docs.where("doc_id IS NOT NULL"), width), "shingles")
+    sent = F.col("tokens").isNotNull()
+    read = materialize(repeated_shingles(docs.where("doc_id IS NOT NULL"), width).withColumn("sent", sent), "shingles")
+    stored, names = _one_text_per_node(read)
     buckets = bucket_count(df)
-    classes = stored.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+    speaker = F.coalesce(F.min(F.when(F.col("sent"), F.col("doc_id"))), F.min("doc_id"))  # of a possible link only some rows carry the set
+    classes = stored.where("n > 0").groupBy("n", "f1", "f2").agg(speaker.alias("rep"), F.count("*").alias("members"))
     members = materialize(stored.select("doc_id", "n", "f1", "f2").join(classes.where("members > 1"), ["n", "f1", "f2"]).select("doc_id", "rep"), "members")
     possible = stored.where("tokens IS NOT NULL").select("doc_id", "n", "tokens", "counts")
     others = members.where("doc_id <> rep").select("doc_id").distinct()
@@ -482,8 +518,8 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
             .groupBy("a", "b").agg(F.sum("meetings").alias("meetings"), F.max("need").alias("need")).where("meetings >= need"))
     more = materialize(verified(rest, marked), "more")
     edges = links.unionByName(more).unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    final = connected_components(edges)
-    sizes = stored.select("doc_id", F.col("n").alias("n_shingles"))
+    final = connected_components(edges) if names is None else _named(connected_components(edges.unionByName(names)), names)
+    sizes = read.select("doc_id", F.col("n").alias("n_shingles"))
     found = sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return found.unionByName(_without_id(docs.where("doc_id IS NULL"), width))
