@@ -49,6 +49,7 @@ WIDTH = 5
 SLICE = 4 << 20  # bytes of text per packed block
 TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list in the first, doubled in each
 TRIES = 4  # proposals of a document that are compared in a round
+SHORT_LIST = 64  # the pairs of a shorter list are filtered one by one, to the same result
 NODES = 1 << 62  # texts of an id that has several are nodes from here on
 LIGHT_MAX = 24  # no larger set is considered for enumeration
 SPACES = flat.byte_mask(flat.SPACES)
@@ -363,7 +364,7 @@ def _remaining(light: int):
         for s, size in zip(starts[mixed].tolist(), sizes[mixed].tolist()):
             part = r[s:s + size]
             doc, comp, n, pos = (part[c].astype(np.int64) for c in ("doc", "comp", "n", "pos"))
-            able = _with_partners(n, part["own"].astype(np.int64))
+            able = _with_partners(n, part["own"].astype(np.int64)) if size > SHORT_LIST else np.ones(size, bool)
             values, members = np.unique(comp, return_counts=True)
             most_common = values[members.argmax()]
             for i in np.flatnonzero((comp != most_common) & able).tolist():  # one side of every pair is outside the largest component
