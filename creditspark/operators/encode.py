@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from creditspark.functions.ordering import quantile_dict
 from creditspark.operators.profiling import numeric_columns
 from creditspark.sources.io import materialize
 
-MAX_CATEGORIES = 1000  # one-hot makes a column per category
+MAX_CATEGORIES = 1000  # of the form with a column per category; encode_onehot_sparse has no limit
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard") -> dict[str, tuple[float, float]]:
@@ -107,7 +108,7 @@ def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
     """Sorted distinct values of a low-cardinality column."""
     rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; use encode_label")
+        raise ValueError(f"{column} has more than {limit} categories; use encode_onehot_sparse")
     return sorted(r[0] for r in rows)
 
 
@@ -136,6 +137,53 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return ranged.withColumn("_number", number).join(before, "_part").select("value", (F.col("_number") + F.col("_before")).alias("code"))
 
 
+def onehot_levels(df: DataFrame, cols: Sequence[str], drop_first: bool = True) -> DataFrame:
+    """(name, level, position) of every category of every column, nulls as ``missing``; the first of a column has no position.
+
+    Any number of categories: they are numbered in ranges by ``label_codes`` and stay a table;
+    the driver sees one count per column.
+    """
+    tables, offset = [], 0
+    for c in cols:
+        codes = materialize(label_codes(df.select(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")).alias(c)), c), "levels")
+        code = F.col("code") - int(drop_first)
+        tables.append(codes.select(F.lit(c).alias("name"), F.col("value").alias("level"), F.when(code >= 0, code + offset).alias("position")))
+        offset += max(codes.count() - int(drop_first), 0)
+    return reduce(DataFrame.unionByName, tables)
+
+
+def encode_onehot_sparse(df: DataFrame, cols: Sequence[str], levels: DataFrame | None = None, name: str = "onehot", drop_first: bool = True) -> DataFrame:
+    """The columns as one array of the positions that are 1, ascending; first and unknown categories have none.
+
+    The same encoding as ``encode_onehot`` without a column per category, for columns of any number of categories.
+    """
+    levels = onehot_levels(df, cols, drop_first) if levels is None else levels
+    places = [f"_at{i}" for i in range(len(cols))]
+    for c, at in zip(cols, places):
+        own = levels.where((F.col("name") == c) & F.col("position").isNotNull()).select(F.col("level").alias("_level"), F.col("position").alias(at))
+        df = df.join(own, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")) == F.col("_level"), "left").drop("_level")
+    return df.withColumn(name, F.array_compact(F.array(*places))).drop(*cols, *places)
+
+
+def onehot_vector(df: DataFrame, cols: Sequence[str], levels: DataFrame, name: str = "onehot") -> DataFrame:
+    """The sparse ``pyspark.ml`` vector of the same positions, a stretch per column, for use in an estimator."""
+    parts = []
+    for i, c in enumerate(cols):
+        own = levels.where((F.col("name") == c) & F.col("position").isNotNull())
+        low, high = own.agg(F.min("position"), F.max("position")).first()
+        if low is None:
+            continue
+        at, part = f"_at{i}", f"_part{i}"
+        coded = own.select(F.col("level").alias("_level"), (F.col("position") - low).cast("double").alias(at))
+        df = df.join(coded, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing")) == F.col("_level"), "left").drop("_level")
+        df = df.withColumn(at, F.coalesce(at, F.lit(float(high - low + 1))))  # beyond the last category: all zero
+        df = OneHotEncoder(inputCol=at, outputCol=part, handleInvalid="keep", dropLast=True).fit(coded).transform(df).drop(at)
+        parts.append(part)
+    if not parts:
+        raise ValueError("no column has a second category")
+    return VectorAssembler(inputCols=parts, outputCol=name).transform(df).drop(*cols, *parts)
+
+
 def encode_label(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     codes = label_codes(df, column).select(F.col("value").alias("_label"), F.col("code").alias(name or f"{column}_code"))
     return df.join(codes, F.col(column) == F.col("_label"), "left").drop("_label")

@@ -161,6 +161,19 @@ def e12(spark, sf):
     return X.encode_onehot(applicants_with_gaps(spark, sf).select("customer_id", "loan_purpose"), ["loan_purpose"])
 
 
+@query("e12_onehot_sparse", f"""WITH {LOANS}, c AS (SELECT loan_id, CAST(customer_id AS VARCHAR) AS u, coalesce(CAST(product_type AS VARCHAR), 'missing') AS p FROM loans),
+ l AS (SELECT 'customer_id' AS name, u AS level, row_number() OVER (ORDER BY u) - 2 AS place FROM (SELECT DISTINCT u FROM c)
+  UNION ALL SELECT 'product_type', p, row_number() OVER (ORDER BY p) - 2 + (SELECT count(DISTINCT u) - 1 FROM c) FROM (SELECT DISTINCT p FROM c)),
+ k AS (SELECT name, level, place FROM l WHERE place >= CASE WHEN name = 'customer_id' THEN 0 ELSE (SELECT count(DISTINCT u) - 1 FROM c) END)
+SELECT loan_id, coalesce(CAST(a.place AS VARCHAR), '') || CASE WHEN a.place IS NOT NULL AND b.place IS NOT NULL THEN ',' ELSE '' END || coalesce(CAST(b.place AS VARCHAR), '') AS positions
+ FROM c LEFT JOIN k a ON a.name = 'customer_id' AND a.level = u LEFT JOIN k b ON b.name = 'product_type' AND b.level = p""")
+def e12_sparse(spark, sf):
+    """Customer and product as one sparse row; customers are far more than the columns of a table."""
+    df = loans(spark, sf).select("loan_id", F.col("customer_id").cast("string").alias("customer_id"), "product_type")
+    out = X.encode_onehot_sparse(df, ["customer_id", "product_type"])
+    return out.select("loan_id", F.array_join(F.col("onehot").cast("array<string>"), ",").alias("positions"))
+
+
 @query("e13_encode_label", f"WITH {LOANS} SELECT loan_id, CAST(dense_rank() OVER (ORDER BY product_type) - 1 AS INTEGER) AS product_type_code FROM loans")
 def e13(spark, sf):
     return X.encode_label(loans(spark, sf), "product_type").select("loan_id", F.col("product_type_code").cast("int"))

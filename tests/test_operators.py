@@ -120,6 +120,26 @@ def test_onehot_drops_first_and_ignores_unknown(spark):
     assert values(fitted, "s_b") == [0.0]
 
 
+def test_sparse_onehot_of_any_number_of_levels(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('v', id) END AS s", "concat('t', id % 3) AS t", "'one' AS o")
+    levels = encode.onehot_levels(df, ["s", "t", "o"]).cache()
+    names = sorted({"missing", *(f"v{i}" for i in range(3000) if i % 7)})
+    place = {v: i - 1 for i, v in enumerate(names)}
+
+    def wanted(i):
+        one = place["missing" if i % 7 == 0 else f"v{i}"]
+        return [p for p in (one, len(names) - 1 + i % 3 - 1 if i % 3 else -1) if p >= 0]
+
+    assert {r.id: r.onehot for r in encode.encode_onehot_sparse(df, ["s", "t", "o"], levels).collect()} == {i: wanted(i) for i in range(3000)}
+    vectors = encode.onehot_vector(df, ["s", "t", "o"], levels).where("id < 50").collect()
+    assert all(v.onehot.size == len(names) + 1 and v.onehot.indices.tolist() == wanted(v.id) and set(v.onehot.values) <= {1.0} for v in vectors)
+    new = spark.createDataFrame([(1, "never seen", None, "one")], "id long, s string, t string, o string")
+    assert encode.encode_onehot_sparse(new, ["s", "t", "o"], levels).first().onehot == []
+    assert encode.onehot_vector(new, ["s", "t", "o"], levels).first().onehot.numNonzeros() == 0
+    none = df.limit(0)
+    assert encode.encode_onehot_sparse(none, ["s", "t"]).columns == ["id", "o", "onehot"] and encode.encode_onehot_sparse(none, ["s", "t"]).count() == 0
+
+
 def test_label_codes_of_many_values(spark):
     df = spark.createDataFrame([("c",), ("a",), ("b",), ("a",)], "s string")
     want = {"a": 0, "b": 1, "c": 2}
