@@ -9,7 +9,7 @@ from creditspark.operators import fairness as L
 from creditspark.plans.quality import union_sql
 from creditspark.plans.registry import query, rounded, rounded_sql
 from creditspark.plans.scoring import COMPOSITE, composite
-from creditspark.sources.fixtures import APPLICANTS, applicants, table
+from creditspark.sources.fixtures import APPLICANTS, GAPS, applicants, applicants_with_gaps, table
 
 # labels and scores: composite risk as the score, loan status as the label
 SC = COMPOSITE + """, s AS (SELECT loan_id, CASE WHEN status = 'default' THEN 1 ELSE 0 END AS label, round(composite_score, 6) AS score, default_probability AS other,
@@ -54,6 +54,19 @@ def v03(spark, sf):
     return rounded(V.class_report(labelled(spark, sf), "label", "prediction"), 8)
 
 
+@query("v03_weighted_by_part", rounded_sql(f"""WITH {SC}, g AS (SELECT loan_id % 5 AS part, label, prediction FROM s),
+k AS (SELECT DISTINCT part, label AS class FROM g UNION SELECT part, prediction FROM g),
+c AS (SELECT k.part, class, count(*) FILTER (WHERE label = class AND prediction = class)::DOUBLE AS tp, count(*) FILTER (WHERE prediction = class) AS predicted,
+ count(*) FILTER (WHERE label = class) AS support FROM k JOIN g ON g.part = k.part GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall,
+ CASE WHEN predicted + support > 0 THEN 2 * tp / (predicted + support) ELSE 0 END AS f1_score FROM c)
+SELECT part, sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall, sum(f1_score * support) / sum(support) AS f1_score,
+ CAST(sum(support) AS BIGINT) AS support FROM m GROUP BY 1""", "part support", "precision recall f1_score", 8))
+def v03w(spark, sf):
+    parts = labelled(spark, sf).withColumn("part", F.col("loan_id") % 5)
+    return rounded(V.weighted_metrics(parts, "label", "prediction", ["part"]), 8)
+
+
 @query("v04_roc_auc", rounded_sql(f"WITH {SC} SELECT sum(neg * (tp - pos / 2)) / (max(pp) * max(nn)) AS roc_auc FROM run", "", "roc_auc", 10))
 def v04(spark, sf):
     return rounded(V.roc_auc(labelled(spark, sf), "label", "score"), 10)
@@ -166,6 +179,13 @@ def _parity(c):
  min({c} / n) OVER w / max({c} / n) OVER w AS impact_ratio FROM gc WINDOW w AS (PARTITION BY attribute))"""
 
 
+@query("l01_missing_groups", f"""WITH {GAPS} SELECT 'loan_purpose' AS attribute, count(*) - count(loan_purpose) AS missing FROM gaps
+UNION ALL SELECT 'age', count(*) - count(age) FROM gaps""")
+def l01m(spark, sf):
+    """Rows that a fairness report by these attributes has to leave out."""
+    return L.missing_groups(applicants_with_gaps(spark, sf), ["loan_purpose", "age"])
+
+
 @query("l01_demographic_parity", rounded_sql(f"WITH {GC} {_parity('pos')}", "attribute group n passes_80_percent_rule", "rate overall_rate impact_ratio", 8))
 def l01(spark, sf):
     return rounded(L.demographic_parity(applicants(spark, sf), "loan_approved", ATTRS), 8)

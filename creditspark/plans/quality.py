@@ -226,6 +226,14 @@ def f08(spark, sf):
     return V.validate_batch(applicants_with_gaps(spark, sf))
 
 
+@query("f09_split_valid", f"""WITH {GAPS} SELECT customer_id, age, annual_income, age IS NOT NULL AND annual_income IS NOT NULL AS accepted,
+ (age IS NULL)::INTEGER + (annual_income IS NULL)::INTEGER AS n_errors FROM gaps""")
+def f09s(spark, sf):
+    good, bad = V.split_valid(applicants_with_gaps(spark, sf).select("customer_id", "age", "annual_income"), {"age": "int", "annual_income": "double"})
+    return good.withColumns({"accepted": F.lit(True), "n_errors": F.lit(0)}).unionByName(
+        bad.withColumns({"accepted": F.lit(False), "n_errors": F.size("errors")}).drop("errors"))
+
+
 @query("f09_validate_model_input", f"""WITH {GAPS} SELECT customer_id, concat_ws('; ', CASE WHEN age IS NULL THEN 'Feature ''age'' cannot be None' END,
  CASE WHEN annual_income IS NULL THEN 'Feature ''annual_income'' cannot be None' END, CASE WHEN loan_purpose IS NULL THEN 'Feature ''loan_purpose'' cannot be None' ELSE 'Feature ''loan_purpose'' type error' END) AS errors FROM gaps""")
 def f09(spark, sf):
@@ -434,6 +442,11 @@ def a31(spark, sf):
     return Q.duplicate_count(applicants_with_gaps(spark, sf))
 
 
+@query("a31_duplicate_groups", f"WITH {GAPS} SELECT customer_id, age, annual_income, loan_purpose, count(*) AS copies FROM gaps GROUP BY ALL HAVING count(*) > 1")
+def a31g(spark, sf):
+    return Q.duplicate_groups(applicants_with_gaps(spark, sf), ["customer_id", "age", "annual_income", "loan_purpose"])
+
+
 @query("a31_drop_duplicates", f"WITH {LOANS} SELECT customer_id, loan_id, loan_amount FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY origination_date, loan_id) AS rn FROM loans) WHERE rn = 1")
 def a31d(spark, sf):
     return Q.drop_duplicates(loans(spark, sf).select("customer_id", "loan_id", "loan_amount", "origination_date"), ["customer_id"],
