@@ -124,6 +124,38 @@ def x02(spark, sf):
     return X.sampled_shap(df, "ID", COLS, X.scorer(models["logistic_regression"], COLS), X.background(df, ["ID"], COLS), permutations=4)
 
 
+# fixed example tree: (id, feature, threshold, left, right, rows, value)
+TREE_COLS = ["PAY_0", "LIMIT_BAL", "AGE"]
+TREE = [X.Node(*n) for n in (
+    (0, 0, 0.5, 1, 2, 1000, 0.0), (1, 1, 100000.0, 3, 4, 700, 0.0), (2, 2, 40.0, 5, 6, 300, 0.0), (3, 0, -0.5, 7, 8, 300, 0.0),
+    (4, -1, 0.0, -1, -1, 400, 0.10), (5, -1, 0.0, -1, -1, 180, 0.60), (6, 1, 200000.0, 9, 10, 120, 0.0),
+    (7, -1, 0.0, -1, -1, 120, 0.15), (8, -1, 0.0, -1, -1, 180, 0.25), (9, -1, 0.0, -1, -1, 70, 0.75), (10, -1, 0.0, -1, -1, 50, 0.45))]
+# the same leaves by hand: bounds and share of the training rows per feature, value; game = expected value of every set of known features
+_GAME = PANEL + """, leaf(p0, p1, pz, l0, l1, lz, a0, a1, az, v) AS (VALUES
+ (-1e18, 0.5, 0.7, 1e5, 1e18, 4 / 7.0::DOUBLE, -1e18, 1e18, 1.0, 0.10), (-1e18, -0.5, 0.28, -1e18, 1e5, 3 / 7.0::DOUBLE, -1e18, 1e18, 1.0, 0.15),
+ (-0.5, 0.5, 0.42, -1e18, 1e5, 3 / 7.0::DOUBLE, -1e18, 1e18, 1.0, 0.25), (0.5, 1e18, 0.3, -1e18, 1e18, 1.0, -1e18, 40, 0.6, 0.60),
+ (0.5, 1e18, 0.3, -1e18, 2e5, 7 / 12.0::DOUBLE, 40, 1e18, 0.4, 0.75), (0.5, 1e18, 0.3, 2e5, 1e18, 5 / 12.0::DOUBLE, 40, 1e18, 0.4, 0.45)),
+game AS (SELECT "ID", m, sum(v::DOUBLE * CASE WHEN m & 1 > 0 THEN ("PAY_0" > p0 AND "PAY_0" <= p1)::INT ELSE pz END * CASE WHEN m & 2 > 0 THEN ("LIMIT_BAL" > l0 AND "LIMIT_BAL" <= l1)::INT ELSE lz END
+ * CASE WHEN m & 4 > 0 THEN ("AGE" > a0 AND "AGE" <= a1)::INT ELSE az END) AS g FROM panel, leaf, range(8) t(m) GROUP BY 1, 2),
+names(bit, feature) AS (VALUES (1, 'PAY_0'), (2, 'LIMIT_BAL'), (4, 'AGE')),
+shap AS (SELECT a."ID", feature, bit, sum((b.g - a.g) * CASE WHEN bit_count(a.m) = 1 THEN 1 ELSE 2 END / 6) AS contribution FROM game a JOIN names ON a.m & bit = 0 JOIN game b ON a."ID" = b."ID" AND b.m = a.m + bit GROUP BY 1, 2, 3),
+pairs AS (SELECT a."ID", x.feature AS feature1, y.feature AS feature2, sum(a.g - b.g - c.g + d.g) / 4 AS value FROM game a JOIN names x ON a.m & x.bit = 0 JOIN names y ON a.m & y.bit = 0 AND x.bit <> y.bit
+ JOIN game b ON a."ID" = b."ID" AND b.m = a.m + x.bit JOIN game c ON a."ID" = c."ID" AND c.m = a.m + y.bit JOIN game d ON a."ID" = d."ID" AND d.m = a.m + x.bit + y.bit GROUP BY 1, 2, 3)"""
+
+
+@query("x02_tree_shap", rounded_sql(f'WITH {_GAME} SELECT s."ID", feature, contribution, g AS base_value FROM shap s JOIN game ON s."ID" = game."ID" AND m = 0', "ID feature", "contribution base_value", 6))
+def x02t(spark, sf):
+    return rounded(X.tree_shap(credit_panel(spark, sf), "ID", TREE_COLS, [TREE]), 6)
+
+
+@query("x02_forest_shap")
+def x02f(spark, sf):
+    """Every row under a forest of the usual size; the contributions of a row add up to its probability."""
+    df = split(spark, sf)
+    model = M.train_model(df.where("split = 'train'"), COLS, "target", "random_forest")
+    return X.tree_shap(df, "ID", COLS, X.tree_nodes(spark, model))
+
+
 @query("x03_lime")
 def x03(spark, sf):
     df, models = _trained(spark, sf)
@@ -214,6 +246,26 @@ def x09(spark, sf):
     return X.interactions(df, "ID", COLS[:5], X.scorer(models["random_forest"], COLS))
 
 
+@query("x09_shap_interactions", rounded_sql(f"""WITH {_GAME} SELECT "ID", feature1, feature2, value FROM pairs
+UNION ALL SELECT s."ID", feature, feature, contribution - (SELECT sum(value) FROM pairs p WHERE p."ID" = s."ID" AND feature1 = s.feature) FROM shap s""", "ID feature1 feature2", "value", 6))
+def x09s(spark, sf):
+    return rounded(X.tree_interactions(credit_panel(spark, sf), "ID", TREE_COLS, [TREE]), 6)
+
+
+@query("x09_interaction_strength", rounded_sql(f"""WITH {_GAME} SELECT feature1, feature2, avg(abs(value)) AS interaction_strength FROM pairs
+WHERE (feature1, feature2) IN (('PAY_0', 'LIMIT_BAL'), ('PAY_0', 'AGE'), ('LIMIT_BAL', 'AGE')) GROUP BY 1, 2""", "feature1 feature2", "interaction_strength", 6))
+def x09t(spark, sf):
+    return rounded(X.interaction_strength(X.tree_interactions(credit_panel(spark, sf), "ID", TREE_COLS, [TREE]), TREE_COLS), 6)
+
+
+@query("x09_forest_interactions")
+def x09f(spark, sf):
+    """All pairs of the model's features, by a forest of the registered fast size."""
+    df, models = _trained(spark, sf, ("random_forest",))
+    values = X.tree_interactions(df, "ID", COLS, X.tree_nodes(spark, models["random_forest"]))
+    return X.interaction_strength(values, COLS, top=None)
+
+
 _NEAR = ["LIMIT_BAL", "AGE", "PAY_0"]
 
 
