@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.expr import risk_band, risk_color
 from creditspark.functions.ordering import hash_rank
+from creditspark.functions.search import propose
 from creditspark.operators import evaluation as V
 from creditspark.operators.columns import select_features
 from creditspark.operators.rows import best_by
@@ -152,26 +153,38 @@ def draw_params(family: str, trials: int, seed: int = 42) -> list[dict]:
 
 
 def tune(df: DataFrame, cols: Sequence[str], label: str, family: str, keys: Sequence[str], trials: int = 50, folds: int | None = None,
-         params: Sequence[Mapping] | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
-    """(trial table with mean AUC, best parameters) by a validation fifth or by k folds."""
-    space = list(params) if params is not None else draw_params(family, trials, seed)
-    if family == "logistic_regression":
-        n = df.count()
-        space = [{**p, "reg": 1.0 / (p["reg"] * n)} if params is None else dict(p) for p in space]
+         params: Sequence[Mapping] | None = None, seed: int = 42, sampler: str = "parzen") -> tuple[DataFrame, dict]:
+    """(trial table with mean AUC, best parameters) by a validation fifth or by k folds.
+
+    Trials come one by one from the density ratio of good and other trials (``parzen``), at
+    random (``random``), or from the list ``params``. The folded table is written once.
+    """
+    if sampler not in ("parzen", "random"):
+        raise ValueError(f"unknown sampler: {sampler}")
+    if params is None and sampler == "random":
+        drawn = draw_params(family, trials, seed)
+    space, n = SPACES.get(family, SPACES["gbt"]), df.count() if family == "logistic_regression" and params is None else 0
     k = folds or 5
-    data = add_folds(select_features(df, cols, [label, *keys]), keys, label, k, seed).persist()
-    try:
-        rows = []
-        for i, p in enumerate(space):
-            aucs = []
-            for f in range(k if folds else 1):
-                model = train_model(data.where(F.col("fold") != f), cols, label, family, seed, **dict(p))
-                aucs.append(_auc(data.where(F.col("fold") == f), model, cols, label))
-            rows.append((i, str(dict(p)), sum(aucs) / len(aucs)))
-    finally:
-        data.unpersist()
-    best = max(rows, key=lambda r: (r[2], -r[0]))
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_auc double"), dict(space[best[0]])
+    data = materialize(add_folds(select_features(df, cols, [label, *keys]), keys, label, k, seed), "folds")
+    history: list[tuple[dict, float]] = []
+    used: list[dict] = []
+    for i in range(trials if params is None else len(params)):
+        if params is not None:
+            tried = dict(params[i])
+        else:
+            tried = drawn[i] if sampler == "random" else propose(space, history, seed)
+        # the space holds the inverse penalty of the whole loss, Spark takes the penalty per row
+        used.append({**tried, "reg": 1.0 / (tried["reg"] * n)} if n else tried)
+        aucs = []
+        for f in range(k if folds else 1):
+            model = train_model(data.where(F.col("fold") != f), cols, label, family, seed, **used[-1])
+            aucs.append(_auc(data.where(F.col("fold") == f), model, cols, label))
+        history.append((tried, sum(aucs) / len(aucs)))
+    if not history:
+        raise ValueError("no trials")
+    best = max(range(len(history)), key=lambda i: (history[i][1], -i))
+    rows = [(i, str(p), auc) for i, (p, (_, auc)) in enumerate(zip(used, history))]
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_auc double"), used[best]
 
 
 def _auc(df: DataFrame, model: Transformer, cols: Sequence[str], label: str) -> float:

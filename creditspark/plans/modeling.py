@@ -64,6 +64,13 @@ def t03(spark, sf):
     return trials
 
 
+@query("t03_parzen_search")
+def t03p(spark, sf):
+    """Fifty proposals by density ratio, the usual number of a study."""
+    trials, _ = M.tune(split(spark, sf), COLS, "target", "logistic_regression", ["ID"])
+    return trials
+
+
 @query("t04_cross_validate")
 def t04(spark, sf):
     folds = M.cross_validate(split(spark, sf), COLS, "target", "logistic_regression", ["ID"], k=3, **FAST["logistic_regression"])
