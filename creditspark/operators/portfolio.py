@@ -98,6 +98,8 @@ def value_range(df: DataFrame, column: str | Column) -> tuple[float | None, floa
 def value_segments(df: DataFrame, column: str = "customer_lifetime_value") -> DataFrame:
     """Mean profit, value and cost in four equal-width value bins."""
     lo, hi = value_range(df, column)
+    if lo is None:  # no value to bin: all rows are without a segment
+        lo, hi = 0.0, 1.0
     edges = equal_width_edges(lo, hi, len(VALUE_SEGMENTS))
     return by_group(df.withColumn("value_segment", bin_by_edges(column, edges, VALUE_SEGMENTS)), "value_segment",
                     mean_profit=F.avg("net_profit"), mean_ltv=F.avg("customer_lifetime_value"),
@@ -259,19 +261,18 @@ def density_curve(df: DataFrame, column: str, by: str, points: int = 50) -> Data
     """Gaussian kernel density per class with Scott's bandwidth n**(-1/5) times the sample std.
 
     One aggregate per grid point and the grid is the same for all classes, so
-    the rows are read once and never multiplied.
+    the rows are never multiplied; bandwidths are joined, for any number of classes.
+    Classes without spread have no curve, and a column without values has none at all.
     """
     lo, hi = value_range(df, column)
+    if lo is None:
+        return df.select(by, F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull())
     width = rows.groupBy(by).agg((F.stddev_samp(x) * F.pow(F.count(x), F.lit(-0.2))).alias("h"))
-    hs = {r[by]: r["h"] for r in width.where("h > 0").collect()}  # one number per class
-    h = F.lit(None).cast("double")
-    for k, v in hs.items():
-        h = F.when(F.col(by) == F.lit(k), F.lit(v)).otherwise(h)
     norm = (2 * 3.141592653589793) ** 0.5
-    binned = rows.select(by, x.alias("x"), h.alias("h")).where("h is not null")
+    binned = rows.select(by, x.alias("x")).join(width.where("h > 0"), by)
     curves = binned.groupBy(by).agg(*[
         (F.avg(F.exp(-F.pow((F.lit(g) - F.col("x")) / F.col("h"), F.lit(2.0)) / 2) / F.col("h")) / norm).alias(f"g{i}")
         for i, g in enumerate(grid)])

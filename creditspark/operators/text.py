@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from creditspark.functions.expr import risk_band, row_count_if, texts
 from creditspark.operators.scoring import COMPOSITE_WEIGHTS
@@ -33,10 +34,10 @@ def reason_codes() -> Column:
 
 
 def factor_lists(df: DataFrame) -> DataFrame:
-    """Risk and protective factor texts of a card-client row."""
+    """Risk and protective factor texts of a card-client row; whole-number limits have no decimals."""
     limit, age = F.col("LIMIT_BAL"), F.col("AGE")
     late = row_count_if([c for c in PAY_STATUS if c in df.columns], "> 0")
-    money = F.concat(F.lit("($"), F.format_number(limit, 2), F.lit(")"))
+    money = F.concat(F.lit("($"), F.format_number(limit, 0 if isinstance(df.schema["LIMIT_BAL"].dataType, IntegralType) else 2), F.lit(")"))
     years = F.concat(F.lit("("), age.cast("string"), F.lit(")"))
     return df.withColumns({
         "risk_factors": texts(

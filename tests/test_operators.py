@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from creditspark.functions import expr as E
 from creditspark.operators import clean, columns, encode, evaluation, fairness, features, profiling, rows, scoring, selection, series, validation
+from creditspark.operators import portfolio
+from creditspark.operators import text as text_lists
 
 
 def one(df):
@@ -288,3 +290,17 @@ def test_scorer_needs_all_model_columns(spark):
 def test_best_by_mean_of_all_metrics(spark):
     df = spark.createDataFrame([("a", 0.9, 0.1), ("b", 0.6, 0.6), ("c", None, 0.6), ("d", None, None)], "name string, auc double, f1 double")
     assert [tuple(r) for r in rows.best_by_mean(df, "name", ["auc", "f1"]).collect()] == [("b", 0.6)]
+
+
+def test_columns_without_values_and_whole_limits(spark):
+    empty = spark.createDataFrame([("a", None), ("b", None)], "k string, v double")
+    assert portfolio.density_curve(empty, "v", "k").collect() == []
+    flat = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 3.0), (None, 1.0)], "k string, v double")
+    assert [(r["k"], r["n"]) for r in portfolio.density_curve(flat, "v", "k", points=5).groupBy("k").agg(F.count("*").alias("n")).collect()] == [("a", 5)]
+    book = spark.createDataFrame([(None, 1.0, 2.0), (None, 3.0, 4.0)], "customer_lifetime_value double, net_profit double, acquisition_cost double")
+    assert all(r["value_segment"] is None for r in portfolio.value_segments(book).collect())
+    pays = {f"PAY_{i}": 0 for i in (0, 2, 3, 4, 5, 6)}
+    for limit, text in ((20000, "($20,000)"), (20000.5, "($20,000.50)")):
+        row = text_lists.factor_lists(spark.createDataFrame([{"LIMIT_BAL": limit, "AGE": 30, **pays}])).first()
+        assert row["risk_factors"] == [f"Low credit limit {text} may indicate limited creditworthiness"]
+        assert row["protective_factors"] == ["No late payments in recent history"]
