@@ -10,6 +10,9 @@ so a leaf gives feature j
 
 and the integral of a polynomial is exact by Gauss-Legendre nodes. A pair of features
 leaves both out of the product.
+
+A leaf's contributions depend on a row only by which of its m features follow the path. For
+more rows than such patterns they are worked out once per pattern and looked up per row.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 
 CELLS = 1 << 20  # numbers in one block of rows x leaves x path features
+ROWS = 4096  # looked up at once
 
 
 class Node(NamedTuple):
@@ -90,7 +94,7 @@ def _without_each(f: np.ndarray) -> np.ndarray:
 
 def _blocks(x: np.ndarray, groups: Sequence[Paths]) -> Iterator[tuple[slice, Paths, np.ndarray]]:
     """(rows, paths, o) in blocks of bounded size; a number that is not one goes right, as in Spark's trees."""
-    x = np.where(np.isnan(x), np.inf, x)
+    x = np.maximum(np.where(np.isnan(x), np.inf, x), np.finfo(float).min)
     for p in groups:
         m = p.feature.shape[1]
         n_leaves = max(1, min(len(p.value), 4096 // m))
@@ -108,16 +112,64 @@ def _nodes(degree: int) -> Iterator[tuple[float, float]]:
     yield from zip((t + 1) / 2, w / 2)
 
 
+def _leaf_values(o: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contributions per leaf and path feature; ``value`` has one axis less."""
+    total = np.zeros(np.broadcast_shapes(o.shape, share.shape))
+    for t, w in _nodes(o.shape[-1] - 1):
+        total += w * _without_each(t * o + (1 - t) * share)
+    return value[..., None] * (o - share) * total
+
+
+def _leaf_tables(p: Paths) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, low, high, table (leaves, patterns, m)) of leaves with the same path features, in blocks of bounded size."""
+    m = p.feature.shape[1]
+    order = np.argsort(p.feature, axis=1)
+    feature, low, high, share = (np.take_along_axis(a, order, axis=1) for a in (p.feature, p.low, p.high, p.share))
+    sets, of = np.unique(feature, axis=0, return_inverse=True)
+    o = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+    size = max(1, CELLS // (m << m))
+    for i, features in enumerate(sets):
+        at = np.flatnonzero(of.ravel() == i)
+        for s in range(0, len(at), size):
+            some = at[s:s + size]
+            yield features, low[some], high[some], _leaf_values(o, share[some, None, :], p.value[some, None])
+
+
+def _add_from_tables(out: np.ndarray, x: np.ndarray, p: Paths) -> None:
+    """Add the contributions of the leaves ``p``: the pattern of a row and leaf is a sum of one bit per feature."""
+    m = p.feature.shape[1]
+    kind = np.min_scalar_type((1 << m) - 1)
+    for features, low, high, table in _leaf_tables(p):
+        codes, bins = [], []
+        for i, f in enumerate(features):
+            edges = np.unique(np.concatenate([low[:, i], high[:, i]]))
+            edges = edges[np.isfinite(edges)]
+            first = np.where(np.isneginf(low[:, i]), 0, np.searchsorted(edges, low[:, i]) + 1)
+            at = np.arange(len(edges) + 1)[:, None]
+            codes.append(((at >= first) & (at <= np.searchsorted(edges, high[:, i]))).astype(kind) << kind.type(i))
+            bins.append(np.searchsorted(edges, x[:, f]))
+        for r in range(0, len(x), ROWS):
+            pattern = codes[0][bins[0][r:r + ROWS]]
+            for code, b in zip(codes[1:], bins[1:]):
+                pattern |= code[b[r:r + ROWS]]
+            total, one = np.zeros((len(pattern), m)), np.empty((len(pattern), m))
+            for values, at in zip(table, np.ascontiguousarray(pattern.T)):
+                total += np.take(values, at, axis=0, out=one, mode="clip")
+            out[r:r + ROWS, features] += total
+
+
 def shapley_values(x: np.ndarray, groups: Sequence[Paths]) -> np.ndarray:
     """(rows, features): with the base value a row's contributions add up to its score."""
     out = np.zeros(x.shape)
-    for rows, p, o in _blocks(x, groups):
-        m, total = p.feature.shape[1], np.zeros_like(o)
-        for t, w in _nodes(m - 1):
-            total += w * _without_each(t * o + (1 - t) * p.share)
-        part = p.value[:, None] * (o - p.share) * total
+    few = [p for p in groups if len(x) < 2 << p.feature.shape[1]]
+    for rows, p, o in _blocks(x, few):
+        part = _leaf_values(o, p.share, p.value)
         place = (p.feature.reshape(-1, 1) == np.arange(x.shape[1])).astype(float)
         out[rows] += part.reshape(len(o), -1) @ place
+    x = np.where(np.isnan(x), np.inf, x)
+    for p in groups:
+        if len(x) >= 2 << p.feature.shape[1]:
+            _add_from_tables(out, x, p)
     return out
 
 

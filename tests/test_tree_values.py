@@ -74,6 +74,23 @@ def test_no_rows_and_values_that_are_no_numbers():
     assert shapley_values(np.array([[np.nan], [np.inf], [1.0]]), groups)[:, 0] == pytest.approx([0.8, 0.8, -1.2])
 
 
+def test_many_rows_cost_no_more_products_than_patterns(monkeypatch):
+    import creditspark.functions.trees as tr
+
+    rng = np.random.default_rng(7)
+    groups, _ = ensemble_paths([[n._replace(threshold=round(n.threshold, 1)) for n in random_tree(rng, 5, 7)] for _ in range(5)])
+    x = np.round(rng.normal(size=(5000, 5)), 1)
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x[:3, 0] = np.inf, -np.inf, 0.1
+    one_by_one = np.concatenate([shapley_values(x[r:r + 1], groups) for r in range(200)])
+    work, product = [], tr._without_each
+    monkeypatch.setattr(tr, "_without_each", lambda f: work.append(f.size) or product(f))
+    got = shapley_values(x, groups)
+    assert got[:200] == pytest.approx(one_by_one, abs=1e-12)
+    m = [(p.feature.shape[1], len(p.value)) for p in groups]
+    assert sum(work) <= sum(n * (k << k) * ((k - 1) // 2 + 1) for k, n in m)
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     return credit_panel(spark, "/root/testdata/sf0.01").select("ID", *COLS, "target").cache()
