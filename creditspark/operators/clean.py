@@ -81,8 +81,8 @@ def impute_knn(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Data
     """Fill each column with the mean of its k nearest rows that have it.
 
     Distances skip missing coordinates. A row without any common coordinate gets
-    the column mean. ``key`` is a unique whole number. Exact, so the work grows
-    with incomplete rows times complete ones; ``impute`` is the linear choice.
+    the column mean. ``key`` is a unique whole number. Exact; with few columns a row meets
+    few of the others, with many it meets most of them, and ``impute`` is the linear choice.
     """
     x = F.array(*[F.col(c).cast("double") for c in cols])
     rows = df.select(F.col(key).cast("long").alias("id"), x.alias("x"), *[F.col(c).cast("double").alias(c) for c in cols])

@@ -152,3 +152,49 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     d = ((q[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
     want = np.argsort(d, axis=1, kind="stable")[:, :3]
     assert got["neighbor"].to_numpy().reshape(30, 3).tolist() == want.tolist()
+
+
+def _brute(q, c, ids, k):
+    ok = ~np.isnan(q)[:, None, :] & ~np.isnan(c)[None, :, :]
+    d2 = np.where(ok, (q[:, None, :] - c[None, :, :]) ** 2, 0.0).sum(axis=2)
+    used = ok.sum(axis=2)
+    d2 = np.where(used > 0, d2 * (q.shape[1] / np.maximum(used, 1)), np.inf)
+    order = np.lexsort((np.broadcast_to(ids, d2.shape), d2))[:, :k]
+    return ids[order], np.take_along_axis(d2, order, axis=1)
+
+
+def _with_gaps(rng, n, share):
+    x = np.concatenate([rng.integers(0, 12, (n, 2)), rng.integers(0, 1000, (n, 1))], axis=1).astype(float)
+    x[rng.random(x.shape) < share] = np.nan
+    return x
+
+
+def test_search_compares_near_rows_only(monkeypatch):
+    import creditspark.functions.neighbors as nb
+
+    rng, pairs, distances = np.random.default_rng(4), [], nb.squared_distances
+    q, c, ids = _with_gaps(rng, 400, 0.05), _with_gaps(rng, 20000, 0.01), rng.permutation(20000)
+    monkeypatch.setattr(nb, "squared_distances", lambda a, b: pairs.append(len(a) * len(b)) or distances(a, b))
+    near, far = nb.search(q, np.full(len(q), np.inf), c, ids, 3)
+    want_near, want_far = _brute(q, c, ids, 3)
+    found = np.isfinite(want_far)
+    assert (np.isfinite(far) == found).all() and (near[found] == want_near[found]).all() and (far[found] == want_far[found]).all()
+    assert sum(pairs) < 0.2 * len(q) * len(c)
+
+
+def test_nearest_across_blocks_with_gaps_and_copies(spark, monkeypatch):
+    import creditspark.functions.neighbors as nb
+
+    rng = np.random.default_rng(5)
+    q, c = _with_gaps(rng, 60, 0.1), _with_gaps(rng, 300, 0.1)
+    c[200:] = c[7]  # many copies
+    q[:20, 0], q[20] = np.nan, np.nan
+    for name, size in (("QUERY_BLOCK", 9), ("CANDIDATE_BLOCK", 20), ("SAMPLE", 100), ("LEAF", 5)):
+        monkeypatch.setattr(nb, name, size)
+    mk = lambda m: spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(m)], "id long, x array<double>")
+    got = nearest(mk(q), mk(c), 2).toPandas().sort_values(["query", "rank"])
+    near, far = _brute(q, c, np.arange(300), 2)
+    found = np.isfinite(far)
+    assert got["query"].tolist() == np.repeat(np.arange(60), found.sum(axis=1)).tolist() and 20 not in set(got["query"])
+    assert got["neighbor"].tolist() == near[found].tolist() and got["d2"].tolist() == far[found].tolist()
+    assert nearest(mk(q), mk(c).limit(0)).count() == 0 and nearest(mk(q).limit(0), mk(c)).count() == 0
