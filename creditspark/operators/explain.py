@@ -28,7 +28,7 @@ from creditspark.operators.columns import feature_category
 from creditspark.operators.evaluation import roc_auc
 from creditspark.operators.models import add_scores
 from creditspark.operators.rows import sample_rows, top_k_per_group
-from creditspark.sources.io import scratch_path
+from creditspark.sources.io import materialize, scratch_path
 
 Score = Callable[[DataFrame], DataFrame]  # adds a column ``p`` to a table with the feature columns
 
@@ -144,7 +144,7 @@ def _tree_values(df: DataFrame, cols: Sequence[str], values: Callable, groups: l
 def tree_shap(df: DataFrame, key: str, cols: Sequence[str], trees: Sequence[Sequence[Node]]) -> DataFrame:
     """Exact path-dependent Shapley values as (key, feature, contribution, base_value).
 
-    A narrow projection: nothing is shuffled, and the work is rows x leaves. The contributions
+    A narrow projection: nothing is shuffled, and the work is a lookup per row and leaf. The contributions
     of a row and the base value add up to its score.
     """
     groups, base = ensemble_paths(trees)
@@ -324,6 +324,7 @@ def counterfactual(df: DataFrame, key: str, cols: Sequence[str], prediction: str
 
     Euclidean distance on std-scaled features, exact.
     """
+    df = materialize(df.select(key, prediction, *cols), "scored")
     st = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     xs = df.select(F.col(key).cast("long").alias("id"), F.col(prediction).cast("int").alias("y"),
                    F.array(*[F.col(c).cast("double") / (st[i] or 1.0) for i, c in enumerate(cols)]).alias("x"))

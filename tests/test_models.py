@@ -130,3 +130,22 @@ def test_cluster_indices_and_pca(spark):
     u, sv, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert sum(share) == pytest.approx(1.0)
     assert np.abs(p.toPandas().sort_values("id")["pc1"]).to_numpy() == pytest.approx(np.abs(u[:, 0] * sv[0]), abs=1e-6)
+
+
+def test_counterfactual_reads_its_table_once(spark):
+    rows = [(i, float(i * 7 % 40), float(i % 9), int(i % 5 == 0)) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "ID long, a double, b double, y int").mapInPandas(seen, "ID long, a double, b double, y int")
+    got = X.counterfactual(df, "ID", ["a", "b"], "y").toPandas().sort_values("ID")
+    x, y = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    d = (((x / x.std(axis=0))[:, None] - (x / x.std(axis=0))[None]) ** 2).sum(axis=2)[y == 1][:, y == 0]
+    assert got["distance"].to_numpy() == pytest.approx(np.sqrt(d.min(axis=1)), abs=1e-12)
+    at = np.searchsorted(np.flatnonzero(y == 0), got["neighbor"])
+    assert d[np.arange(len(got)), at] == pytest.approx(d.min(axis=1), abs=1e-12)
+    assert read.value == len(rows)
