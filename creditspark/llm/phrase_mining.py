@@ -3,9 +3,10 @@
 A sample of the documents proposes frequent phrases at a lowered limit. A full pass then
 counts them together with their negative border: every phrase whose first and whose last
 words (all but one) were both proposed, so what the sample missed by one step is counted too. If a counted
-phrase is frequent but was not proposed, the border failed there; another pass counts
-what grows from it, until nothing new is frequent. The result never depends on the
-sample, only the number of passes does (at most the longest phrase's length).
+phrase is frequent but was not proposed, the border failed there. Another pass counts what grows
+from such phrases: at once in all lengths, as if everything grown were frequent, while they are a small share of the text, which closes
+the border; otherwise one word further, until nothing new is frequent. The result never depends on the
+sample, only the number of passes does (usually two, at most the longest phrase's length).
 
 Proposals reach the tasks as a table of bits of bounded size. A wrong bit only lets a
 few more phrases be counted. These passes count 64-bit hashes, which can only count too much; the last pass counts
@@ -41,6 +42,7 @@ SAMPLE = 0.1  # share of the documents that proposes; any value gives the same r
 MOST_BITS = 1 << 27  # of the proposal table: 16 MB
 SLICE = 2 << 20
 TEXTS = 1 << 16  # phrases written out at once
+AHEAD = 0.125  # missed phrases up to this share of all words are grown to all lengths in one pass
 SALTS = 8  # lookups of one word's count are spread over so many keys
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 GAPS = flat.byte_mask(PIECE_ENDS + b" \t")
@@ -61,6 +63,12 @@ class Bits:
             out &= (self.words[at >> U(6)] >> (at & U(63))) & U(1) != 0
         return out
 
+    def few(self, h: np.ndarray) -> np.ndarray:
+        """Places of the members, for tables that hold few of the hashes."""
+        at = h & self.mask
+        some = np.flatnonzero((self.words[at >> U(6)] >> (at & U(63))) & U(1))
+        return some[self.has(h[some])]
+
 
 def bits_of(hashes: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     """The bit table of a column ``h``: a few bits per entry, at most ``most`` in all."""
@@ -162,24 +170,56 @@ def _sampled(docs: DataFrame, lengths: Sequence[int], shared=None) -> DataFrame:
     return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _counted(docs: DataFrame, shared, longest: int, first: bool) -> DataFrame:
-    """(h, k, n) of the windows that the newest bit table admits and no older one did; in the first pass also of all words."""
+def _counted(docs: DataFrame, shared, longest: int) -> DataFrame:
+    """(h, k, n) of all words and of the windows that grow from the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *old, new = _tables(shared)
+        (known,) = _tables(shared)
         for batch in flat.slices(batches, "text", SLICE):
             before = None
             for k, h, whole in Windows(flat.column(batch, "lang"), flat.column(batch, "text")).hashes(longest):
-                if k == 1:
-                    good = whole if first else np.zeros(len(h), bool)
-                else:
-                    good = whole & _grown(new, before)
-                    for o in old:
-                        good &= ~_grown(o, before)
+                good = whole if k == 1 else whole & _grown(known, before)
+                before = h
+                yield _hashed(h, k, np.flatnonzero(good))
+
+    return _summed(docs, run)
+
+
+def _missed(docs: DataFrame, shared, longest: int, ahead: bool) -> DataFrame:
+    """(h, k, n) of the windows that grow from the frequent phrases and were not counted before; ``ahead`` grows them further as if all were frequent.
+
+    The tables are the proposals and, for this pass and those before, the phrases known then and the new ones among them.
+    A pass looks only at windows that begin or end with a new phrase, or with a window grown from one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, *later = _tables(shared)
+        *old, (known, fresh) = zip(later[::2], later[1::2])
+        for batch in flat.slices(batches, "text", SLICE):
+            before, grown = None, np.zeros(0, np.int64)
+            for k, h, whole in Windows(flat.column(batch, "lang"), flat.column(batch, "text")).hashes(longest):
+                if k > 1:
+                    seeds = np.union1d(fresh.few(before), grown)
+                    at = np.union1d(seeds - 1, seeds)
+                    at = at[(at >= 0) & (at < len(h))]
+                    at = at[whole[at]]
+                    at = at[np.logical_and(*[known.has(before[e]) | np.isin(e, grown) for e in (at, at + 1)])]
+                    at = at[~_both(first, before, at)]
+                    for o, new in old:
+                        at = at[~(_both(o, before, at) & (new.has(before[at]) | new.has(before[at + 1])))]
+                    grown = at if ahead else grown
+                    yield _hashed(h, k, at)
                 before = h
-                key, _, n = _grouped(h, np.flatnonzero(good))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(n, pa.int64())], names=["h", "k", "n"])
 
+    return _summed(docs, run)
+
+
+def _hashed(h: np.ndarray, k: int, at: np.ndarray) -> pa.RecordBatch:
+    key, _, n = _grouped(h, at)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(n, pa.int64())], names=["h", "k", "n"])
+
+
+def _summed(docs: DataFrame, run) -> DataFrame:
     return docs.mapInArrow(run, "h long, k int, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
 
 
@@ -201,6 +241,10 @@ def _named(docs: DataFrame, shared, longest: int) -> DataFrame:
     return docs.mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _both(known: Bits, shorter: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return known.has(shorter[at]) & known.has(shorter[at + 1])
+
+
 def _grown(known: Bits, shorter: np.ndarray) -> np.ndarray:
     both = known.has(shorter)
     return both[:-1] & both[1:]
@@ -211,10 +255,10 @@ def _rows(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordB
 
 
 def _outside(rows: DataFrame, shared) -> DataFrame:
-    """Rows whose hash is not in the newest bit table."""
+    """Rows whose hash is not in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _tables(shared)[-1]
+        (known,) = _tables(shared)
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(~known.has(flat.longs(flat.column(batch, "h")).view(U))))
@@ -238,15 +282,20 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_
         if longest > 3:
             pairs = _share(spark, [bits_of(proposed)])
             proposed = proposed.unionByName(materialize(_sampled(part, range(3, longest), pairs).where(F.col("n") >= low), "proposed"))
-    tables, found = [bits_of(proposed)], None
-    while True:
-        shared = _share(spark, tables)
+    tables = [bits_of(proposed)]
+    shared = _share(spark, tables)
+    with small_batches(spark):
+        found = materialize(_counted(docs, shared, longest).where(F.col("n") >= min_count), "frequent")
+    words = found.where("k = 1").agg(F.sum("n")).first()[0] or 0
+    fresh = _outside(found.where(F.col("k") < longest), shared)
+    while (size := fresh.agg(F.sum("n")).first()[0]) is not None:
+        tables += [bits_of(found.where(F.col("k") < longest)), bits_of(fresh)]
+        ahead = size <= AHEAD * words
         with small_batches(spark):
-            new = materialize(_counted(docs, shared, longest, found is None).where(F.col("n") >= min_count), "frequent")
-        found = new if found is None else found.unionByName(new)
-        if _outside(new.where(F.col("k") < longest), shared).isEmpty():
+            new = materialize(_missed(docs, _share(spark, tables), longest, ahead).where(F.col("n") >= min_count), "frequent")
+        found, fresh = found.unionByName(new), new.where(F.col("k") < longest)
+        if ahead:
             break
-        tables.append(bits_of(found.where(F.col("k") < longest)))
     with small_batches(spark):
         return materialize(_named(docs, _share(spark, [bits_of(found)]), longest).where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases")
 

@@ -64,6 +64,17 @@ def test_phrases_do_not_depend_on_the_bit_table(docs, monkeypatch):
     assert sorted(tuple(r) for r in phrase_mining.collocations(docs, min_count=3, sample=0.0).collect()) == mined(ROWS, 3, 5, 2000)
 
 
+@pytest.mark.parametrize("ahead,sample,most", [(9.0, 0.0, 2), (9.0, 0.2, 2), (0.0, 0.2, 5)])
+def test_phrases_missed_by_the_sample_take_one_more_pass(docs, monkeypatch, ahead, sample, most):
+    names, write = [], phrase_mining.materialize
+    monkeypatch.setattr(phrase_mining, "AHEAD", ahead, raising=False)
+    monkeypatch.setattr(phrase_mining, "SLICE", 5000)
+    monkeypatch.setattr(phrase_mining, "materialize", lambda df, name: names.append(name) or write(df, name))
+    got = phrase_mining.collocations(docs, min_count=3, sample=sample)
+    assert sorted(tuple(r) for r in got.collect()) == mined(ROWS, 3, 5, 2000)
+    assert 2 <= names.count("frequent") <= most
+
+
 def test_phrases_of_nothing(docs):
     assert phrase_mining.collocations(docs.where("false")).collect() == []
     assert phrase_mining.collocations(docs.where("text IS NULL")).collect() == []
