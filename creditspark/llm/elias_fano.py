@@ -79,6 +79,8 @@ def _by_block(block: np.ndarray):
     """(block, positions asking for it)."""
     if not len(block):
         return
+    if block.max() < 1 << 16:
+        block = block.astype(np.uint16)  # sorted by counting
     order = np.argsort(block, kind="stable")
     s = block[order]
     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))

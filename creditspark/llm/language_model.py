@@ -33,8 +33,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,7 +57,8 @@ SEPARATORS = flat.byte_mask(flat.SPACES)
 CHUNK = 1 << 18  # n-grams scored at once
 FIXED = float(1 << 22)  # a cell's sum for a text travels as a whole number of such parts
 BUCKET_TEXTS = 20_000  # texts whose sums are added up in one task
-PARTS = "bucket int, payload binary, id long, sig int, h long, a double, b double"
+PARTS = "bucket int, payload binary, texts binary, id long, sig int, h long, a double, b double"
+TEXTS = (np.int64, np.uint8, np.int32, np.int64, np.int64, np.float64)  # id, whether it is null, sig, n_tokens, n_short, base_short
 
 
 @dataclass
@@ -195,12 +197,42 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in no order, and the place of each value among them."""
+    coded = pc.dictionary_encode(pa.array(values), memory_pool=pa.system_memory_pool())  # gives its memory back at once
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _ranked(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct values of all columns, and each column as places among them."""
+    values, place = _numbered(np.concatenate(columns))
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], np.split(rank[place], np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by non-negative keys, the first one first; they are sorted as one number where that has at most 64 bits."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 64:
+        return np.lexsort(keys[::-1])
+    one = keys[0].astype(U)
+    for k, b in zip(keys[1:], bits[1:]):
+        one <<= U(b)
+        one |= k.astype(U)
+    return np.argsort(one)
+
+
 class Trigrams:
-    """All predicted words of a slice of texts with the two words before, sorted by cell, v, u, w; words as numbers into small tables."""
+    """All predicted words of a slice of texts with the two words before, sorted by cell, v, u, w; words as numbers into small tables.
 
-    def __init__(self, text: pa.Array, codes, cells: int):
+    With ``wanted``, only those of the wanted cells.
+    """
+
+    def __init__(self, text: pa.Array, codes, cells: int, wanted: np.ndarray | None = None):
         h, at, owner = _sequences(text)
-        words, place = np.unique(h, return_inverse=True)
+        words, place = _numbered(h)
         cell, code = _cell(words, cells), _codes(codes, words)
         by_cell = np.lexsort((code, cell))
         rank = np.empty(len(words), np.int32)
@@ -208,8 +240,11 @@ class Trigrams:
         self.code, self.cells, self.hash = code[by_cell], cell[by_cell], words[by_cell]
         i = rank[place]
         del h, place
+        self.text_words, self.text_rows = i[at], owner[at]  # as they follow in the texts
+        if wanted is not None:
+            at = at[wanted[self.cells[i[at - 1]]]]
         w, v, u = i[at], i[at - 1], i[at - 2]
-        order = np.lexsort((w, u, v))
+        order = _order(v, u, w)
         self.u, self.v, self.w, self.row = u[order], v[order], w[order], owner[at[order]]
 
     def keep(self, which: np.ndarray) -> None:
@@ -237,9 +272,7 @@ def _training_blocks(texts: DataFrame, codes, splits: np.ndarray, wanted: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.slices(batches, "text", SLICE):
-            t = Trigrams(flat.column(batch, "text"), codes, cells)
-            if not wanted.all():
-                t.keep(wanted[t.cell()])
+            t = Trigrams(flat.column(batch, "text"), codes, cells, None if wanted.all() else wanted)
             new = _firsts(t.v, t.u, t.w)
             n = np.diff(np.append(new, len(t.v))).astype(np.uint32)
             t.keep(new)
@@ -255,22 +288,23 @@ def _training_blocks(texts: DataFrame, codes, splits: np.ndarray, wanted: np.nda
 
 
 def _kept(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, least: tuple[int, int]) -> list[tuple[np.ndarray, ...]]:
-    """Kept trigrams (v, u, w, n), kept bigrams (v, w, n), all pairs (v, u, n) and all context words (v, n)."""
-    tri = _summed((v, u, w), n)
-    v, u, w, n = tri
-    keep = n >= least[1]
-    bi = _summed((v, w), n)
-    return [tuple(x[keep] for x in tri), tuple(x[bi[-1] >= least[0]] for x in bi), _summed((v, u), n), _summed((v,), n)]
+    """Kept trigrams (v, u, w, n), kept bigrams (v, w, n), all pairs (v, u, n) and all context words (v, n), from sorted distinct trigrams."""
+    keep, bi = n >= least[1], _summed((v, w), n)
+    return [tuple(x[keep] for x in (v, u, w, n)), tuple(x[bi[-1] >= least[0]] for x in bi), _runs((v, u), n), _runs((v,), n)]
 
 
-def _summed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys with the sum of their counts."""
-    order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order].astype(U)
+def _runs(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the sum of their counts, from sorted ones."""
     at = _firsts(*keys)
     return (*(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n)
 
 
+def _summed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys with the sum of their counts."""
+    order = _order(*keys)
+    return _runs(tuple(k[order] for k in keys), n[order].astype(U, copy=False))
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         q = np.rint(-STEPS * np.log10(np.maximum(p, 0)))
@@ -278,54 +312,59 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 def restored(q: np.ndarray) -> np.ndarray:
-    return np.where(q == 65535, 0.0, 10.0 ** (-q.astype(np.float64) / STEPS))
+    return _RESTORED[q]
+
+
+_RESTORED = np.append(10.0 ** (-np.arange(65535, dtype=np.float64) / STEPS), 0.0)
 
 
-def _trie(counts: list[tuple[np.ndarray, ...]], discount: float) -> bytes:
-    """The levels of one cell as a payload."""
+def _trie(counts: list[tuple[np.ndarray, ...]], codes: np.ndarray, discount: float) -> bytes:
+    """The levels of one cell as a payload; words in ``counts`` are places among the sorted ``codes``."""
     (v3, u3, w3, n3), (v2, w2, n2), (vp, up, np_), (v1, n1) = counts
-    words = np.unique(np.concatenate([w2, u3]))
+    used, context = np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+    used[w2] = used[u3] = True
+    number, words = np.cumsum(used) - 1, codes[used]
+    context[v1] = np.arange(len(v1))
     size = U(max(len(words), 1))
-    one = np.searchsorted(v1, v2)
+    one = context[v2]
     d2 = (n2 - discount) / n1[one]
     left1 = np.maximum(1 - np.bincount(one, d2, len(v1)), 0)
-    successors = one.astype(U) * size + np.searchsorted(words, w2).astype(U)
+    successors = one.astype(U) * size + number[w2].astype(U)
     start = np.searchsorted(one, np.arange(len(v1) + 1))
     # pairs that have a kept trigram
     first = _firsts(v3, u3)
-    pair = np.cumsum(np.isin(np.arange(len(v3)), first)) - 1
-    pv = np.searchsorted(v1, v3[first])
-    pairs = pv.astype(U) * size + np.searchsorted(words, u3[first]).astype(U)
-    everything = np.searchsorted(v1, vp).astype(U) * size + np.minimum(np.searchsorted(words, up), len(words) - 1).astype(U)
-    known = np.isin(up, words)  # a word that no kept trigram begins with has no number
-    totals = np_[known][np.searchsorted(everything[known], pairs)] if len(pairs) else np.zeros(0, U)
+    pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v3))))
+    pv = context[v3[first]]
+    pairs = pv.astype(U) * size + number[u3[first]].astype(U)
+    known = used[up]  # a word that no kept trigram begins with has no number
+    everything = context[vp[known]].astype(U) * size + number[up[known]].astype(U)
+    totals = np_[known][np.searchsorted(everything, pairs)] if len(pairs) else np.zeros(0, U)
     d3 = (n3 - discount) / totals[pair] if len(v3) else np.zeros(0)
     left2 = np.maximum(1 - np.bincount(pair, d3, len(first)), 0)
     base = np.concatenate([[0], np.cumsum(np.diff(start)[pv])])  # each pair has as many places as its nearer word has successors
-    place = np.searchsorted(successors, np.searchsorted(v1, v3).astype(U) * size + np.searchsorted(words, w3).astype(U)) - start[pv[pair]] if len(v3) else np.zeros(0, np.int64)
+    place = np.searchsorted(successors, context[v3].astype(U) * size + number[w3].astype(U)) - start[pv[pair]] if len(v3) else np.zeros(0, np.int64)
     return elias_fano.to_payload(
-        elias_fano.encode("context", v1) | elias_fano.encode("word", words) | elias_fano.encode("successor", successors) | elias_fano.encode("start", start)
+        elias_fano.encode("context", codes[v1]) | elias_fano.encode("word", words) | elias_fano.encode("successor", successors) | elias_fano.encode("start", start)
         | elias_fano.encode("pair", pairs) | elias_fano.encode("base", base) | elias_fano.encode("relative", base[pair] + place)
         | {"left1": quantised(left1), "d2": quantised(d2), "left2": quantised(left2), "d3": quantised(d3)})
 
 
 class Trie:
-    """Queries one cell."""
+    """Queries one cell; words are places among the sorted ``codes``."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, codes: np.ndarray):
         arrays = elias_fano.mapped(payload)
         self.seq = {n: elias_fano.Sequence(arrays, n) for n in ("context", "word", "successor", "start", "pair", "base", "relative")}
         self.value = {n: arrays[n] for n in ("left1", "d2", "left2", "d3")}
+        self.contexts, self.words = self.seq["context"].find(codes), self.seq["word"].find(codes)
 
     def mixture(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a, b) such that P(w | u v) = a + b * P1(w)."""
         a, b = np.zeros(len(u)), np.ones(len(u))
-        one, has = self.seq["context"].find(v)
-        at = np.flatnonzero(has)
-        one, size = one[at], U(max(self.seq["word"].n, 1))
+        at = np.flatnonzero(self.contexts[1][v])
+        one, size = self.contexts[0][v[at]], U(max(self.seq["word"].n, 1))
         b[at] = restored(self.value["left1"][one])
-        w_no, w_known = self.seq["word"].find(w[at])
-        u_no, u_known = self.seq["word"].find(u[at])
+        (w_no, w_known), (u_no, u_known) = ([x[k[at]] for x in self.words] for k in (w, u))
         two, has2 = self.seq["successor"].find(one.astype(U) * size + w_no.astype(U))
         has2 &= w_known
         a[at[has2]] = restored(self.value["d2"][two[has2]])
@@ -364,16 +403,20 @@ def _tries(texts: DataFrame, model: NgramModel, least: tuple[int, int], discount
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         cell = key[0].as_py()
-        counts = _kept(*_joined(rows.column("payload").to_pylist(), U, U, U, np.uint32), least)
+        *words, n = _joined(rows.column("payload").to_pylist(), U, U, U, np.uint32)
+        codes, words = _ranked(words)
+        counts = _kept(*_summed(tuple(words), n), least)
         if splits[cell] == 1:
-            return _trie_row(cell, True, [_trie(counts, discount)])
-        return _trie_row(cell, False, [_pack(*c) for c in counts])
+            return _trie_row(cell, True, [_trie(counts, codes, discount)])
+        return _trie_row(cell, False, [_pack(*(codes[k] for k in c[:-1]), c[-1]) for c in counts])
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         kinds = [(U,) * 4, (U,) * 3, (U,) * 3, (U,) * 2]
         parts = rows.column("parts").to_pylist()
         columns = [_joined([p[i] for p in parts], *kind) for i, kind in enumerate(kinds)]
-        return _trie_row(key[0].as_py(), True, [_trie([_summed(tuple(c[:-1]), c[-1]) for c in columns], discount)])
+        codes, words = _ranked([k for c in columns for k in c[:-1]])
+        words = iter(words)
+        return _trie_row(key[0].as_py(), True, [_trie([_summed(tuple(next(words) for _ in c[:-1]), c[-1]) for c in columns], codes, discount)])
 
     schema = "cell int, done boolean, parts array<binary>"
     counted = _training_blocks(texts, model.codes, splits, wanted).groupBy("cell", "part").applyInArrow(count, schema)
@@ -403,20 +446,26 @@ def _trie_row(cell: int, done: bool, parts: list[bytes]) -> pa.Table:
     return pa.table({"cell": pa.array([cell], pa.int32()), "done": [done], "parts": pa.array([parts], pa.list_(pa.binary()))})
 
 
-def _query_blocks(rows: DataFrame, codes, copies: np.ndarray) -> DataFrame:
-    """(cell, copy, payload, docs): the trigrams of a slice of texts by cell, and the texts they belong to."""
+def _query_blocks(rows: DataFrame, codes, copies: np.ndarray, total: float) -> DataFrame:
+    """(cell, copy, payload, docs): the trigrams of a slice of texts by cell, and the texts they belong to.
+
+    What a text has by itself (``TEXTS``) follows as ``docs`` of cell -1, with the task as copy.
+    """
     cells = len(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, task = np.log10((codes.value[3] + 1) / total), TaskContext.get().partitionId()
         for batch in flat.slices(batches, "text", SLICE):
             ids, sigs = flat.longs(flat.column(batch, "id")), flat.longs(flat.column(batch, "sig")).astype(np.int32)
             train = flat.longs(flat.column(batch, "train")).astype(np.uint8)
             t = Trigrams(flat.column(batch, "text"), codes, cells)
             cell = t.cell()
             copy = (mix(ids.view(U))[t.row] % copies[cell].astype(U)).astype(np.int64)
-            out = []
+            out = [(-1, task, None, _pack(ids, np.asarray(flat.column(batch, "doc_id").is_null()).astype(np.uint8), sigs, *_alone(t, logs, len(ids))))]
             for g, i in _blocks(cell * int(copies.max(initial=1)) + copy):
-                docs, local = np.unique(t.row[i], return_inverse=True)
+                seen = np.zeros(len(ids), bool)
+                seen[t.row[i]] = True
+                docs, local = np.flatnonzero(seen), (np.cumsum(seen) - 1)[t.row[i]]
                 out.append((cell[i[0]], copy[i[0]], _pack(*t.coded(i), local.astype(np.uint32)), _pack(ids[docs], sigs[docs], train[docs])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["cell", "copy", "payload", "docs"])
@@ -424,28 +473,53 @@ def _query_blocks(rows: DataFrame, codes, copies: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "cell int, copy int, payload binary, docs binary")
 
 
-def _chunks(payloads: list[bytes], docs: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(v, u, w, place of the text among all texts of the blocks), a bounded number of n-grams at a time."""
-    waiting, held, shift = [], 0, 0
-    for i, (p, d) in enumerate(zip(payloads, docs)):
-        v, u, w, local = _unpack(p, U, U, U, np.uint32)
-        waiting.append((v, u, w, local.astype(np.int64) + shift))
-        held, shift = held + len(v), shift + len(d[0])
-        if held >= CHUNK or i == len(payloads) - 1:
-            yield tuple(np.concatenate(c) for c in zip(*waiting))
-            waiting, held = [], 0
-
-
-def _trained_here(payloads: list[bytes], docs: list[list[np.ndarray]], least: tuple[int, int], discount: float) -> bytes | None:
-    """The trie of a cell from the blocks whose texts it will score."""
-    kept = []
-    for p, d in zip(payloads, docs):
-        v, u, w, local = _unpack(p, U, U, U, np.uint32)
-        own = d[2][local] == 1
-        kept.append((v[own], u[own], w[own]))
-    v, u, w = (np.concatenate(c) for c in zip(*kept))
-    del kept
-    return _trie(_kept(v, u, w, np.ones(len(v), np.uint32), least), discount) if len(v) else None
+def _alone(t: Trigrams, logs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: its tokens, those with a short code, and the sum of these ones' logarithms."""
+    short, log = t.code < U(len(logs)), np.zeros(len(t.code))
+    log[short] = logs[t.code[short].astype(np.int64)]
+    return (np.bincount(t.text_rows, minlength=rows), np.bincount(t.text_rows[short[t.text_words]], minlength=rows),
+            np.bincount(t.text_rows, log[t.text_words], rows))
+
+
+class Occurrences:
+    """The n-grams of all blocks of a cell: ``codes`` of its words, distinct n-grams in order, and for each occurrence its n-gram and text."""
+
+    def __init__(self, payloads: list[bytes], docs: list[list[np.ndarray]]):
+        known, columns, owner, shift = [], [], [], 0
+        for p, d in zip(payloads, docs):  # block by block, so that codes are never held whole
+            *words, local = _unpack(p, U, U, U, np.uint32)
+            codes, words = _ranked(words)
+            known.append(codes)
+            columns.append(words)
+            owner.append((local + shift).astype(np.int32))
+            shift += len(d[0])
+        self.owner = np.concatenate(owner)
+        del owner
+        self.codes = np.unique(np.concatenate(known))
+        for i, codes in enumerate(known):
+            rank = np.searchsorted(self.codes, codes).astype(np.int32)
+            columns[i] = [rank[c] for c in columns[i]]
+        v, u, w = (np.concatenate(c) for c in zip(*columns))
+        del known, columns
+        contexts = np.zeros(len(self.codes), bool)
+        contexts[v] = True
+        self.order = _order((np.cumsum(contexts, dtype=np.int32) - 1)[v], u, w).astype(np.int32)
+        v, u, w = v[self.order], u[self.order], w[self.order]
+        self.first = _firsts(v, u, w)
+        self.v, self.u, self.w = v[self.first], u[self.first], w[self.first]
+        self.ngram = np.empty(len(v), np.int32)
+        self.ngram[self.order] = np.repeat(np.arange(len(self.first), dtype=np.int32), np.diff(np.append(self.first, len(v))))
+
+    def trie(self, train: np.ndarray, least: tuple[int, int], discount: float) -> bytes | None:
+        """The trie of the n-grams in the marked texts."""
+        n = np.add.reduceat(train[self.owner[self.order]], self.first, dtype=np.int32)
+        at = n > 0
+        return _trie(_kept(self.v[at], self.u[at], self.w[at], n[at], least), self.codes, discount) if at.any() else None
+
+    def mixture(self, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+        """``Trie.mixture`` of the distinct n-grams, a bounded number at a time."""
+        parts = [trie.mixture(self.u[i:i + CHUNK], self.v[i:i + CHUNK], self.w[i:i + CHUNK]) for i in range(0, len(self.v), CHUNK)]
+        return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _signed_where_needed(rows: DataFrame, few: int = 10_000) -> DataFrame:
@@ -468,32 +542,22 @@ def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_token
     copies = np.where(here, 1, np.maximum(1, -(-model.loads * max(size, 1) // (max(model.size, 1) * 2 * cell_tokens))))
     total, buckets = float(model.tokens + model.words + 1), -(-n_rows // BUCKET_TEXTS) or 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log10((codes.value[3] + 1) / total)
-        for batch in flat.slices(batches, "text", SLICE):
-            h, at, owner = _sequences(flat.column(batch, "text"))
-            code, doc, n = _codes(codes, h[at]), owner[at], batch.num_rows
-            short = code < U(len(logs))
-            base = np.bincount(doc[short], logs[code[short].astype(np.int64)], n).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [flat.column(batch, c) for c in ("doc_id", "id", "sig")] + [pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[short], minlength=n)), pa.array(base)],
-                names=["doc_id", "id", "sig", "n_tokens", "n_short", "base_short"])
-
     def answer(key: tuple, blocks: pa.Table, tries: pa.Table) -> pa.Table:
-        payloads, docs = blocks.column("payload").to_pylist(), [_unpack(d, np.int64, np.int32, np.uint8) for d in blocks.column("docs").to_pylist()]
-        if not payloads:
-            return _part_table([], [])
-        trie = tries.column("payload")[0].as_py() if tries.num_rows else _trained_here(payloads, docs, least, discount) if here[key[0].as_py()] else None
-        trie = Trie(trie) if trie else None
-        ids, sigs = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
-        counts, sums, rare = codes.value[3], np.zeros(len(ids)), []
-        for v, u, w, owner in _chunks(payloads, docs):
-            a, b = trie.mixture(u, v, w) if trie else (np.zeros(len(v)), np.ones(len(v)))
-            short = w < U(len(counts))
-            sums += np.bincount(owner[short], np.log10(a[short] + b[short] * (counts[w[short].astype(np.int64)] + 1) / total), len(ids))
-            far = ~short
-            rare.append((ids[owner[far]], sigs[owner[far]], w[far].view(np.int64), a[far], b[far]))
-        return _part_table(_bucketed(ids, sigs, sums, buckets), [np.concatenate(c) for c in zip(*rare)])
+        cell, packed = key[0].as_py(), blocks.column("docs").to_pylist()
+        if cell < 0 or not packed:
+            return _part_table([], [], packed)
+        docs = [_unpack(d, np.int64, np.int32, np.uint8) for d in packed]
+        ids, sigs, marked = (np.concatenate([d[k] for d in docs]) for k in (0, 1, 2))
+        found = Occurrences(blocks.column("payload").to_pylist(), docs)
+        trie = tries.column("payload")[0].as_py() if tries.num_rows else found.trie(marked, least, discount) if here[cell] else None
+        a, b = found.mixture(Trie(trie, found.codes)) if trie else (np.zeros(len(found.v)), np.ones(len(found.v)))
+        counts, word = codes.value[3], found.codes[found.w]
+        short, log = word < U(len(counts)), np.zeros(len(word))
+        log[short] = np.log10(a[short] + b[short] * (counts[word[short].astype(np.int64)] + 1) / total)
+        sums = np.bincount(found.owner, log[found.ngram], len(ids))
+        far = np.flatnonzero(~short[found.ngram])
+        owner, ngram = found.owner[far], found.ngram[far]
+        return _part_table(_bucketed(ids, sigs, sums, buckets), [ids[owner], sigs[owner], word[ngram].view(np.int64), a[ngram], b[ngram]])
 
     def add_up(key: tuple, blocks: pa.Table) -> pa.Table:
         ids, sigs, sums = _joined(blocks.column("payload").to_pylist(), np.int64, np.int32, np.int64)
@@ -502,14 +566,20 @@ def _scored(df: DataFrame, model: NgramModel, doc_id: str, text: str, cell_token
         at = _firsts(ids, sigs)
         return pa.table({"id": ids[at], "sig": sigs[at], "score": np.add.reduceat(sums, at) / FIXED})
 
-    counted = rows.mapInArrow(count, "doc_id long, id long, sig int, n_tokens long, n_short long, base_short double")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in flat.pylist(batch, "texts"):
+                ids, null, *rest = _unpack(packed, *TEXTS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null == 1), *map(pa.array, (ids, *rest))], names=["doc_id", "id", "sig", "n_tokens", "n_short", "base_short"])
+
     places = pa.table({"cell": pa.array(np.repeat(np.arange(cells), copies), pa.int32()),
                        "copy": pa.array(np.concatenate([np.arange(c) for c in copies]), pa.int32())})
     tries = model.tries.join(spark.createDataFrame(places, "cell int, copy int"), "cell")
     with small_batches(spark):
-        parts = materialize(_query_blocks(rows, codes, copies).groupBy("cell", "copy").cogroup(tries.groupBy("cell", "copy")).applyInArrow(answer, PARTS), "parts")
+        parts = materialize(_query_blocks(rows, codes, copies, total).groupBy("cell", "copy").cogroup(tries.groupBy("cell", "copy")).applyInArrow(answer, PARTS), "parts")
+    counted = parts.where("texts IS NOT NULL").select("texts").mapInArrow(alone, "doc_id long, id long, sig int, n_tokens long, n_short long, base_short double")
     known = model.unigrams.select("h", "c")
-    rare = parts.where("payload IS NULL").select("id", "sig", "h", "a", "b").join(known, "h", "left").withColumn("p1", (F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
+    rare = parts.where("h IS NOT NULL").select("id", "sig", "h", "a", "b").join(known, "h", "left").withColumn("p1", (F.coalesce("c", F.lit(0)) + 1) / F.lit(total))
     sums = parts.where("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInArrow(add_up, "id long, sig int, score double")
     sums = sums.select("id", "sig", "score", F.lit(0).alias("known"), F.lit(0.0).alias("base")).unionByName(
         rare.select("id", "sig", F.log10(F.col("a") + F.col("b") * F.col("p1")).alias("score"), F.col("c").isNotNull().cast("int").alias("known"), F.log10("p1").alias("base")))
@@ -552,13 +622,13 @@ def _bucketed(ids: np.ndarray, sigs: np.ndarray, sums: np.ndarray, buckets: int)
     return [(g, _pack(ids[i], sigs[i], sums[i])) for g, i in _blocks(bucket)]
 
 
-def _part_table(sums: list[tuple[int, bytes]], rare: list[np.ndarray]) -> pa.Table:
-    """Packed sums and n-grams that wait for the count of a rare word, as rows of ``PARTS``."""
-    n, m = len(sums), len(rare[0]) if rare else 0
-    kinds = (("id", pa.int64()), ("sig", pa.int32()), ("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()))
-    columns = {"bucket": pa.array([g for g, _ in sums] + [None] * m, pa.int32()), "payload": pa.array([p for _, p in sums] + [None] * m, pa.binary())}
-    for k, (name, kind) in enumerate(kinds):
-        columns[name] = pa.concat_arrays([pa.nulls(n, kind), pa.array(rare[k], kind) if m else pa.nulls(0, kind)])
+def _part_table(sums: list[tuple[int, bytes]], rare: list[np.ndarray], texts: list[bytes] = ()) -> pa.Table:
+    """Packed sums, packed texts and n-grams that wait for the count of a rare word, as rows of ``PARTS``."""
+    n, m, k = len(sums), len(rare[0]) if rare else 0, len(texts)
+    columns = {"bucket": pa.array([g for g, _ in sums] + [None] * (k + m), pa.int32()), "payload": pa.array([p for _, p in sums] + [None] * (k + m), pa.binary()),
+               "texts": pa.array([None] * n + list(texts) + [None] * m, pa.binary())}
+    for i, (name, kind) in enumerate((("id", pa.int64()), ("sig", pa.int32()), ("h", pa.int64()), ("a", pa.float64()), ("b", pa.float64()))):
+        columns[name] = pa.concat_arrays([pa.nulls(n + k, kind), pa.array(rare[i], kind) if m else pa.nulls(0, kind)])
     return pa.table(columns)
 
 

@@ -247,3 +247,37 @@ def test_lm_on_table(spark, sf):
     same([(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got], want)
     kept = [r for r in got if r.held_out]
     assert sum(r.score for r in kept) > sum(r.base_score for r in kept)  # better than word counts on texts it has not seen
+
+
+@pytest.mark.parametrize("high", [(5, 7, 9), (3, 1 << 20, 1 << 20), (1 << 30, 1 << 30, 1 << 30)])
+def test_lm_order_of_ngrams(high):
+    """As one number, or by the keys one after another where that has more than 64 bits."""
+    rng = np.random.default_rng(4)
+    keys = [rng.integers(0, h, 3000).astype(np.int32) for h in high]
+    order, want = language_model._order(*keys), np.lexsort(keys[::-1])
+    assert all((k[order] == k[want]).all() for k in keys)
+    assert sorted(order.tolist()) == list(range(3000))
+    assert len(language_model._order(*[k[:0] for k in keys])) == 0
+
+
+def test_lm_asks_once_per_distinct_ngram():
+    """The n-grams of all blocks of a cell come together; each distinct one is asked for once."""
+    rng = np.random.default_rng(5)
+    words = np.array([3, 9, 2**40, 2**64 - 1], np.uint64)
+    blocks = [[*(words[rng.integers(0, 4, n)] for _ in range(3)), rng.integers(0, 2, n).astype(np.uint32)] for n in (40, 1, 300)]
+    found = language_model.Occurrences([language_model._pack(*b) for b in blocks], [[np.arange(2)]] * 3)
+    want = [(int(v), int(u), int(w), int(t) + 2 * i) for i, b in enumerate(blocks) for v, u, w, t in zip(*b)]
+    code = lambda x: found.codes[x[found.ngram]].tolist()
+    assert list(zip(code(found.v), code(found.u), code(found.w), found.owner.tolist())) == want
+    assert list(zip(found.v.tolist(), found.u.tolist(), found.w.tolist())) == sorted({tuple(np.searchsorted(found.codes, np.array(x[:3], np.uint64)).tolist()) for x in want})
+    train = np.array([1, 0, 1, 1, 0, 1], np.uint8)
+    seen = Counter(x[:3] for x in want if train[x[3]])
+    kept = language_model.Trie(found.trie(train, (1, 2), 0.75), found.codes)
+    assert len(kept.value["d3"]) == sum(n > 1 for n in seen.values())
+    assert len(kept.value["d2"]) == len({(v, w) for v, _, w in seen})
+    assert found.trie(np.zeros(6, np.uint8), (1, 2), 0.75) is None
+
+
+def test_lm_does_not_read_texts_again(spark, sf):
+    """Tokens and base of a text are found where its n-grams are cut, not in a further pass."""
+    assert not [f for f in QUERIES["op13_elias_fano_scores"](spark, sf).inputFiles() if "documents" in f]
