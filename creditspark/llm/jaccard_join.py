@@ -40,13 +40,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditspark.llm import flat
-from creditspark.llm.blocks import block_batch, bucket_count, cut, even_labels, exchanged, gathered, packed, runs
+from creditspark.llm.blocks import block_batch, bucket_count, bucket_of, even_labels, exchanged, gathered, packed, runs
 from creditspark.llm.components import connected_components
+from creditspark.llm.language_model import small_batches
 from creditspark.llm.registry import query, table
 from creditspark.sources.io import materialize
 
 WIDTH = 5
-SLICE = 4 << 20  # bytes of text per packed block
+SLICE = 2 << 20  # bytes of text per packed block
+RANGE = 1 << 18  # shingles of a bucket that are counted at once
 TURNS, HUBS = 1, 16  # rounds of proposals before the exact search; hubs per list in the first, doubled in each
 TRIES = 4  # proposals of a document that are compared in a round
 SHORT_LIST = 64  # the pairs of a shorter list are filtered one by one, to the same result
@@ -99,7 +101,7 @@ META = np.dtype([("doc", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
 
 
 def _token_blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Rows (bucket, block, payload): shingles by bucket, and one list of documents per block in a bucket of its own."""
+    """Rows (bucket, block, payload): shingles by bucket, in order, and one list of documents per block in a bucket of its own."""
     labels = even_labels(docs, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,8 @@ def _token_blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 senders = np.sort(order[new])
                 keys = np.concatenate([sets[i] for i in senders]) if len(senders) else np.zeros(0, np.uint64)
                 owner = np.repeat(senders.astype(np.uint16), [len(sets[i]) for i in senders])
-                order, bounds = cut(keys, buckets)
+                order = np.argsort(keys)
+                bounds = np.searchsorted(bucket_of(keys[order], buckets), np.arange(buckets + 1))
                 rows = [(turn % buckets, block, b"M" + meta.tobytes())]
                 for b in range(buckets):
                     o = order[bounds[b]:bounds[b + 1]]
@@ -134,41 +137,61 @@ def _token_blocks(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, block long, payload binary")
 
 
+def _payload_batches(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i:i + 64]], pa.int64()), pa.array([r[1] for r in rows[i:i + 64]], pa.binary())],
+                                         names=["block", "payload"])
+
+
+def _by_block(found: list[tuple[np.ndarray, ...]]) -> list[tuple[int, bytes]]:
+    block, owner, counts, key = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(block, kind="stable")
+    starts, sizes = runs(block[order])
+    places = [order[s:s + n] for s, n in zip(starts, sizes)]
+    return [(int(block[o[0]]), b"T" + owner[o].tobytes() + counts[o].tobytes() + key[o].tobytes()) for o in places]
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the shingles that occur in two different sets, with their number of sets; lists of documents pass through."""
-    blocks, owners, prints, keys, rows = [], [], [], [], []
+    """Keep the shingles that occur in two different sets, with their number of sets; lists of documents pass through.
+
+    The bucket's keys are counted range by range, so a task holds little more than the payloads it received.
+    """
+    parts = []
     for batch in batches:
+        passed = []
         for block, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if p[:1] == b"M":
-                rows.append((block, p))
+                passed.append((block, p))
                 continue
             n, k = np.frombuffer(p, np.int64, 2, 1)
             present = np.frombuffer(p, np.uint16, k, 17)
             f1 = np.frombuffer(p, np.uint64, k, 17 + 2 * k)
             place = np.frombuffer(p, np.uint16, n, 17 + 10 * k)
-            keys.append(np.frombuffer(p, np.uint64, n, 17 + 10 * k + 2 * n))
-            owners.append(present[place])
-            prints.append(f1[place])
-            blocks.append(np.full(n, block, np.int64))
-    if keys:
-        keys, prints, owners, blocks = np.concatenate(keys), np.concatenate(prints), np.concatenate(owners), np.concatenate(blocks)
-        order = np.argsort(keys, kind="stable")
-        starts, sizes = runs(keys[order])
-        prints = prints[order]
-        many = np.minimum.reduceat(prints, starts) != np.maximum.reduceat(prints, starts)
-        del prints
-        kept = order[np.repeat(many, sizes)]
-        counts = np.repeat(sizes[many], sizes[many]).astype(np.uint32)
-        block, owner, key = blocks[kept], owners[kept], keys[kept]
-        del blocks, owners, keys
-        order = np.argsort(block, kind="stable")
-        starts, sizes = runs(block[order])
-        for s, n in zip(starts, sizes):
-            o = order[s:s + n]
-            rows.append((int(block[o[0]]), b"T" + owner[o].tobytes() + counts[o].tobytes() + key[o].tobytes()))
-    for i in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i:i + 64]], pa.int64()), pa.array([r[1] for r in rows[i:i + 64]], pa.binary())],
-                                         names=["block", "payload"])
+            parts.append((block, present, f1, place, np.frombuffer(p, np.uint64, n, 17 + 10 * k + 2 * n)))
+        yield from _payload_batches(passed)
+    if not parts:
+        return
+    low, high = min(int(p[-1][0]) for p in parts), max(int(p[-1][-1]) for p in parts)
+    ranges = -(-sum(len(p[-1]) for p in parts) // RANGE)
+    edges = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    bounds = [[0, *np.searchsorted(p[-1], edges).tolist(), len(p[-1])] for p in parts]
+    found, held = [], 0
+    for i in range(ranges):
+        cuts = [(*p, slice(b[i], b[i + 1])) for p, b in zip(parts, bounds) if b[i] < b[i + 1]]
+        if cuts:
+            keys = np.concatenate([keys[s] for *_, keys, s in cuts])
+            order = np.argsort(keys, kind="stable")
+            starts, sizes = runs(keys[order])
+            prints = np.concatenate([f1[place[s]] for _, _, f1, place, _, s in cuts])[order]
+            many = np.minimum.reduceat(prints, starts) != np.maximum.reduceat(prints, starts)
+            kept = order[np.repeat(many, sizes)]
+            blocks = np.repeat(np.array([c[0] for c in cuts], np.int64), [c[-1].stop - c[-1].start for c in cuts])
+            owners = np.concatenate([present[place[s]] for _, present, _, place, _, s in cuts])
+            found.append((blocks[kept], owners[kept], np.repeat(sizes[many], sizes[many]).astype(np.uint32), keys[kept]))
+            held += len(kept)
+        if held >= RANGE or held and i == ranges - 1:
+            yield from _payload_batches(_by_block(found))
+            found, held = [], 0
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +513,8 @@ def near_duplicate_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     """(doc_id, n_shingles, component_id) of every document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sent = F.col("tokens").isNotNull()
-    read = materialize(repeated_shingles(docs.where("doc_id IS NOT NULL"), width).withColumn("sent", sent), "shingles")
+    with small_batches(df.sparkSession):  # texts and payloads reach the workers in small batches
+        read = materialize(repeated_shingles(docs.where("doc_id IS NOT NULL"), width).withColumn("sent", sent), "shingles")
     stored, names = _one_text_per_node(read)
     buckets = bucket_count(df)
     speaker = F.coalesce(F.min(F.when(F.col("sent"), F.col("doc_id"))), F.min("doc_id"))  # of a possible link only some rows carry the set
